@@ -63,7 +63,7 @@ def stable_salt(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(n)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], salts: int, name: str, salt: Column) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, salt: Column) -> DataFrame:
     """Number the rows of each group from 0 without gaps, ordered by (salt, order), though no task sees a whole group.
 
     Rows are ranked inside (group, salt); the few counts of (group, salt) are summed up and added.

@@ -88,7 +88,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
         fits = F.col("n_tokens") <= bounds[i]
         bound, bucket = F.when(fits, F.lit(bounds[i])).otherwise(bound), F.when(fits, F.lit(i)).otherwise(bucket)
     rows = rows.withColumns({"bucket": bucket, "bucket_len": bound.cast("long")})
-    rows = gapless_rank(rows, ["bucket"], ["doc_id", "n_tokens"], salts, "rank", F.coalesce(stable_salt(F.col("doc_id"), salts), F.lit(0)))
+    rows = gapless_rank(rows, ["bucket"], ["doc_id", "n_tokens"], "rank", F.coalesce(stable_salt(F.col("doc_id"), salts), F.lit(0)))
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.lit(1), F.col("bucket_len")))).cast("long")
     return rows.select(
         "doc_id", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).cast("int").alias("place"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding")

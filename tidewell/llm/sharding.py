@@ -50,5 +50,5 @@ def shard(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", tex
         rendezvous(key, weights).alias("shard"), rendezvous(key, grown).alias("grown_shard"),
     )
     rows = materialize(rows, "shards")  # texts are read once
-    rows = gapless_rank(rows, ["shard"], ["doc_id", "text_crc32"], salts, "slot", F.coalesce(stable_salt(F.col("doc_id"), salts), F.lit(0)))
+    rows = gapless_rank(rows, ["shard"], ["doc_id", "text_crc32"], "slot", F.coalesce(stable_salt(F.col("doc_id"), salts), F.lit(0)))
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
