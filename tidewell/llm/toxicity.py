@@ -24,7 +24,7 @@ from .decontaminate import WORD_TABLE
 from .quality import labelled_sample
 
 #: Labelled rows to learn from, about; more are sampled by a hash of their id.
-MAX_LABELLED = 20000
+MAX_LABELLED = 12000
 MIN_DF = 3
 NEIGHBOURS = 10
 #: Weight of the prior against the neighbours' squared similarities: distant ones alone decide little.
@@ -117,19 +117,21 @@ def build(ids: list[int], texts: list[bytes], labels: np.ndarray, k: int = NEIGH
     for i, (t, y) in enumerate(zip(texts, labels.tolist(), strict=True)):
         once.setdefault((t, int(y)), i)
     kept = sorted(once.values(), key=lambda i: ids[i])
-    words = [texts[i].translate(WORD_TABLE).split() for i in kept]
+    words = lambda: (texts[i].translate(WORD_TABLE).split() for i in kept)  # noqa: E731  made anew each time, never held
     y = np.asarray([int(labels[i]) for i in kept])
     n, pos = len(y), int(y.sum())
-    df: Counter[bytes] = Counter()
     df_pos: Counter[bytes] = Counter()
-    for w, label in zip(words, y.tolist(), strict=True):
-        df.update(s := set(w))
+    for w, label in zip(words(), y.tolist(), strict=True):
         if label:
-            df_pos.update(s)
+            df_pos.update(set(w))
+    df_pos = Counter({t: c for t, c in df_pos.items() if c >= min_df})
+    df: Counter[bytes] = Counter()
+    for w in words():
+        df.update(df_pos.keys() & set(w))
     # copies of one text are one witness: a term's texts of label 1 count by the share of its occurrences there that have neighbouring words of their own
     often: Counter[bytes] = Counter()
-    around: dict[bytes, set] = {t: set() for t, c in df_pos.items() if c >= min_df}
-    for w, label in zip(words, y.tolist(), strict=True):
+    around: dict[bytes, set] = {t: set() for t in df_pos}
+    for w, label in zip(words(), y.tolist(), strict=True):
         if label:
             for before, t, after in zip([b"", *w], w, [*w[1:], b""], strict=False):
                 if t in around:
@@ -152,7 +154,7 @@ def build(ids: list[int], texts: list[bytes], labels: np.ndarray, k: int = NEIGH
     prior = (pos + 1) / (n + 2)
     empty = np.empty(0)
     index = ToxicityIndex(terms, idf, np.empty(0, np.int64), np.empty(0, int), np.zeros((len(terms), 1), np.int64), empty.astype(np.int64), empty, np.zeros((len(terms), 0)), prior, prior, k=k)
-    vectors = [index.vector(w) for w in words]
+    vectors = [index.vector(w) for w in words()]
     bare = [int(label) for v, label in zip(vectors, y.tolist(), strict=True) if not v]
     index.bare = (sum(bare) + prior) / (len(bare) + 1)
     order = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (max(vectors[i], key=lambda x: x[1])[0], vectors[i], i))
