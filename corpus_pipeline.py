@@ -5,10 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from tidewell.llm import decontaminate, jaccard, packing, quality, toxicity
+from tidewell.llm.common import materialize
+
+#: Rows of a list of ids that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is among ids (one column, doc_id); broadcast only while it is short."""
+    gone = materialize(ids.distinct().withColumnRenamed("doc_id", "_gone_"), "dropped-ids")
+    side = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("_gone_")), "left_anti")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of quality, as a classifier sees it that learned from the labels outside the held-out fold."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, name="_quality_").where(F.col("_quality_") >= quality.THRESHOLD).drop("_quality_")
+
+
+def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic, by their nearest labelled examples."""
+    index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, index, name="_toxic_", evidence=False).where(F.col("_toxic_") < toxicity.THRESHOLD).drop("_toxic_")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each component of five-word shingle Jaccard of 0.8 and more.
+
+    Rows that repeat an id share its fate.
+    """
+    found = jaccard.jaccard_components(docs, 5, (80, 100))
+    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), near_terms=0)
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and place of every remaining document."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("toxicity", keep_civil),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", keep_uncontaminated),
+    ("packing", pack_batches),
+]
+#: The classifiers' models can't be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The stages over documents; each stage's result is in shared storage before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
