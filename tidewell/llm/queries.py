@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .embedding_dedup import near_duplicates
 from .html_text import extract
 from .jaccard import jaccard_components
+from .licenses import scan
 from .lm_score import lm_scores
 from .packing import pack
 from .quality import quality
@@ -25,6 +27,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source/lang/doc_id."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
+    out = scan(docs.select(F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
+    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "licensed_by")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -59,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_decontamination, op4_sharding, op5_toxicity, op6_html, op7_embedding_dedup, op8_lm_scores, op9_jaccard, op10_quality)}
+    return {f.__name__: f for f in (op1_packing, op2_licenses, op3_decontamination, op4_sharding, op5_toxicity, op6_html, op7_embedding_dedup, op8_lm_scores, op9_jaccard, op10_quality)}
 
 
 ORACLES: dict[str, str] = {}
