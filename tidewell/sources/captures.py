@@ -1,0 +1,321 @@
+"""Captures on disk as DataFrames on session time, and results back to disk.
+
+Three layouts: `flat` (strain.csv, imu.csv, mic.csv, meta.json, optional scale.csv and events.csv on one clock), `rig` (two
+boards with clocks of their own, files named <stem>_...), and `live` (rig without the rig board). Paths go through Spark's
+file systems, so any store will do.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from tidewell.config import Sensors
+from tidewell.functions.convert import Affine
+from tidewell.operators import clock as C
+from tidewell.operators.resample import fill_gaps
+
+FLAT, RIG, LIVE = "flat", "rig", "live"
+SENSOR_BOARD, RIG_BOARD = "sensor", "rig"
+POOLED, SESSION, STRICT = "pooled", "session", "strict"
+COUNTS, PHYSICAL = "counts", "physical"
+
+
+class MissingRigBoard(FileNotFoundError):
+    """A live session has no rig board, so neither pressure nor its temperature."""
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    fs, where = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def detect_layout(spark: SparkSession, folder: str) -> str:
+    have = names(spark, folder)
+    if "strain.csv" in have and "meta.json" in have:
+        return FLAT
+    if any(n.endswith("_session.json") for n in have):
+        return RIG if any(n.endswith("_rig_sync.csv") for n in have) else LIVE
+    raise FileNotFoundError(f"{folder}: neither strain.csv with meta.json nor *_session.json")
+
+
+def discover_stems(spark: SparkSession, folder: str) -> list[str]:
+    return [n.removesuffix("_session.json") for n in names(spark, folder) if n.endswith("_session.json")]
+
+
+def sessions(spark: SparkSession, root: str) -> list[tuple[str, str | None]]:
+    """(folder, stem) of every session at root: its captures, or else its folders."""
+    stems = discover_stems(spark, root)
+    return [(root, s) for s in stems] if stems else [(f"{root}/{n}", None) for n in names(spark, root) if "." not in n]
+
+
+def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one sidecar
+    return json.loads(text)
+
+
+def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), text: tuple[str, ...] = ()) -> DataFrame:
+    """Named columns of a CSV as DOUBLE (text ones as STRING), with `seq`, the order of rows within the file.
+
+    Only these columns are parsed. A required column that the header lacks is an error.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    missing = [c for c in required if c not in header]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
+    schema = StructType([StructField(c, StringType()) for c in header])
+    wanted = [c for c in header if c in required or c in optional]
+    rows = spark.read.option("header", True).schema(schema).csv(path)
+    cast = [F.col(f"`{c}`").cast("string" if c in text else "double").alias(c) for c in wanted]
+    return rows.select(*cast, F.monotonically_increasing_id().alias("seq"))
+
+
+@dataclass
+class Session:
+    """Streams of one session on its own milliseconds: strain, imu, mic and, where there is one, scale."""
+
+    streams: dict[str, DataFrame]
+    rates: dict[str, float]
+    units: dict[str, str]
+    layout: str
+    meta: dict[str, Any] = field(default_factory=dict)
+    scale: DataFrame | None = None
+
+    def unit_of(self, stream: str) -> str:
+        return self.units.get(stream, COUNTS)
+
+
+@dataclass
+class Capture:
+    """Sidecars and clocks of a rig or live capture; bulk streams aren't read yet."""
+
+    root: str
+    stem: str
+    session_meta: dict[str, Any]
+    sensor_meta: dict[str, Any]
+    rig_meta: dict[str, Any]
+    clocks: dict[str, dict[str, Any]]
+    t0_host_s: float
+
+    @property
+    def boards(self) -> list[str]:
+        return list(self.clocks)
+
+    @property
+    def has_rig_board(self) -> bool:
+        return RIG_BOARD in self.clocks
+
+    @property
+    def layout(self) -> str:
+        return RIG if self.has_rig_board else LIVE
+
+    @property
+    def vacuum_level(self) -> int | None:
+        v = (self.sensor_meta.get("run") or {}).get("vacuum_level")
+        return None if v is None else int(v)
+
+    @property
+    def cycle_rate_cpm(self) -> float | None:
+        v = (self.sensor_meta.get("run") or {}).get("cycle_rate_cpm")
+        return None if v is None else float(v)
+
+    def file(self, name: str) -> str:
+        return f"{self.root}/{self.stem}_{name}"
+
+
+def load_flat(spark: SparkSession, folder: str, sensors: Sensors | None = None) -> Session:
+    s = sensors or Sensors()
+    streams = {name: read_csv(spark, f"{folder}/{name}.csv", ["t_ms", *channels]) for name, channels in (("strain", s.strain), ("imu", s.imu), ("mic", s.mic_active))}
+    for c in s.inactive:
+        streams["mic"] = streams["mic"].withColumn(c, F.lit(0.0))
+    scale = read_csv(spark, f"{folder}/scale.csv", ["t_ms", s.scale]).withColumnRenamed(s.scale, "scale_g") if exists(spark, f"{folder}/scale.csv") else None
+    return Session(streams, dict(s.rates), {k: COUNTS for k in streams}, FLAT, read_json(spark, f"{folder}/meta.json"), scale)
+
+
+def _sync(spark: SparkSession, root: str, stem: str, board: str) -> DataFrame:
+    path = f"{root}/{stem}_{board}_sync.csv"
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no clock file {path}")
+    rows = read_csv(spark, path, ["host_mono_s", "device_ts_us"]).withColumn("board", F.lit(board))
+    return C.unwrap(rows, ["board"], "seq", "device_ts_us", out="device_us", wraps="wraps").withColumn("device_s", F.col("device_us") * 1e-6).withColumnRenamed("host_mono_s", "host_s")
+
+
+def pooled_skew_ppm(spark: SparkSession, root: str, board: str) -> float | None:
+    """Inverse-variance mean of the resolved skews of all captures at root, from one pass over their sidecars."""
+    rows = []
+    for stem in discover_stems(spark, root):
+        info = (read_json(spark, f"{root}/{stem}_session.json").get("alignment") or {}).get(board) or {}
+        rows.append((board, info.get("skew_applied"), info.get("skew_ppm"), info.get("skew_se_ppm"), info.get("skew_confidence")))
+    cast = [(b, *(None if v is None else float(v) for v in (x, y, z)), c) for b, x, y, z, c in rows]
+    got = C.pooled_skew(spark.createDataFrame(cast, "board string, skew_applied double, skew_ppm double, skew_se_ppm double, skew_confidence string")).first() if cast else None
+    return None if got is None else float(got["pooled_skew_ppm"])
+
+
+def open_capture(spark: SparkSession, root: str, stem: str | None = None, skew_fallback: str = POOLED) -> Capture:
+    """Sidecars and fitted clocks. Several stems and none named is an error, and so is a clock that can't be trusted under `strict`."""
+    stems = discover_stems(spark, root)
+    if stem is None:
+        if len(stems) != 1:
+            raise ValueError(f"{root}: name one of {stems}") if stems else FileNotFoundError(f"{root}: no capture")
+        stem = stems[0]
+    session = read_json(spark, f"{root}/{stem}_session.json")
+    have = set(names(spark, root))
+    boards = [b for b in (SENSOR_BOARD, RIG_BOARD) if f"{stem}_{b}_sync.csv" in have]
+    if SENSOR_BOARD not in boards:
+        raise FileNotFoundError(f"no clock file {root}/{stem}_{SENSOR_BOARD}_sync.csv")
+    metas = {b: read_json(spark, f"{root}/{stem}_{b}.json") if f"{stem}_{b}.json" in have else {} for b in (SENSOR_BOARD, RIG_BOARD)}
+    clocks, t0 = {}, []
+    for board in boards:
+        info = (session.get("alignment") or {}).get(board) or {}
+        skew, confidence, source = info.get("skew_ppm"), str(info.get("skew_confidence", "unknown")), SESSION
+        if skew is None:
+            raise ValueError(f"{stem}: no skew for board {board}")
+        if confidence != "resolved":
+            if skew_fallback == STRICT:
+                raise ValueError(f"{stem}: the skew of board {board} is {confidence}, which {STRICT} refuses")
+            if skew_fallback == POOLED and (pooled := pooled_skew_ppm(spark, root, board)) is not None:
+                skew, source = pooled, POOLED
+        sync = _sync(spark, root, stem, board).withColumn("skew", F.lit(float(skew))).cache()
+        try:
+            fit = C.check_convention(sync, C.fit_clock(sync, ["board"], "skew"), ["board"]).first()
+            if fit is None or fit["n_sync_points"] < 2:
+                raise ValueError(f"{stem}: fewer than two sync points for board {board}")
+            span = sync.agg(F.median("device_us"), F.max("wraps"), F.min("device_us"), F.max("device_us"), F.min_by("host_s", "seq")).first()
+        finally:
+            sync.unpersist()
+        clocks[board] = {
+            "skew_ppm": float(skew), "slope": fit["slope"], "offset_s": fit["offset_s"], "jitter_ms": fit["jitter_ms"], "residual_ms": fit["residual_ms"], "n_sync_points": fit["n_sync_points"],
+            "confidence": confidence, "skew_source": source, "suspicious": fit["suspicious"], "wraps": span[1], "centre_us": span[0], "device_lo_us": span[2], "device_hi_us": span[3],
+        }
+        t0.append(span[4])
+    return Capture(root, stem, session, metas[SENSOR_BOARD], metas[RIG_BOARD], clocks, min(t0))
+
+
+def on_session_time(rows: DataFrame, capture: Capture, board: str, raw: str, stream: str | None = None) -> DataFrame:
+    """rows with t_ms from a board's counter; named streams are repaired, or refused, where time runs back."""
+    c = capture.clocks[board]
+    rows = rows.withColumn("_one_", F.lit(1)).withColumn("_centre_", F.lit(float(c["centre_us"])))
+    rows = C.align_device(rows, ["_one_"], "seq", raw, "_centre_", out="_us_")
+    rows = rows.withColumn("t_ms", C.to_session_ms(F.col("_us_"), F.lit(c["slope"]), F.lit(c["offset_s"]), F.lit(capture.t0_host_s)))
+    if stream is not None:
+        rows = C.repaired(rows, ["_one_"], "seq", "t_ms", stream)
+    return rows.drop("_one_", "_centre_", "_us_", "wraps", raw)
+
+
+def strain_columns(columns: list[str], n: int = 8) -> dict[int, str]:
+    """Column of each channel index, from names ch<i>_<Name>; a missing index is an error."""
+    found = {int(m[1]): c for c in columns if (m := re.match(r"ch(\d+)_", c))}
+    missing = [i for i in range(n) if i not in found]
+    if missing:
+        raise ValueError(f"no strain channel {missing} among {columns}")
+    return {i: found[i] for i in range(n)}
+
+
+def load_rig(spark: SparkSession, root: str, stem: str | None = None, sensors: Sensors | None = None, skew_fallback: str = POOLED) -> Session:
+    s = sensors or Sensors()
+    cap = open_capture(spark, root, stem, skew_fallback)
+    header = spark.read.option("header", True).csv(cap.file("sensor_strain.csv")).columns
+    order = strain_columns(header, len(s.strain))
+    strain = on_session_time(read_csv(spark, cap.file("sensor_strain.csv"), ["scan_t_us", *order.values()]), cap, SENSOR_BOARD, "scan_t_us", "strain").withColumn("_one_", F.lit(1))
+    for i, c in enumerate(s.strain):
+        strain = fill_gaps(strain, ["_one_"], "seq", order[i], out=c)
+    strain = strain.select("seq", "t_ms", *[F.col(c).cast("float").alias(c) for c in s.strain])
+    motion = ("ax_ms2", "ay_ms2", "az_ms2", "gx_dps", "gy_dps", "gz_dps")
+    imu = on_session_time(read_csv(spark, cap.file("sensor_imu.csv"), ["time_us", *motion]), cap, SENSOR_BOARD, "time_us", "imu")
+    imu = imu.select("seq", "t_ms", *[F.col(a).cast("float").alias(b) for a, b in zip(motion, s.imu, strict=True)])
+    side = dict(zip(s.mic, ("left", "right"), strict=False))
+    mic = on_session_time(read_csv(spark, cap.file("sensor_audio.csv"), ["time_us", *[side[c] for c in s.mic_active]]), cap, SENSOR_BOARD, "time_us", "mic")
+    mic = mic.select("seq", "t_ms", *[(F.col(side[c]) if c in s.mic_active else F.lit(0.0)).cast("float").alias(c) for c in s.mic])
+    scale = None
+    if exists(spark, cap.file("sensor_scale.csv")):
+        rows = read_csv(spark, cap.file("sensor_scale.csv"), ["host_mono_s", "grams"]).dropna()
+        scale = rows.select("seq", ((F.col("host_mono_s") - cap.t0_host_s) * 1000).alias("t_ms"), F.col("grams").alias("scale_g"))
+    meta = {"session": cap.session_meta, "sensor": cap.sensor_meta, "rig": cap.rig_meta, "clocks": cap.clocks}
+    return Session({"strain": strain, "imu": imu, "mic": mic}, dict(s.rates), {"strain": COUNTS, "imu": PHYSICAL, "mic": COUNTS}, cap.layout, meta, scale)
+
+
+def load_session(spark: SparkSession, folder: str, stem: str | None = None, sensors: Sensors | None = None) -> Session:
+    return load_flat(spark, folder, sensors) if detect_layout(spark, folder) == FLAT else load_rig(spark, folder, stem, sensors)
+
+
+def _need_rig(cap: Capture, what: str) -> None:
+    if not cap.has_rig_board:
+        raise MissingRigBoard(f"{cap.stem}: {what} comes from the rig board, which this live session lacks")
+
+
+def load_pressure(spark: SparkSession, cap: Capture) -> DataFrame:
+    """t_ms, psi of the rig's pressure sensor, by the constants in its sidecar; times as they come."""
+    _need_rig(cap, "pressure")
+    k = cap.rig_meta["conversion"]["rig"]["pressure"]
+    scale = Affine(float(k["out_min_counts"]), float(k["out_max_counts"]), float(k["p_min_psi"]), float(k["p_max_psi"]))
+    rows = on_session_time(read_csv(spark, cap.file("rig_pressure.csv"), ["time_us", "p_raw"]), cap, RIG_BOARD, "time_us")
+    return rows.select("seq", "t_ms", scale(F.col("p_raw")).alias("psi"))
+
+
+def load_temperature(spark: SparkSession, cap: Capture) -> DataFrame:
+    _need_rig(cap, "temperature")
+    factor = float(cap.rig_meta["conversion"]["rig"]["tmp117"]["c_per_count"])
+    rows = on_session_time(read_csv(spark, cap.file("rig_temp.csv"), ["time_us", "tmp117_raw"]), cap, RIG_BOARD, "time_us")
+    return rows.select("seq", "t_ms", (F.col("tmp117_raw") * factor).alias("celsius"))
+
+
+def events_path(spark: SparkSession, folder: str, stem: str | None = None) -> str:
+    """<stem>_events.csv where it exists, else events.csv."""
+    own = f"{folder}/{stem}_events.csv"
+    return own if stem and exists(spark, own) else f"{folder}/events.csv"
+
+
+def load_events(spark: SparkSession, folder: str, stem: str | None = None) -> DataFrame | None:
+    """Events by time, or None without a file. A missing column or a time that isn't finite is an error."""
+    path = events_path(spark, folder, stem)
+    if not exists(spark, path):
+        return None
+    rows = read_csv(spark, path, ["t_ms", "type"], ["amplitude_psi", "confidence"], ("type",))
+    bad = rows.where(F.col("t_ms").isNull() | F.isnan("t_ms") | (F.abs("t_ms") == float("inf"))).count()
+    if bad:
+        raise ValueError(f"{path}: {bad} times aren't finite")
+    return rows.drop("seq").orderBy("t_ms")
+
+
+def reference_events(spark: SparkSession, path: str, clock: dict[str, Any] | None = None) -> DataFrame:
+    """Events of the reference kind (t_ms on host time, quality, depth_psi) whose quality is ok, by time."""
+    rows = read_csv(spark, path, ["t_ms", "quality"], ["depth_psi"], ("quality",))
+    return rows.where(F.trim("quality") == "ok").drop("seq").orderBy("t_ms")
+
+
+def write_events(events: DataFrame, folder: str, params: dict[str, Any], name: str = "events") -> None:
+    """Events as CSV, and what produced them as JSON beside it; each is a folder of parts, as Spark writes."""
+    spark = events.sparkSession
+    events.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+    spark.createDataFrame([(json.dumps(params, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}_detector.json")
+
+
+def write_table(df: DataFrame, path: str, form: str = "parquet", partition: list[str] | None = None) -> None:
+    """A result as parquet, csv, json or orc."""
+    out = df.write.mode("overwrite")
+    out = out.partitionBy(*partition) if partition else out
+    (out.option("header", True) if form == "csv" else out).format(form).save(path)
+
+
+def export_edge(*_: Any) -> None:
+    """Firmware export isn't specified yet."""
+    raise NotImplementedError("export to the edge device isn't defined")
+
+
