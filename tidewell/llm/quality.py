@@ -23,7 +23,8 @@ from .common import ASCII_SPACE, crc_mod, mix64, text_blocks, word_hashes
 MAX_LABELLED = 5000
 BITS = 18
 DIM = 10
-EPOCHS = 4
+#: Documents to step over in all; a small sample is gone through more often.
+STEPS = 20000
 RATE = 0.2
 #: A feature carries its share of a mean, so steps on its vector are that much longer.
 SPREAD = 20.0
@@ -84,7 +85,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, ngrams: tuple[int, ...] = NGRAMS, seed: int = 1) -> QualityModel:
+def train(texts: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = DIM, steps: int = STEPS, rate: float = RATE, ngrams: tuple[int, ...] = NGRAMS, seed: int = 1) -> QualityModel:
     """Stochastic gradient descent, one document a step, with a linearly falling rate. Without both labels, the model gives their share."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, int)
@@ -100,6 +101,7 @@ def train(texts: list[bytes], labels: np.ndarray, bits: int = BITS, dim: int = D
     table = (rng.random((1 << bits, dim), np.float32) - 0.5) / dim
     out = np.zeros((2, dim), np.float32)
     bias = np.array([0, prior], np.float32)
+    epochs = -(-steps // len(bags))
     step, steps = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
