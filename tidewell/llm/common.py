@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -114,8 +115,23 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     return nodes_only.join(roots, nodes_only.node == roots.a, "left").select("node", F.coalesce("m", "node").alias("component"))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system, so that idle Python workers beside other stages stay small."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Rows regrouped so that a block's texts have about `limit` bytes (a longer text stands alone); nulls become empty."""
+    try:
+        yield from _text_blocks(batches, column, limit)
+    finally:
+        give_back()
+
+
+def _text_blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

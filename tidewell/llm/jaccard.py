@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_SPACE_TABLE, connected_components, gapless_rank, materialize, mix64, text_blocks, word_hashes
+from .common import LOWER_SPACE_TABLE, connected_components, gapless_rank, give_back, materialize, mix64, text_blocks, word_hashes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Input bytes for each hash range.
 RANGE_BYTES = 8 << 20
 FREQUENT = 16
@@ -117,7 +117,8 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, frequent: int, max_f
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["range", "data"])
 
     def often(rows: pd.DataFrame) -> pd.DataFrame:
-        v, n = np.unique(np.concatenate([_from_planes(x, 3) for x in rows["data"]]), return_counts=True)
+        v, n = np.unique(np.concatenate([_from_planes(x, 3) for x in rows.pop("data")]), return_counts=True)
+        give_back()
         return pd.DataFrame({"finger": v[n >= frequent].view(np.int64), "n": n[n >= frequent].astype(np.int64)})
 
     found = materialize(docs.mapInArrow(count, "range int, data binary").groupBy("range").applyInPandas(often, "finger long, n long"), "frequent-shingles")
@@ -170,7 +171,8 @@ def _postings(docs: DataFrame, k: int, ranges: int, fingers: np.ndarray, num: in
 
 def _candidates(num: int, den: int, long_list: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, o, z = (np.concatenate([_from_planes(x) for x in rows[c]]) for c in ("hashes", "sets", "sizes"))
+        give_back()
+        h, o, z = (np.concatenate([_from_planes(x) for x in rows.pop(c)]) for c in ("hashes", "sets", "sizes"))
         order = np.lexsort((o, z, h))
         h, o, z = h[order], o[order].view(np.int64), z[order].astype(np.int64)
         fresh = np.ones(len(h), bool)

@@ -30,7 +30,7 @@ RATE = 0.2
 SPREAD = 20.0
 NGRAMS = (3, 4, 5)
 THRESHOLD = 0.5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 SPACES = bytes(32 if b in ASCII_SPACE else b for b in range(256))
 
 

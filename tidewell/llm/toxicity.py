@@ -31,7 +31,7 @@ NEIGHBOURS = 10
 SHRINK = 1.0
 BLOCK = 64
 THRESHOLD = 0.7
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass
@@ -99,7 +99,7 @@ class ToxicityIndex:
         if not v:
             return self.bare, [], []
         if v not in self.seen:
-            if len(self.seen) > 20000:
+            if len(self.seen) > 2000:
                 self.seen.clear()
             best, sims = self.nearest(v)
             names = list(self.terms)
