@@ -59,3 +59,8 @@ def deviation(df: DataFrame, by: Sequence[str], x: str, out: str = "mad") -> Dat
     joined = df.join(centre, list(by)) if by else df.crossJoin(centre)
     spread = joined.groupBy(*by, f"{out}_median").agg((F.median(F.abs(F.col(x) - F.col(f"{out}_median"))) * MAD_SIGMA).alias(out))
     return spread
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's correlation, null where either side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.convert import GRAMS_PER_ML, argmax, skill, softmax
-from tidewell.functions.ordered import average_rank, delta, in_order
+from tidewell.functions.ordered import average_rank, correlation, delta, in_order
 from tidewell.operators.joins import interval_join
 
 IGNORE = -100
@@ -200,8 +200,7 @@ def recurring(issues: DataFrame, n_reports: int) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """rho: correlation of average ranks, 0 where either side doesn't vary."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_rx_", average_rank(F.col(x), by)).withColumn("_ry_", average_rank(F.col(y), by))
-    flat = (F.stddev_pop("_rx_") == 0) | (F.stddev_pop("_ry_") == 0)
-    return rows.groupBy(*by).agg(F.when(flat, F.lit(0.0)).otherwise(F.coalesce(F.corr("_rx_", "_ry_"), F.lit(0.0))).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*by).agg(F.coalesce(correlation(F.col("_rx_"), F.col("_ry_")), F.lit(0.0)).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def condition_correlations(df: DataFrame, features: Sequence[str], condition: str) -> DataFrame:

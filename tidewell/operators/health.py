@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.ordered import in_order
+from tidewell.functions.ordered import correlation, in_order
 
 
 def channel_report(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFrame:
     """Deviations of both sides and of their difference, the share of equal samples, and the correlation (null where a side is flat)."""
     a, b = F.col(left).cast("double"), F.col(right).cast("double")
-    flat = (F.stddev_pop(a) == 0) | (F.stddev_pop(b) == 0)
-    return df.groupBy(*by).agg(F.stddev_pop(a).alias("sd_left"), F.stddev_pop(b).alias("sd_right"), F.avg((a == b).cast("double")).alias("identical"), F.when(~flat, F.corr(a, b)).alias("correlation"), F.stddev_pop(a - b).alias("sd_diff"))
+    return df.groupBy(*by).agg(F.stddev_pop(a).alias("sd_left"), F.stddev_pop(b).alias("sd_right"), F.avg((a == b).cast("double")).alias("identical"), correlation(a, b).alias("correlation"), F.stddev_pop(a - b).alias("sd_diff"))
 
 
 def best_lag(df: DataFrame, by: Sequence[str], order: str, left: str, right: str, most: int = 4) -> DataFrame:

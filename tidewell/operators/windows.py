@@ -35,7 +35,7 @@ def make_windows(df: DataFrame, by: Sequence[str], t: str, length: int, hop: int
 def window_frames(df: DataFrame, by: Sequence[str], order: str, channels: Sequence[str], length: int, hop: int) -> DataFrame:
     """(by, window_idx, frames): channels x samples, only for those who need the samples themselves."""
     got = window_members(df, by, order, length, hop).groupBy(*by, "window_idx").agg(F.array_sort(F.collect_list(F.struct("sample", *channels))).alias("_s_"))
-    return got.withColumn("frames", F.array(*[F.transform("_s_", lambda s, c=c: s[c].cast("float")) for c in channels])).drop("_s_")
+    return got.withColumn("frames", F.array(*[F.transform(F.col("_s_")[c], lambda v: v.cast("float")) for c in channels])).drop("_s_")
 
 
 def rolling_median(df: DataFrame, by: Sequence[str], order: str, x: str, width: int, out: str = "median") -> DataFrame:

@@ -82,7 +82,7 @@ def process_session(session: Session, events: DataFrame | None = None, sensors:
     if sound is not None:
         inside = joins.interval_join(sound.select(ONE, F.col("t_ms").alias("_t_"), *s.mic), shape.select(ONE, "window_idx", "t_start_ms", "t_end_ms"), [ONE], "_t_", "t_start_ms", "t_end_ms", width, closed=True)
         rows = inside.groupBy(ONE, "window_idx").agg(F.array_sort(F.collect_list(F.struct("_t_", *s.mic))).alias("_s_"))
-        rows = rows.select(ONE, "window_idx", F.array(*[F.transform("_s_", lambda x, c=c: x[c].cast("double")) for c in s.mic]).alias("mic"))
+        rows = rows.select(ONE, "window_idx", F.array(*[F.transform(F.col("_s_")[c], lambda v: v.cast("double")) for c in s.mic]).alias("mic"))
         out = out.join(rows, [ONE, "window_idx"], "left")
     else:
         out = out.withColumn("mic", F.lit(None).cast("array<array<double>>"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.config import Pipeline, Sensors
 from tidewell.functions import convert as V
-from tidewell.functions.ordered import delta, in_order, running_max
+from tidewell.functions.ordered import correlation, delta, in_order, running_max
 from tidewell.operators import clock, detect, evaluate, health, joins, resample, stats
 from tidewell.plans.process import process_session
 from tidewell.sources import captures as C
@@ -171,7 +171,7 @@ def fold_report(rows: DataFrame, fold: str, run: str, columns: Sequence[str], al
     for (k,) in rows.select(fold).distinct().orderBy(fold).collect():
         train, test = rows.where(F.col(fold) != F.lit(k)), rows.where(F.col(fold) == F.lit(k))
         model = stats.fit_ridge(train, columns, "log_flow", alpha)
-        links = train.agg(*[F.abs(F.corr(c, "log_flow")).alias(c) for c in columns], F.avg("flow").alias("_mean_")).first()
+        links = train.agg(*[F.abs(correlation(F.col(c), F.col("log_flow"))).alias(c) for c in columns], F.avg("flow").alias("_mean_")).first()
         best = max(columns, key=lambda c: links[c] if links[c] is not None else -1.0)
         single = stats.fit_ridge(train, [best], "log_flow", alpha)
         factor = train.agg(V.smearing(F.col("log_flow") - model.predict()).alias("a"), V.smearing(F.col("log_flow") - single.predict()).alias("b")).first()

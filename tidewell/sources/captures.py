@@ -72,7 +72,7 @@ def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), text: tuple[str, ...] = ()) -> DataFrame:
-    """Named columns of a CSV as DOUBLE (text ones as STRING), with `seq`, the order of rows within the file.
+    """Named columns of a CSV as DOUBLE, null where that fails (text ones as STRING), with `seq`, the order of rows within the file.
 
     Only these columns are parsed. A required column that the header lacks is an error.
     """
@@ -83,7 +83,7 @@ def read_csv(spark: SparkSession, path: str, required: list[str], optional: list
     schema = StructType([StructField(c, StringType()) for c in header])
     wanted = [c for c in header if c in required or c in optional]
     rows = spark.read.option("header", True).schema(schema).csv(path)
-    cast = [F.col(f"`{c}`").cast("string" if c in text else "double").alias(c) for c in wanted]
+    cast = [F.col(f"`{c}`").try_cast("string" if c in text else "double").alias(c) for c in wanted]
     return rows.select(*cast, F.monotonically_increasing_id().alias("seq"))
 
 
