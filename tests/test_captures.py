@@ -106,6 +106,7 @@ def test_flat_session_end_to_end(spark, tmp_path):
     assert abs(gain - 10.0) < 2.0
     # the features inside the engine agree with the vector
     assert np.abs(np.asarray(rows.frames.iloc[0][9], float)).max() == 0
+    done.release()
 
 
 def test_rig_session_becomes_windows(spark, tmp_path):

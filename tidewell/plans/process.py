@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tidewell.config import Pipeline, Sensors
 from tidewell.functions import convert as V
@@ -26,6 +27,9 @@ class Processed:
     warnings: list[str]
     pipeline: Pipeline
 
+    def release(self) -> None:
+        self.frames.unpersist()
+
     @property
     def correction(self) -> float:
         return self.pipeline.correction
@@ -72,7 +76,8 @@ def process_session(session: Session, events: DataFrame | None = None, sensors:
     s, p = sensors or Sensors(), pipeline or Pipeline()
     channels = {"strain": s.strain, "imu": s.imu, "mic": s.mic}
     warnings = quality.validate_session(session.streams, channels, session.rates, session.scale)
-    frames = unified_frames(session, s, p)
+    # windows, quality and features all read the frames: kept by Spark (a lost part is made again) until release()
+    frames = unified_frames(session, s, p).persist(StorageLevel.MEMORY_AND_DISK)
     members = W.window_members(frames, [ONE], "grid_idx", p.window_rows, p.hop_rows)
     good = quality.good_windows(members, [ONE], s.frame, s.inactive, p.max_nan).where("ok").select(ONE, "window_idx")
     shape = W.make_windows(frames, [ONE], "t_ms", p.window_rows, p.hop_rows).join(good, [ONE, "window_idx"])
