@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import ASCII_SPACE, crc_mod, mix64, text_blocks, word_hashes
+from .common import ASCII_SPACE, crc_mod, give_back, mix64, text_blocks, word_hashes
 
 #: Labelled rows to train on, about; more are sampled by a hash of their id, which bounds the driver's work.
 MAX_LABELLED = 5000
@@ -139,7 +139,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, seed: int = 1) -> QualityModel:
     """Train on a bounded sample of the labelled documents outside the held-out fold (crc32 of the id mod 3 is 1)."""
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, max_labelled).toPandas().sort_values(["_id_", "label"], kind="stable")
-    return train([(t or "").encode() for t in rows.text], rows.label.to_numpy(), seed=seed)
+    texts, known = [(t or "").encode() for t in rows.text], rows.label.to_numpy()
+    del rows
+    model = train(texts, known, seed=seed)
+    del texts
+    give_back()  # the driver's share
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "quality_score", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

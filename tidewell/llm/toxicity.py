@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import crc_mod, text_blocks
+from .common import crc_mod, give_back, text_blocks
 from .decontaminate import WORD_TABLE
 from .quality import labelled_sample
 
 #: Labelled rows to learn from, about; more are sampled by a hash of their id.
-MAX_LABELLED = 12000
+MAX_LABELLED = 10000
 MIN_DF = 3
 NEIGHBOURS = 10
 #: Weight of the prior against the neighbours' squared similarities: distant ones alone decide little.
@@ -193,7 +193,12 @@ def _calibrate(index: ToxicityIndex, vectors: list) -> None:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, k: int = NEIGHBOURS) -> ToxicityIndex:
     """Learn from a bounded sample of the labelled documents outside the held-out fold (crc32 of the id mod 3 is 1)."""
     rows = labelled_sample(docs, labels, label_col, id_col, text_col, max_labelled).toPandas().sort_values(["_id_", "label"], kind="stable")
-    return build(rows["_id_"].tolist(), [(t or "").encode() for t in rows.text], rows.label.to_numpy(), k)
+    ids, texts, known = rows["_id_"].tolist(), [(t or "").encode() for t in rows.text], rows.label.to_numpy()
+    del rows
+    index = build(ids, texts, known, k)
+    del texts
+    give_back()  # the driver's share
+    return index
 
 
 def score(docs: DataFrame, index: ToxicityIndex, text_col: str = "text", name: str = "toxicity", keep: list[str] | None = None, evidence: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
