@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ def test_rollover_across_batches(spark, tmp_path):
     src.mkdir()
     for i, part in enumerate(([4294967000, 4294967200], [100, 300])):
         (src / f"{i}.json").write_text("\n".join(json.dumps({"k": 1, "raw": x}) for x in part))
+        os.utime(src / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)  # files come in the order of their times
     s = spark.readStream.schema("k int, raw long").option("maxFilesPerTrigger", 1).json(str(src))
     q = unwrap_stream(s, "k").writeStream.format("memory").queryName("turns").outputMode("append").start()
     try:
