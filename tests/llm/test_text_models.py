@@ -95,6 +95,39 @@ def test_language_model_base_is_exact_and_mixture_adds_up(spark, odd_docs, no_do
     assert L.lm_scores(no_docs).count() == 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    common, rare = [f"the cat {w} sat" for w in ("big", "small", "old", "new")], "zebra quartz violin"
+    ids = [i for i in range(3000) if not held(i, 10, 0)]
+    rows = [(i, common[i % 4]) for i in ids]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    sampled = {r.doc_id for r in frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < int(40 / len(ids) * (1 << 30))).collect()}
+    outside = [i for i in ids if i not in sampled][:100]
+    probe = next(i for i in range(3000, 4000) if held(i, 10, 0))
+    unmet = "xylophone walrus nectar"
+    texts = dict(rows) | dict.fromkeys(outside, rare) | {probe: rare, probe + 10_000: unmet}
+    got = {r.doc_id: r.score for r in L.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), max_training=40).collect()}
+    # the words of 100 training documents that the sample left out are no strangers
+    assert sampled and probe in got and got[probe] > -8
+    alone = dict(rows) | {probe: rare}
+    before = {r.doc_id: r.score for r in L.lm_scores(spark.createDataFrame(list(alone.items()), "doc_id long, text string"), max_training=40).collect()}
+    assert got[probe] > before[probe] + 8
+
+
+def test_step_over_all_documents_raises_their_likelihood():
+    rng = np.random.default_rng(1)
+    seqs = [np.append(np.cumsum(rng.integers(1, 4, k)) % 50, 50) for k in rng.integers(5, 60, 200)]
+    start = L.train(seqs[:20], 50, epochs=2)
+    tokens, lengths = np.concatenate(seqs), np.asarray([len(s) for s in seqs])
+    whole, parts = np.zeros((51, 3 * L.COMPONENTS), np.float32), np.zeros((51, 3 * L.COMPONENTS), np.float32)
+    start.gather(tokens, lengths, whole)
+    for s in seqs:
+        start.gather(s, np.asarray([len(s)]), parts)
+    count = np.bincount(tokens, minlength=51)
+    assert np.allclose(whole, parts, rtol=1e-3, atol=1e-2) and np.allclose(whole[:, : L.COMPONENTS].sum(axis=1), count, rtol=1e-3)
+    model = start.learned(count, whole)
+    assert model.score(tokens, lengths).sum() > start.score(tokens, lengths).sum() + 10
+
+
 def test_every_id_is_scored_once_whatever_the_windows():
     rng = np.random.default_rng(0)
     seqs = [np.append(rng.integers(0, 40, k), 40) for k in (1, 5, 23, 24, 25, 60, 200)]
