@@ -78,6 +78,35 @@ def test_block_max_search_is_exact():
     assert vectors
 
 
+def test_copies_of_labelled_examples_are_found():
+    rng = np.random.default_rng(2)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 4000, n)]
+    texts, labels = [], []
+    for i in range(400):
+        w = word(60)
+        if i % 8 == 0:
+            w = [f"own{i}x{j}" for j in range(20)] + w  # no term tells these from the others
+        texts.append(" ".join(w).encode())
+        labels.append(int(i % 8 == 0))
+    index = T.build(list(range(400)), texts, np.asarray(labels))
+    full = index.close
+    dense = np.zeros((400, len(full.words)))
+    for j in range(400):
+        dense[j, full.which[full.rows[j] : full.rows[j + 1]]] = full.weight[full.rows[j] : full.rows[j + 1]]
+    assert np.allclose((dense**2).sum(axis=1), 1, atol=1e-4)
+    for i in range(0, 400, 8):
+        words = texts[i].split()
+        near = [*words[:-4], *(w.encode() for w in word(4))]
+        for w in (words, near):
+            at, x = full.vector(w)
+            exact = dense[:, at] @ x
+            got, sims = full.nearest(w, 10)
+            assert set(got.tolist()) == set(np.flatnonzero(exact >= T.CLOSE).tolist()) and np.allclose(exact[got], sims, atol=1e-4)
+            p, evidence, _ = index.score(b" ".join(w))
+            assert p >= T.THRESHOLD and evidence[0]["doc_id"] == i and evidence[0]["label"] == 1
+        assert index.score(texts[i + 1])[0] < T.THRESHOLD
+
+
 def test_language_model_base_is_exact_and_mixture_adds_up(spark, odd_docs, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(odd_docs.select("doc_id", "text"))
     data = [(r.doc_id, (r.text or "").encode().translate(L.LOWER_SPACE_TABLE).split()) for r in docs.collect()]

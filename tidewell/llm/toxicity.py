@@ -1,17 +1,22 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over two inverted indexes.
 
-Terms that tell the labels apart (chi-square over the labelled sample, at a level that a term without any
+All words of every labelled example span the vectors of the first index. It finds each example whose cosine to a text is
+CLOSE or more: the words a text needs to be that close to anything (its rarest ones) give the candidates, and their
+cosines are exact. Close examples vote by a high power of their cosine against the second index's probability, so that copies decide.
+
+The second index is an addition for texts that are like no single example. Terms that tell the labels apart (chi-square over the labelled sample, at a level that a term without any
 connection passes once in all terms) span the vectors. Examples are ordered so that like ones share a
 block of 64; for each term and block the index keeps the largest impact. A query takes blocks in order of
 their upper bound and stops when the bound falls below its k-th best similarity, so the k nearest are
-exact. Votes are weighted by squared similarity, shrunk to the prior, and calibrated on leave-one-out votes.
+exact. Its votes are weighted by squared similarity; they are shrunk to the prior and calibrated on leave-one-out votes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,100 @@ NEIGHBOURS = 10
 #: Weight of the prior against the neighbours' squared similarities: distant ones alone decide little.
 SHRINK = 1.0
 BLOCK = 64
+#: Cosine over all words from which an example is close, and the weight and power of its vote.
+CLOSE = 0.7
+COPY = 40.0
+POWER = 8
+#: Postings read to sort out candidates, beyond those that must be read.
+PROBE = 4000
 THRESHOLD = 0.7
 BLOCK_BYTES = 1 << 20
 
 
+@dataclass
+class CloseIndex:
+    """All words: ids by word, and the unit vectors of the examples by word (postings) and by example; float32.
+
+    starts[i] : starts[i + 1] are the examples of word i, rows[j] : rows[j + 1] the words of example j.
+    """
+
+    words: dict[bytes, int]
+    idf: np.ndarray
+    rare: float
+    starts: np.ndarray
+    where: np.ndarray
+    rows: np.ndarray
+    which: np.ndarray
+    weight: np.ndarray
+    order: np.ndarray
+
+    @cached_property
+    def query(self) -> np.ndarray:
+        """A weight for each word, zero between uses."""
+        return np.zeros(len(self.words))
+
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words known here and their weights in the unit vector of all words of a text, known or not."""
+        n = Counter(words)
+        at = np.fromiter((self.words.get(w, -1) for w in n), np.int64, len(n))
+        tf = 1 + np.log(np.fromiter(n.values(), np.float64, len(n)))
+        tf *= np.where(at >= 0, self.idf[at], self.rare) if len(self.idf) else self.rare
+        norm = np.sqrt((tf * tf).sum())
+        known = at >= 0
+        return at[known], tf[known] / norm if norm else tf[known]
+
+    def nearest(self, words: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine, of CLOSE and more; ties to the smaller position."""
+        at, w = self.vector(words)
+        df = self.starts[at + 1] - self.starts[at]
+        by = np.argsort(df, kind="stable")
+        at, w, df = at[by], w[by], df[by]
+        # an example without any of the first words reaches at most the norm of the rest
+        rest = np.sqrt(np.maximum(np.cumsum((w * w)[::-1])[::-1], 0))
+        n = int(np.searchsorted(-rest, -(CLOSE - 1e-6), side="right"))
+        if not n or not df[:n].sum():
+            return np.empty(0, np.int64), np.empty(0)
+        n = max(n, int(np.searchsorted(np.cumsum(df), PROBE, side="right")))
+        spot = np.repeat(self.starts[at[:n]] - (np.cumsum(df[:n]) - df[:n]), df[:n]) + np.arange(df[:n].sum())
+        dots = np.bincount(self.where[spot], weights=self.weight[self.order[spot]] * np.repeat(w[:n], df[:n]), minlength=len(self.rows) - 1)
+        left = rest[n] if n < len(rest) else 0.0
+        found = np.flatnonzero((dots > 0) & (dots + left >= CLOSE - 1e-6))
+        if not len(found):
+            return found, np.empty(0)
+        query = self.query
+        query[at] = w
+        size = self.rows[found + 1] - self.rows[found]
+        first = np.cumsum(size) - size
+        spot = np.repeat(self.rows[found] - first, size) + np.arange(size.sum())
+        sims = np.add.reduceat(query[self.which[spot]] * self.weight[spot], first)
+        query[at] = 0
+        near = sims >= CLOSE
+        found, sims = found[near], np.minimum(sims[near], 1.0)
+        order = np.lexsort((found, -np.round(sims, 6)))[:k]
+        return found[order], sims[order]
+
+
+def close_index(texts: Iterable[list[bytes]]) -> CloseIndex:
+    """Of texts as words. Rows hold their words ascending; postings point into the rows."""
+    words: dict[bytes, int] = {}
+    at, tf, rows = [], [], [0]
+    for text in texts:
+        n = Counter(text)
+        at.append(np.fromiter((words.setdefault(w, len(words)) for w in n), np.int32, len(n)))
+        tf.append(np.fromiter(n.values(), np.float32, len(n)))
+        rows.append(rows[-1] + len(n))
+    which, weight = np.concatenate([np.empty(0, np.int32), *at]), np.concatenate([np.empty(0, np.float32), *tf])
+    del at, tf
+    df = np.bincount(which, minlength=len(words))
+    size, rows = len(rows) - 1, np.asarray(rows)
+    idf = np.log((1 + size) / (1 + df)) + 1
+    owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(rows))
+    weight = (1 + np.log(np.maximum(weight, 1))) * idf[which]
+    weight = (weight / np.sqrt(np.bincount(owner, weights=weight * weight, minlength=size))[owner]).astype(np.float32) if len(owner) else weight
+    order = np.argsort(which, kind="stable").astype(np.int32)
+    return CloseIndex(words, idf, float(np.log(1.0 + size) + 1), np.concatenate([[0], np.cumsum(df)]), owner[order], rows, which, weight, order)
+
+
 @dataclass
 class ToxicityIndex:
     """terms: word to column; per term, postings by example in order, cut by `cuts[term, block]`; bounds[term, block]: largest impact."""
@@ -52,6 +147,9 @@ class ToxicityIndex:
     shift: float = 0.0
     k: int = NEIGHBOURS
     seen: dict = field(default_factory=dict)
+    close: CloseIndex = field(default_factory=lambda: close_index([]))
+    close_ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    close_labels: np.ndarray = field(default_factory=lambda: np.empty(0, int))
 
     def vector(self, words: list[bytes]) -> tuple[tuple[int, float], ...]:
         """Unit TF-IDF vector over the index's terms, as (term, weight) ascending; empty if no term occurs."""
@@ -94,21 +192,27 @@ class ToxicityIndex:
         return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift))))
 
     def score(self, text: bytes) -> tuple[float, list[dict], list[str]]:
-        """Probability of label 1, the nearest examples, and the text's telling terms."""
-        v = self.vector(text.translate(WORD_TABLE).split())
-        if not v:
-            return self.bare, [], []
+        """Probability of label 1, the close and the nearest examples (each once, by similarity), and the text's telling terms."""
+        words = text.translate(WORD_TABLE).split()
+        v = self.vector(words)
+        near, close = self.close.nearest(words, self.k)
         if v not in self.seen:
             if len(self.seen) > 2000:
                 self.seen.clear()
-            best, sims = self.nearest(v)
-            names = list(self.terms)
-            self.seen[v] = (
-                self.calibrated(self.vote(best, sims)) if len(best) else self.bare,
-                [{"doc_id": int(self.example_ids[i]), "similarity": float(s), "label": int(self.labels[i])} for i, s in zip(best.tolist(), sims.tolist(), strict=True)],
-                [names[t].decode(errors="replace") for t, _ in v],
-            )
-        return self.seen[v]
+            self.seen[v] = self.nearest(v) if v else (np.empty(0, np.int64), np.empty(0))
+        best, sims = self.seen[v]
+        p = self.calibrated(self.vote(best, sims)) if len(best) else self.bare
+        if len(near):
+            c = COPY * close**POWER
+            p = float((c @ self.close_labels[near] + SHRINK * p) / (c.sum() + SHRINK))
+        found: dict[int, tuple[float, int]] = {}
+        for i, s, y in [*zip(self.close_ids[near].tolist(), close.tolist(), self.close_labels[near].tolist(), strict=True), *zip(self.example_ids[best].tolist(), sims.tolist(), self.labels[best].tolist(), strict=True)]:
+            found.setdefault(i, (s, y))
+        return p, [{"doc_id": int(i), "similarity": float(s), "label": int(y)} for i, (s, y) in found.items()], [self.names[t] for t, _ in v]
+
+    @cached_property
+    def names(self) -> list[str]:
+        return [t.decode(errors="replace") for t in self.terms]
 
 
 def build(ids: list[int], texts: list[bytes], labels: np.ndarray, k: int = NEIGHBOURS, min_df: int = MIN_DF) -> ToxicityIndex:
@@ -168,6 +272,7 @@ def build(ids: list[int], texts: list[bytes], labels: np.ndarray, k: int = NEIGH
     index.where, index.impact = at, w
     index.bounds = np.zeros((len(terms), blocks))
     np.maximum.at(index.bounds, (t, at // BLOCK), w)
+    index.close, index.close_ids, index.close_labels = close_index(words()), np.asarray([ids[i] for i in kept], np.int64), y
     _calibrate(index, [vectors[i] for i in order])
     return index
 
@@ -204,8 +309,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 def score(docs: DataFrame, index: ToxicityIndex, text_col: str = "text", name: str = "toxicity", keep: list[str] | None = None, evidence: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (or their columns `keep`) with the probability of label 1 and, if asked for, `evidence` and `evidence_terms`.
 
-    Null texts are empty; a text without telling terms gets the share of label 1 among such examples. Columns of
-    the new names are replaced.
+    Null texts are empty; a text without telling terms and close examples gets the share of label 1 among the examples
+    without telling terms. Columns of the new names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
     extra = [name, *(["evidence", "evidence_terms"] if evidence else [])]
