@@ -201,6 +201,14 @@ def test_article_text():
     assert main_text("<p>one &#233; &eacute; &bogus; &amp") == "one é é &bogus; &"
 
 
+def test_no_part_of_an_article_is_cut():
+    body, less = ("word " * 90).strip(), ("more " * 60).strip()
+    sections = f"<body><nav><a href=/>Home</a></nav><div><section><p>{body}</p><p>{body}</p><p>{body}</p></section><section><p>{less}</p><ul><li>one</li><li>two</li></ul><p>The end.</p></section></div></body>"
+    assert main_text(sections) == "\n\n".join([body, body, body, less, "one", "two", "The end."])
+    shorter = f"<body><nav><a href=/>Home</a></nav><article><p>{body}</p><p>{body}</p></article><article><p>{less}</p></article></body>"
+    assert main_text(shorter) == "\n\n".join([body, body, less])
+
+
 def test_pages_match_their_articles(spark):
     import html
     import re

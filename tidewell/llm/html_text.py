@@ -2,8 +2,9 @@
 
 A page is read as one stream of parser events. Block elements cut it into lines; each line has its text, its number of
 tags, the region (article or main) and the container it lies in, and whether it lies in page furniture. The ratio of
-text to tags of the lines is smoothed by a Gaussian and split in two clusters by a threshold. The regions that hold the
-upper cluster are selected: all lines in them come out, but for furniture.
+text to tags of the lines is smoothed by a Gaussian and split in two clusters by a threshold. Each region that holds a
+line of the upper cluster is selected, or else the lowest container around all such lines: all lines in it come out,
+but for furniture.
 """
 
 from __future__ import annotations
@@ -180,45 +181,39 @@ def main_text(html: str | None) -> str:
     content = [not x.furniture and s > cut for x, s in zip(lines, smooth.tolist(), strict=True)]
     if not any(content):
         content = [not x.furniture for x in lines]
-    held: dict[int, int] = {}
-    for x, c in zip(lines, content, strict=True):
-        if x.region and not x.furniture:
-            held[x.region] = held.get(x.region, 0) + len(x.text) * (1 + 3 * c)
-    if held:
-        best = max(held.values())
-        regions = {r for r, n in held.items() if 2 * n >= best}
+    regions = {x.region for x, c in zip(lines, content, strict=True) if c and x.region}
+    if regions:
         return "\n\n".join(x.text for x in lines if x.region in regions and not x.furniture)
-    above: dict[int, int] = {}
-    for x, c in zip(lines, content, strict=True):
-        at = x.container
-        while c:
-            above[at] = above.get(at, 0) + len(x.text)
-            if not at:
-                break
-            at = reader.parents[at]
-    total = above.get(0, 0)
-    chosen = max((c for c, n in above.items() if 10 * n >= 7 * total), default=0)
+    # the lowest container that all of the upper cluster lies in
+    paths = []
+    for at in {x.container for x, c in zip(lines, content, strict=True) if c}:
+        path = [at]
+        while path[-1]:
+            path.append(reader.parents[path[-1]])
+        paths.append(path[::-1])
+    chosen = 0
+    for level in zip(*paths, strict=False):
+        if len(set(level)) > 1:
+            break
+        chosen = level[0]
     inside = []
     for x in lines:
         at = x.container
         while at and at != chosen:
             at = reader.parents[at]
         inside.append(at == chosen and not x.furniture)
-    where = [i for i, (a, c) in enumerate(zip(inside, content, strict=True)) if a and c]
-    if not where:
-        return ""
-    first, last = where[0], where[-1]
+    first = next((i for i, a in enumerate(inside) if a), 0)
     while first and lines[first - 1].heading and not lines[first - 1].furniture:
         first -= 1
         inside[first] = True
-    return "\n\n".join(lines[i].text for i in range(first, last + 1) if inside[i])
+    return "\n\n".join(x.text for x, a in zip(lines, inside, strict=True) if a)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page row; nothing is cut or dropped.
 
     Null or empty html gives an empty text and 0; null ids and urls stay null; repeated rows each get their row. A page
-    without article or main falls back to the container that holds most of the upper cluster. Other columns play no part.
+    without article or main falls back to the lowest container that holds all of the upper cluster. Other columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
