@@ -209,6 +209,17 @@ def test_no_part_of_an_article_is_cut():
     assert main_text(shorter) == "\n\n".join([body, body, less])
 
 
+def test_marks_never_remove_the_article():
+    body = ("word " * 60).strip()
+    inner = f"<p>{body}</p><p>{body}</p><div class=ad>Buy!</div><div class='cookie-notice'>We use cookies</div>"
+    for page in (
+        f"<article class='post comments-open'>{inner}</article>", f"<article class=related>{inner}</article>", f"<div id=page class='hidden nav'><article>{inner}</article></div>",
+        f"<div class='content no-sidebar'>{inner}</div>", f"<div class=widget>{inner}</div>",
+    ):
+        assert main_text(f"<body><nav><a href=/>Home</a></nav>{page}<div id=comments><p>Nice</p></div></body>") == f"{body}\n\n{body}", page
+    assert main_text(f"<body><article><p>{body}</p></article><div id=comments><p>{body}</p><p>{body}</p></div></body>") == body
+
+
 def test_pages_match_their_articles(spark):
     import html
     import re

@@ -48,24 +48,29 @@ class Line:
     region: int
     container: int
     heading: bool
+    marks: tuple[int, ...]
 
 
 class LineReader(HTMLParser):
-    """Parser events to lines. Open elements are (tag, is or lies in furniture, region, container)."""
+    """Parser events to lines. Open elements are (tag, is or lies in furniture, region, container, marked elements around).
+
+    Whether a mark makes its element furniture is known at the end only: `spared` ones are or hold a region.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = [("", False, 0, 0, ())]
         self.parts: list[str] = []
         self.tags = self.links = self.made = self.in_link = 0
         self.parents: dict[int, int] = {0: 0}
+        self.spared: set[int] = set()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tag, furniture, region, container = self.open[-1]
-            self.lines.append(Line(text, self.tags, self.links, furniture, region, container, tag[:1] == "h" and tag[1:].isdigit()))
+            tag, furniture, region, container, marks = self.open[-1]
+            self.lines.append(Line(text, self.tags, self.links, furniture, region, container, tag[:1] == "h" and tag[1:].isdigit(), marks))
             self.tags = self.links = 0
         self.parts.clear()
 
@@ -95,13 +100,17 @@ class LineReader(HTMLParser):
                 break
             if self.open[i][0] in HOLDERS:
                 break
-        _, inside, region, container = self.open[-1]
+        _, inside, region, container, marks = self.open[-1]
         if tag == "header":
             leaves_out = region == 0
         if tag not in ("html", "body") and not leaves_out:
-            leaves_out = _hidden(attrs) or (tag != "main" and _marked(attrs))
+            leaves_out = _hidden(attrs)
         self.made += 1
+        if tag not in ("html", "body", "main") and not (inside or leaves_out) and _marked(attrs):
+            marks = (*marks, self.made)
         if tag in REGIONS and not (tag == "article" and region):
+            if not (inside or leaves_out or region):
+                self.spared.update(marks)
             self.parents[self.made] = region
             region = self.made
         if tag not in LEAVES:
@@ -109,7 +118,7 @@ class LineReader(HTMLParser):
             container = self.made
         if leaves_out and not block:
             self.flush()
-        self.open.append((tag, inside or leaves_out, region, container))
+        self.open.append((tag, inside or leaves_out, region, container, marks))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, a slash doesn't close an element
@@ -142,7 +151,8 @@ def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    return any(value and MARKS.intersection(WORD.findall(CAMEL.sub(" ", value).lower())) for name, value in attrs if name in ("class", "id", "role", "aria-label"))
+    """Whether a whole token is a mark, or all words of it are."""
+    return any(value and any((w := WORD.findall(CAMEL.sub(" ", token).lower())) and MARKS.issuperset(w) for token in value.split()) for name, value in attrs if name in ("class", "id", "role", "aria-label"))
 
 
 def _smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -175,6 +185,17 @@ def main_text(html: str | None) -> str:
     lines = reader.lines
     if not lines:
         return ""
+    spared = reader.spared
+    if not any(x.region and not x.furniture and spared.issuperset(x.marks) for x in lines):
+        # a marked element with most of the page's text holds the article
+        total = sum(len(x.text) for x in lines if not x.furniture)
+        held: dict[int, int] = {}
+        for x in lines:
+            for m in x.marks if not x.furniture else ():
+                held[m] = held.get(m, 0) + len(x.text)
+        spared |= {m for m, n in held.items() if 2 * n > total}
+    for x in lines:
+        x.furniture |= not spared.issuperset(x.marks)
     ratio = np.asarray([0.0 if x.furniture else max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
     smooth = _smoothed(ratio)
     cut = threshold(smooth)
