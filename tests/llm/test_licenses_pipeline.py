@@ -55,6 +55,21 @@ def test_nearest_directory_speaks(spark):
     assert M.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_spdx_lines_and_full_texts(spark):
+    full = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "CC0-1.0": "CC0-1.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    lines = {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "BSD-3-Clause": "BSD-3-Clause", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LicenseRef-Acme": None}
+    rows, want = [], {}
+    for name, license in full.items():
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8") as f:
+            rows += [(f"{name}/LICENSE", "Copyright 2020 A. Person\n\n" + f.read()), (f"{name}/src/a.py", "x = 1")]
+        want |= {f"{name}/LICENSE": (license, "own"), f"{name}/src/a.py": (license, "inherited")}
+    for i, (name, license) in enumerate(lines.items()):
+        rows.append((f"s/{i}.py", f"# SPDX-License-Identifier: {name}\nimport os\nprint(os.name)\n"))
+        want[f"s/{i}.py"] = (license, "own" if license else "none")
+    got = {r.path: (r.license, r.origin) for r in M.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
+
+
 def test_pipeline_matches_its_parts(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
 A file's candidate passages are its lines with a licence word, these lines taken together, and (a licence file may be
-all licence) its whole text. Every passage's cosine to every template comes from one join on terms with the few hundred
-weights of the templates. A file whose name is that of a licence file, or whose whole text is a licence, speaks for its
+all licence) its whole text. Every passage's cosine to every template (notices, SPDX lines, full licence texts) comes from
+one join on terms with the few thousand weights of the templates. A file whose name is that of a licence file, or whose whole text is a licence, speaks for its
 directory; a file without a licence of its own inherits from the nearest directory above it that has such a file.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ THRESHOLD = 0.6
 #: A file that isn't named so is a licence file only if its whole text is hardly more than a licence.
 FILE_THRESHOLD = 0.95
 #: Licence identifiers and notices as their owners recommend them for file headers and licence files.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
@@ -32,6 +33,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice."),
@@ -45,6 +47,16 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means."),
 )
+#: SPDX identifiers; those of the GNU licences also come with a suffix.
+SPDX = ("Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-1.1", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense", "Artistic-1.0-Perl")
+GNU = ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "GFDL-1.2", "GFDL-1.3")
+#: Notices, SPDX lines, and the full texts in license_texts, each file named by its licence and version.
+TEMPLATES: tuple[tuple[str, str], ...] = (
+    *NOTICES,
+    *((i, f"SPDX-License-Identifier: {i}") for i in (*SPDX, *GNU)),
+    *((i, f"SPDX-License-Identifier: {i}-{suffix}") for i in GNU for suffix in ("only", "or-later")),
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
+)
 #: Words of which a licence passage has one; names of licence files.
 TRIGGER = r"(?i)licen[cs]e|licen[cs]ing|copyright|spdx|redistribut|public domain|permission (is|to)|free software|creative commons"
 FILE_NAME = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
@@ -80,7 +92,7 @@ def best_license(found: DataFrame, weights: DataFrame, rare_idf: float) -> DataF
     known = weights.select("term", "idf").distinct()
     found = found.withColumn("passage_id", F.xxhash64("kind", "passage"))
     terms = found.select("file", "kind", "passage_id", F.explode(words(F.col("passage"))).alias("term")).groupBy("file", "kind", "passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    # the templates' weights are a fixed few hundred rows
+    # the templates' weights are a fixed few thousand rows
     raw = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(rare_idf))
     terms = terms.join(F.broadcast(known), "term", "left").withColumn("raw", raw).drop("idf", "tf")
     norms = terms.groupBy("file", "kind", "passage_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
