@@ -34,3 +34,10 @@ def test_entry(spark):
 def test_interval_join_is_planned_on_equality(spark):
     plan = QUERIES["window_counts_closed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bootstrap_query_makes_the_references_draws(spark):
+    from tidewell.operators import stats
+    from tidewell.plans.queries import _paired
+
+    assert QUERIES["bootstrap_ci"](spark, SF).first() == stats.bootstrap_median(_paired(spark, SF), "diff", 20000).first() != stats.bootstrap_median(_paired(spark, SF), "diff", 500).first()

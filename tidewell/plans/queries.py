@@ -510,7 +510,7 @@ def wilcoxon_w(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_median(_paired(spark, sf_dir), "diff", 500)
+    return stats.bootstrap_median(_paired(spark, sf_dir), "diff", 20000)
 
 
 @query("""WITH e AS (SELECT l_linenumber, (l_quantity - 25) / 2 AS e FROM lineitem) SELECT l_linenumber, count(*) AS n, round(median(abs(e)), 4)::DOUBLE AS median_abs, round(stddev_samp(e), 4)::DOUBLE AS sd, round(quantile_cont(abs(e), 0.9), 4)::DOUBLE AS p90_abs, round(max(abs(e)), 4)::DOUBLE AS worst_abs, round(avg(e), 4)::DOUBLE AS bias, round(avg((abs(e) <= 5)::INT), 6)::DOUBLE AS within_5 FROM e GROUP BY 1""")
