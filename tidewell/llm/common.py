@@ -27,10 +27,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; a temporary one of this session only where it is unset."""
+    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, a temporary one of this session, if driver and executors are one process; else an error."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="tidewell-")
@@ -61,15 +63,17 @@ def stable_salt(key: Column, n: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(n)
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, salt: Column) -> DataFrame:
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, salt: Column, weight: Column | None = None) -> DataFrame:
     """Number the rows of each group from 0 without gaps, ordered by (salt, order), though no task sees a whole group.
 
-    Rows are ranked inside (group, salt); the few counts of (group, salt) are summed up and added.
-    Null group values form groups like any other.
+    Rows are ranked inside (group, salt); the few counts of (group, salt) are summed up and added. With a weight (a whole
+    number), a row's number is the sum of the weights before it instead. Null group values form groups like any other.
     """
     s = "_salt_"
-    ranked = df.withColumn(s, salt).withColumn("_rank_", F.row_number().over(Window.partitionBy(*group, s).orderBy(*order)) - 1)
-    counts = df.withColumn(s, salt).groupBy(*group, s).agg(F.count(F.lit(1)).alias("_n_"))
+    one = F.lit(1) if weight is None else weight
+    inside = Window.partitionBy(*group, s).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = df.withColumn(s, salt).withColumn("_rank_", F.sum(one).over(inside) - one)
+    counts = df.withColumn(s, salt).groupBy(*group, s).agg(F.sum(one).alias("_n_"))
     before = Window.partitionBy(*group).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before_", F.coalesce(F.sum("_n_").over(before), F.lit(0))).drop("_n_")
     keys = [*group, s]
@@ -79,7 +83,7 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, s
     return joined.withColumn(name, (F.col("_rank_") + F.col("_before_")).cast("long")).drop("_rank_", "_before_", s, *(f"_o{i}_" for i in range(len(keys))))
 
 
-def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest node reachable from each node of edges(a, b): columns node, component.
 
     Alternating large-star and small-star rounds over a table in shared storage; no edge or component
@@ -90,7 +94,7 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
     nodes_only = now.select(F.col("a").alias("node")).union(now.select(F.col("b"))).distinct()
     first = now
     seen = None
-    for _ in range(max_rounds):
+    while True:
         # large star: every larger neighbour of u is tied to the smallest node around u
         both = now.where("a <> b").select("a", "b").union(now.where("a <> b").select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -106,8 +110,6 @@ def connected_components(edges: DataFrame, label: str = "cc", max_rounds: int =
         if state == seen:
             break
         seen = state
-    else:
-        raise RuntimeError("connected components did not converge")
     roots = now.groupBy("a").agg(F.min("b").alias("m"))
     return nodes_only.join(roots, nodes_only.node == roots.a, "left").select("node", F.coalesce("m", "node").alias("component"))
 
@@ -202,3 +204,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         offset += 8
         live = live[left > 8]
     return h, starts
+
+
+def pieces(values: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """Where ascending hashes are cut between equal ranges (a power of two of them): each range that holds any, and its place."""
+    if not len(values):
+        return []
+    which = values >> np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else np.zeros(len(values), np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])).tolist()
+    return list(zip(which[first].astype(np.int64).tolist(), map(slice, first, [*first[1:], len(values)]), strict=True))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_SPACE_TABLE, connected_components, gapless_rank, give_back, materialize, mix64, text_blocks, word_hashes
+from .common import LOWER_SPACE_TABLE, connected_components, gapless_rank, give_back, materialize, mix64, pieces, text_blocks, word_hashes
 
 BLOCK_BYTES = 2 << 20
 #: Input bytes for each hash range.
@@ -33,12 +33,15 @@ FREQUENT = 16
 #: Fingerprints of frequent shingles that are broadcast; with more, the count that makes a shingle frequent doubles.
 MAX_FREQUENT = 2_000_000
 LONG_LIST = 48
-FAMILY_BLOCK = 1024
+#: Shingles of one side of a tile, a set counting SET_WEIGHT besides; a larger set is a side of its own.
+FAMILY_BLOCK = 1 << 19
+SET_WEIGHT = 256
 POSITIONS = 256
 #: Rows of a side that may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
 #: Odd multipliers of a shingle's word hashes.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+RANGE_SEED = np.uint64(0x9FB21C651E98DF25)
 TIED = 1 << 30
 
 
@@ -87,12 +90,6 @@ def _ranges(docs: DataFrame, text_col: str) -> int:
     return 1 << max(4, (max(1, size // RANGE_BYTES) - 1).bit_length())
 
 
-def _split(values: np.ndarray, ranges: int) -> np.ndarray:
-    """Cuts of ascending hashes between equal ranges."""
-    width = 64 - (ranges.bit_length() - 1)
-    return np.searchsorted(values >> np.uint64(width), np.arange(ranges + 1, dtype=np.uint64))
-
-
 def _planes(v: np.ndarray, low: int = 0) -> bytes:
     """Bytes low..7 of 64-bit values, all lowest bytes first and so on: the upper ones of sorted values compress away."""
     return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, low:].T).tobytes()
@@ -112,8 +109,7 @@ def frequent_shingles(docs: DataFrame, k: int, ranges: int, frequent: int, max_f
         for _, texts in text_blocks(batches, "text", BLOCK_BYTES):
             once = {s.tobytes(): s for s in shingle_sets(texts, k)}
             v = np.sort(np.concatenate([np.empty(0, np.uint64), *once.values()]))
-            cuts = _split(v, ranges)
-            got = [(b, _planes(v[cuts[b] : cuts[b + 1]], 3)) for b in range(ranges) if cuts[b] < cuts[b + 1]]
+            got = [(b, _planes(v[c], 3)) for b, c in pieces(v, ranges)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["range", "data"])
 
     def often(rows: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +135,8 @@ def _postings(docs: DataFrame, k: int, ranges: int, fingers: np.ndarray, num: in
             names = [set_id(s) if len(s) else 0 for s in sets]
             sizes = [len(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [table.column("doc_id").combine_chunks(), pa.array(names, pa.int64(), mask=np.asarray(sizes) == 0), pa.array(sizes, pa.int64()), pa.nulls(len(sets), pa.int32()), *(pa.nulls(len(sets), pa.binary()) for _ in range(3))],
-                ["doc_id", "set", "n", "range", "hashes", "sets", "sizes"],
+                [table.column("doc_id").combine_chunks(), table.column("h").combine_chunks(), pa.array(names, pa.int64(), mask=np.asarray(sizes) == 0), pa.array(sizes, pa.int64()), pa.nulls(len(sets), pa.int32()), *(pa.nulls(len(sets), pa.binary()) for _ in range(3))],
+                ["doc_id", "h", "set", "n", "range", "hashes", "sets", "sizes"],
             )
             hashes, owner, size = [], [], []
             for name, s in {name: s for name, s in zip(names, sets, strict=True) if len(s)}.items():
@@ -156,17 +152,17 @@ def _postings(docs: DataFrame, k: int, ranges: int, fingers: np.ndarray, num: in
                 size.append(np.full(p, len(s), np.uint64))
             if not hashes:
                 continue
-            h, o, z = np.concatenate(hashes), np.concatenate(owner), np.concatenate(size)
+            # prefixes hold the lowest hashes, so ranges are cut on another mix of them
+            h, o, z = mix64(np.concatenate(hashes) ^ RANGE_SEED), np.concatenate(owner), np.concatenate(size)
             order = np.argsort(h, kind="stable")
             h, o, z = h[order], o[order], z[order]
-            cuts = _split(h, ranges)
-            got = [(b, slice(cuts[b], cuts[b + 1])) for b in range(ranges) if cuts[b] < cuts[b + 1]]
+            got = pieces(h, ranges)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.nulls(len(got), pa.int64()) for _ in range(3)), pa.array([b for b, _ in got], pa.int32()), *(pa.array([_planes(np.ascontiguousarray(x[c])) for _, c in got], pa.binary()) for x in (h, o.view(np.uint64), z))],
-                ["doc_id", "set", "n", "range", "hashes", "sets", "sizes"],
+                [*(pa.nulls(len(got), pa.int64()) for _ in range(4)), pa.array([b for b, _ in got], pa.int32()), *(pa.array([_planes(np.ascontiguousarray(x[c])) for _, c in got], pa.binary()) for x in (h, o.view(np.uint64), z))],
+                ["doc_id", "h", "set", "n", "range", "hashes", "sets", "sizes"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, set long, n long, range int, hashes binary, sets binary, sizes binary")
+    return docs.mapInArrow(run, "doc_id long, h long, set long, n long, range int, hashes binary, sets binary, sizes binary")
 
 
 def _candidates(num: int, den: int, long_list: int):
@@ -295,7 +291,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     null). Other columns play no part; an empty table gives an empty result.
     """
     num, den = threshold
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ranges = _ranges(docs, "text")
     fingers = frequent_shingles(docs.select("text"), k, ranges, frequent)
     packed = materialize(_postings(docs, k, ranges, fingers, num, den), "prefix-postings")
@@ -306,30 +302,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] =
     reach = F.col("c") + F.ceil(F.lit(num) * F.greatest("na", "nb") / F.lit(den)) - 1
     pairs = pairs.where(F.lit(num) * (F.col("na") + F.col("nb")) <= reach * F.lit(num + den)).select("a", "b")
     families = materialize(connected_components(pairs, "families").select(F.col("node").alias("set"), F.col("component").alias("family")), "family-sets")
-    sets = rows.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    # one row speaks for each set: of the smallest id, known by its id and its text's hash
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("least")
+    sets = materialize(packed.where(F.col("set").isNotNull()).groupBy("set").agg(least, F.first("n").alias("n")).select("set", "least.doc_id", "least.h", "n"), "sets")
     members = materialize(families.join(sets, "set"), "members")
-    # slices of like size, so that no task ranks a whole family
-    ranked = gapless_rank(members, ["family"], ["n", "set"], "rank", F.floor(F.log(F.col("n").cast("double")) * 20) * 64 + F.pmod(F.xxhash64("set"), F.lit(64)))
-    members = materialize(ranked.withColumn("part", F.floor(F.col("rank") / family_block).cast("int")).drop("rank"), "members")
+    # by size, in slices of like size, so that no task ranks a whole family; parts hold about family_block shingles
+    ranked = gapless_rank(members, ["family"], ["n", "set"], "before", F.floor(F.log(F.col("n").cast("double")) * 20) * 64 + F.pmod(F.xxhash64("set"), F.lit(64)), F.col("n") + SET_WEIGHT)
+    members = materialize(ranked.withColumn("part", F.floor(F.col("before") / family_block).cast("int")).drop("before"), "members")
     parts = members.groupBy("family", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     other = parts.select(F.col("family").alias("f2"), F.col("part").alias("part2"), F.col("low").alias("low2"))
     tiles = parts.join(other, (F.col("family") == F.col("f2")) & (F.col("part") <= F.col("part2")) & (F.lit(den) * F.col("high") >= F.lit(num) * F.col("low2"))).select("family", F.col("part").alias("i"), F.col("part2").alias("j"))
     places = tiles.select("family", F.col("i").alias("part"), "i", "j").union(tiles.where("i < j").select("family", F.col("j").alias("part"), "i", "j"))
-    places = places.groupBy("family", "part").agg(F.collect_list(F.struct("i", "j")).alias("tiles"))
-    asked = members.join(places, ["family", "part"]).select(F.col("doc_id").alias("_id_"), "set", "family", "part", "tiles")
-    asked = materialize(asked, "asked")
-    side = F.broadcast(asked) if asked.count() <= max_broadcast_rows else asked
+    places = materialize(places, "places")
+    asked = materialize(members.select(F.col("doc_id").alias("_id_"), F.col("h").alias("_h_"), "set", "family", "part"), "asked")
+    small = lambda df: F.broadcast(df) if df.count() <= max_broadcast_rows else df
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in text_blocks(batches, "text", BLOCK_BYTES):
             got = shingle_sets(texts, k)
             same = [i for i, (s, name) in enumerate(zip(got, table.column("set").to_pylist(), strict=True)) if len(s) and set_id(s) == name]
-            out = table.select(["set", "family", "part", "tiles"]).take(pa.array(same, pa.int64())).append_column("hashes", pa.array([got[i].tobytes() for i in same], pa.binary()))
+            out = table.select(["set", "family", "part"]).take(pa.array(same, pa.int64())).append_column("hashes", pa.array([got[i].tobytes() for i in same], pa.binary()))
             yield from out.combine_chunks().to_batches()
 
-    found = docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id_"))).select("text", "set", "family", "part", "tiles")
-    unpacked = found.mapInArrow(unpack, "set long, family long, part int, tiles array<struct<i:int,j:int>>, hashes binary")
-    placed = unpacked.select("set", "family", "part", F.explode("tiles").alias("t"), "hashes").select("set", "family", "part", "t.i", "t.j", "hashes")
+    found = docs.join(small(asked), (F.col("h") == F.col("_h_")) & F.col("doc_id").eqNullSafe(F.col("_id_"))).select("text", "set", "family", "part")
+    unpacked = found.mapInArrow(unpack, "set long, family long, part int, hashes binary")
+    placed = unpacked.join(small(places), ["family", "part"]).select("set", "family", "part", "i", "j", "hashes")
 
     def compare(t: pd.DataFrame) -> pd.DataFrame:
         t = t.drop_duplicates("set")
