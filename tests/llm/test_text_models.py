@@ -142,19 +142,85 @@ def test_language_model_learns_from_every_training_document(spark):
     assert got[probe] > before[probe] + 8
 
 
+def pairs_of(seqs, end):
+    n = Counter((p, i) for s in seqs for p, i in zip([end, *s[:-1].tolist()], s.tolist(), strict=True))
+    return (np.asarray(x) for x in zip(*((p, i, c) for (p, i), c in sorted(n.items())), strict=True))
+
+
 def test_step_over_all_documents_raises_their_likelihood():
     rng = np.random.default_rng(1)
     seqs = [np.append(np.cumsum(rng.integers(1, 4, k)) % 50, 50) for k in rng.integers(5, 60, 200)]
     start = L.train(seqs[:20], 50, epochs=2)
     tokens, lengths = np.concatenate(seqs), np.asarray([len(s) for s in seqs])
-    whole, parts = np.zeros((51, 3 * L.COMPONENTS), np.float32), np.zeros((51, 3 * L.COMPONENTS), np.float32)
-    start.gather(tokens, lengths, whole)
-    for s in seqs:
-        start.gather(s, np.asarray([len(s)]), parts)
-    count = np.bincount(tokens, minlength=51)
-    assert np.allclose(whole, parts, rtol=1e-3, atol=1e-2) and np.allclose(whole[:, : L.COMPONENTS].sum(axis=1), count, rtol=1e-3)
-    model = start.learned(count, whole)
+    prior, ids, n = pairs_of(seqs, 50)
+    whole, parts = np.zeros((51, 2 * L.COMPONENTS), np.float32), np.zeros((51, 2 * L.COMPONENTS), np.float32)
+    start.expect(prior, ids, n, whole)
+    for at in range(0, len(ids), 7):
+        start.expect(prior[at : at + 7], ids[at : at + 7], n[at : at + 7], parts)
+    count, before = np.bincount(ids, weights=n, minlength=51), np.bincount(prior, weights=n, minlength=51)
+    assert np.array_equal(count, np.bincount(tokens, minlength=51))
+    assert np.allclose(whole, parts, rtol=1e-3, atol=1e-2) and np.allclose(whole[:, : L.COMPONENTS].sum(axis=1), count, rtol=1e-3) and np.allclose(whole[:, L.COMPONENTS :].sum(axis=1), before, rtol=1e-3)
+    model = start.learned(count, before, whole)
     assert model.score(tokens, lengths).sum() > start.score(tokens, lengths).sum() + 10
+    assert np.allclose(model.after.sum(axis=1), 1, atol=1e-4)
+
+
+def test_pairs_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_PAIRS", 50)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 200)
+    texts = [f"the cat {w} sat on {i} mats" for i, w in enumerate(["big", "small", None, "new"] * 30)] + ["", " ", "one"]
+    ids = L.WordIds(L.VOCABULARY)
+    seqs = [L.sequences([t.encode()], ids)[0] for t in texts]
+    want = {p * (ids.end + 1) + i: c for p, i, c in zip(*pairs_of(seqs, ids.end), strict=True)}
+    got = {}
+    for r in L.count_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), L.VOCABULARY).collect():
+        key, n = np.frombuffer(r.pairs, np.int64), np.frombuffer(r.times, np.int64)
+        assert set(key // (ids.end + 1) // L.CHUNK) == {r.chunk}
+        got |= dict(zip(key.tolist(), n.tolist(), strict=True))
+    assert got == want
+
+
+def test_gradients_are_the_numerical_ones():
+    rng = np.random.default_rng(2)
+    n, d, c, size = 5, 4, 3, 7
+    w = {"embed": rng.standard_normal((size, d)), "place": rng.standard_normal((n, d)), "qkv": rng.standard_normal((d, 3 * d)), "mix": rng.standard_normal((d, c)), "follow": rng.standard_normal((size, c))}
+    emit, ids, want = rng.random((size, c)), rng.integers(0, size, (2, n)), rng.integers(0, size, (2, n))
+    loss = lambda: -np.log((L._forward(w, ids)[-1] * emit[want]).sum(axis=2)).sum()
+    kept = L._forward(w, ids)
+    gamma = kept[-1] * emit[want]
+    grads = L._backward(w, ids, kept, kept[-1] - gamma / gamma.sum(axis=2, keepdims=True))
+    for name, x in w.items():
+        for at in [tuple(int(rng.integers(k)) for k in x.shape) for _ in range(12)]:
+            old, step = x[at], 1e-5
+            x[at] = old + step
+            up = loss()
+            x[at] = old - step
+            down = loss()
+            x[at] = old
+            assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-3 * max(1, abs(grads[name][at])), name
+
+
+def test_model_beats_word_counts_on_held_out_documents(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    out = [held(r.doc_id, 10, 0) for r in rows]
+    words = [t.translate(L.LOWER_SPACE_TABLE).split() for t in texts]
+    count, ends = Counter(), 0
+    for w, o in zip(words, out, strict=True):
+        if not o:
+            count.update(w)
+            ends += 1
+    scale = np.log10(sum(count.values()) + ends + 0.1 * (len(count) + 2))
+    tests = [i for i, o in enumerate(out) if o]
+    base = sum(np.log10(count[x] + 0.1) - scale for i in tests for x in words[i]) + len(tests) * (np.log10(ends + 0.1) - scale)
+    ids = L.WordIds(L.VOCABULARY)
+    seqs = [L.sequences([t], ids)[0] for t, o in zip(texts, out, strict=True) if not o]
+    model = L.train(seqs, ids.end)
+    prior, at, n = pairs_of(seqs, ids.end)
+    sums = np.zeros((ids.end + 1, 2 * L.COMPONENTS), np.float32)
+    model.expect(prior, at, n, sums)
+    model = model.learned(np.bincount(at, weights=n, minlength=ids.end + 1), np.bincount(prior, weights=n, minlength=ids.end + 1), sums)
+    assert model.score(*L.sequences([texts[i] for i in tests], ids)).sum() > base
 
 
 def test_every_id_is_scored_once_whatever_the_windows():
@@ -164,6 +230,7 @@ def test_every_id_is_scored_once_whatever_the_windows():
     x = m.mixture(m.code[seqs[-1][None, :24]])
     share = x / x.sum(axis=2, keepdims=True)
     assert np.allclose((share @ m.emit[m.code].T).sum(axis=2), 1, atol=1e-3)
+    assert np.allclose(m.mixture(m.code[seqs[-1][None, :24]], 5), x[:, 5:], rtol=1e-4)
     lengths = np.asarray([len(s) for s in seqs])
     got = m.score(np.concatenate(seqs), lengths)
     for s, total in zip(seqs, got, strict=True):
