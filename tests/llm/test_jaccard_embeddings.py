@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import connected_components
-from tidewell.llm.embedding_dedup import near_duplicates
+from tidewell.llm.embedding_dedup import near_duplicates, tile_links, unit
 from tidewell.llm.jaccard import jaccard_components, links_within
 
 SPACE = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -107,7 +107,25 @@ def test_embeddings_match_brute_force(spark):
     comp = components([r[0] for r in rows], linked)
     comp = [c if n[i] or rows[i][0] is not None else None for i, c in enumerate(comp)]
     want = sorted(((r[0], k, c, r[0] is not None and r[0] == c) for r, k, c in zip(rows, n, comp, strict=True)), key=str)
-    for kw in ({}, {"tile": 7}):
+    for kw in ({}, {"tile": 7, "size": 3}):
         got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(df, **kw).collect()), key=str)
         assert got == want
     assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pigeonhole_join_prunes_and_loses_nothing():
+    rng = np.random.default_rng(0)
+    for d, n, spread in ((64, 1500, 1.0), (64, 900, 0.2), (9, 400, 0.3), (3, 200, 0.2)):
+        centres = rng.standard_normal((6, d))
+        u = unit(centres[rng.integers(0, 6, n)] * (spread < 1) + rng.standard_normal((n, d)) * spread)
+        weights = rng.integers(1, 4, n)
+        near = u @ u.T >= 0.93
+        np.fill_diagonal(near, False)
+        for home in (n, n // 3):
+            want = near.copy()
+            if home < n:
+                want[:home, :home] = want[home:, home:] = False
+            counts, _, compared, verified = tile_links(weights, u, home, 0.93)
+            assert np.array_equal(counts, want @ weights)
+            if spread == 1 and home == n:  # comparisons are of 4 of 64 coordinates
+                assert compared * 4 / 64 < 0.15 * n * (n - 1) / 2 and verified < 0.01 * n * (n - 1) / 2

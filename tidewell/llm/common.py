@@ -213,3 +213,12 @@ def pieces(values: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     which = values >> np.uint64(64 - (ranges.bit_length() - 1)) if ranges > 1 else np.zeros(len(values), np.uint64)
     first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])).tolist()
     return list(zip(which[first].astype(np.int64).tolist(), map(slice, first, [*first[1:], len(values)]), strict=True))
+
+
+def cuts(total: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a list with these running totals, so that each piece adds up to about `size` (a larger item stands alone)."""
+    at = 0
+    while at < len(total):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, side="right")))
+        yield at, stop
+        at = stop
