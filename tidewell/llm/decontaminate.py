@@ -1,24 +1,27 @@
 """Benchmark decontamination with a positional inverted index partitioned by documents.
 
 `build_index` turns documents into index rows, one for each block of documents: its terms and, for
-each, the delta-coded word positions in the block. `search` intersects, for every window of words of
-every item, the offset-adjusted position lists from the rarest term on, block by block: exact phrases
-come out, and (items with) proximity matches, where the item's rarest words lie close together.
+each, the delta-coded word positions in the block. `search` intersects, for the windows of words of
+all items, the offset-adjusted position lists from the rarest term on, block by block: exact phrases
+come out, and (items with) proximity matches, where the item's rarest words lie close together. All
+windows whose words are all in a block take a step together, so a block costs a few array operations.
 The index is written to shared storage, and items beyond one broadcast are searched in several passes
-over it, so neither side has a size limit.
+over it, so neither side has a size limit. Items travel as word numbers, not as windows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARK, materialize, text_blocks
+from .common import MARK, cuts, materialize, text_blocks
 
 #: Word bytes are digits, letters after lower-casing A-Z, and every byte of a non-ASCII character.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -28,7 +31,10 @@ NEAR_TERMS = 4
 NEAR_SPAN = 40
 BLOCK_BYTES = 4 << 20
 #: Bytes of item text that one broadcast may hold; more items are searched in more passes.
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 4 << 20
+#: Windows, and their postings, that take a step together.
+STEP_WINDOWS = 1 << 16
+STEP_POSTINGS = 1 << 20
 #: Bytes of distinct item words that may be broadcast to keep other words out of the index; beyond, it holds every word.
 VOCABULARY_BYTES = 32 << 20
 
@@ -40,13 +46,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_TABLE).split()
 
 
-def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """Distinct windows of `window` words; fewer words, but not none, are one window."""
-    if not words:
-        return []
-    return list(dict.fromkeys(tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))))
-
-
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: frozenset[bytes] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Index rows of all documents; of all their words, or of those in vocabulary.
 
@@ -118,70 +117,114 @@ def _load_items(items: DataFrame, item_bytes: int) -> Iterator[list[tuple[str, l
         yield part
 
 
-def _search_block(lists: dict[bytes, np.ndarray], starts: np.ndarray, windows: dict[tuple[bytes, ...], list[str]], near: list[tuple[str, list[bytes], int]], found: list[dict]) -> None:
-    for window, owners in windows.items():
-        adjusted = []
-        for offset, w in enumerate(window):
-            at = lists.get(w)
-            if at is None:
-                break
-            adjusted.append((len(at), offset, at))
-        else:
-            adjusted.sort(key=lambda x: x[:2])
-            _, offset, at = adjusted[0]
-            begin = at - offset
-            for _, offset, at in adjusted[1:]:
-                slot = np.searchsorted(at, begin + offset)
-                slot[slot == len(at)] = len(at) - 1
-                begin = begin[at[slot] == begin + offset]
-                if not len(begin):
-                    break
-            for b in begin.tolist():
-                row = int(np.searchsorted(starts, b, side="right")) - 1
-                found += ({"row": row, "item": o, "start": b - int(starts[row]), "length": len(window), "exact": True} for o in owners)
-    for item, terms, span in near:
-        at_all = sorted((lists[w] for w in terms if w in lists), key=len)
-        if len(at_all) < len(terms) or not at_all:
+@dataclass
+class Part:
+    """Items as numbers of the words in `terms` (ascending), one after another in `flat`.
+
+    Windows of `width` words begin at windows[width] in flat and belong to the items owners[width]. near: for each item that
+    takes part the anchor and the other terms that must lie close to it.
+    """
+
+    items: list[str | None]
+    terms: list[bytes]
+    flat: np.ndarray
+    windows: dict[int, np.ndarray]
+    owners: dict[int, np.ndarray]
+    near: list[tuple[int, list[int]]]
+    span: int
+
+
+def make_part(part: list[tuple[str, list[bytes]]], window: int, near_terms: int, near_span: int, often: Mapping[bytes, int] | None = None) -> Part:
+    """often: how many times the items hold a word, for the choice of rare ones; counted in this part if it isn't given."""
+    if often is None:
+        often = Counter(w for _, words in part for w in words)
+    terms = sorted({w for _, words in part for w in words})
+    code = {w: i for i, w in enumerate(terms)}
+    begins: dict[int, list[int]] = {}
+    owners: dict[int, list[int]] = {}
+    near, flat = [], []
+    for item, (_, words) in enumerate(part):
+        width = min(window, len(words))
+        if width:
+            n = len(words) - width + 1
+            begins.setdefault(width, []).extend(range(len(flat), len(flat) + n))
+            owners.setdefault(width, []).extend([item] * n)
+        rare = sorted(set(words), key=lambda w: (often[w], -len(w), w))[:near_terms]
+        if near_terms and len(rare) == near_terms and len(words) >= window:
+            near.append((item, [code[w] for w in rare]))
+        flat += [code[w] for w in words]
+    arrays = lambda x: {k: np.asarray(v, np.int64) for k, v in x.items()}
+    return Part([i for i, _ in part], terms, np.asarray(flat, np.int32), arrays(begins), arrays(owners), near, near_span)
+
+
+def _exact(part: Part, count: np.ndarray, first: np.ndarray, where: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, items, positions) of windows in a block whose word i is at where[first[i] : first[i] + count[i]]; span is beyond any position asked for."""
+    key = np.repeat(np.arange(len(count)), count) * span + where  # ascending
+    for width, starts in part.windows.items():
+        for at in range(0, len(starts), STEP_WINDOWS):
+            words = part.flat[starts[at : at + STEP_WINDOWS, None] + np.arange(width)]
+            n = count[words]
+            live = np.flatnonzero(n.all(axis=1))
+            order = np.argsort(n[live], axis=1, kind="stable")
+            words, owner = np.take_along_axis(words[live], order, axis=1), part.owners[width][at + live]
+            total = np.cumsum(count[words[:, 0]])
+            for low, high in cuts(total, STEP_POSTINGS):
+                rarest = words[low:high, 0]
+                n = count[rarest]
+                of = np.repeat(np.arange(low, high), n)
+                begin = where[np.repeat(first[rarest] - (np.cumsum(n) - n), n) + np.arange(n.sum())] - order[of, 0]
+                for step in range(1, width):
+                    wanted = words[of, step] * np.int64(span) + begin + order[of, step]
+                    slot = np.searchsorted(key, wanted)
+                    slot[slot == len(key)] = 0
+                    hit = (key[slot] == wanted) & (begin >= 0)
+                    of, begin = of[hit], begin[hit]
+                    if not len(of):
+                        break
+                yield width, owner[of], begin[begin >= 0]
+
+
+def _search_block(part: Part, lists: dict[bytes, np.ndarray], starts: np.ndarray) -> list[dict]:
+    empty = np.empty(0, np.int64)
+    postings = [lists.get(w, empty) for w in part.terms]
+    count = np.asarray([len(p) for p in postings], np.int64)
+    where = np.concatenate([empty, *postings])
+    first = np.cumsum(count) - count
+    found: list[dict] = []
+    for width, items, begin in _exact(part, count, first, where, int(starts[-1]) + 1 + max(part.windows, default=0)):
+        once = np.unique(np.stack([items, begin]), axis=1) if len(items) else np.empty((2, 0), np.int64)
+        rows = np.searchsorted(starts, once[1], side="right") - 1
+        found += ({"row": r, "item": part.items[i], "start": b, "length": width, "exact": True} for i, b, r in zip(once[0].tolist(), (once[1] - starts[rows]).tolist(), rows.tolist(), strict=True))
+    for item, terms in part.near:
+        if not count[terms].all():
             continue
-        row = np.searchsorted(starts, at_all[0], side="right") - 1
-        low, high = np.maximum(at_all[0] - span, starts[row]), np.minimum(at_all[0] + span, starts[row + 1] - 1)
+        anchor, *others = (postings[t] for t in terms)
+        row = np.searchsorted(starts, anchor, side="right") - 1
+        low, high = np.maximum(anchor - part.span, starts[row]), np.minimum(anchor + part.span, starts[row + 1] - 1)
         good = np.ones(len(row), bool)
-        for at in at_all[1:]:
+        for at in others:
             good &= np.searchsorted(at, low) < np.searchsorted(at, high, side="right")
-        for r, b in dict(zip(row[good].tolist(), at_all[0][good].tolist(), strict=True)).items():
-            found.append({"row": r, "item": item, "start": b - int(starts[r]), "length": 1, "exact": False})
+        for r, b in dict(zip(row[good].tolist(), anchor[good].tolist(), strict=True)).items():
+            found.append({"row": r, "item": part.items[item], "start": b - int(starts[r]), "length": 1, "exact": False})
+    return found
 
 
-def search(index: DataFrame, part: list[tuple[str, list[bytes]]], window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN) -> DataFrame:
+def search(index: DataFrame, part: list[tuple[str, list[bytes]]], window: int = WINDOW, near_terms: int = NEAR_TERMS, near_span: int = NEAR_SPAN, often: Mapping[bytes, int] | None = None) -> DataFrame:
     """Adds to each index row, in column found, where the items of one part occur: exact windows and proximity.
 
-    Proximity: the item's near_terms rarest words (by the items' own counts, then length, longest first) all within
-    near_span words of its rarest one, in one document; items of fewer words take no part.
+    Proximity: of the item's near_terms rarest words (by how often the items hold them, longest first, then by bytes) all
+    others lie within near_span words of an occurrence of the first, in one document; items of fewer words take no part.
     """
-    often: dict[bytes, int] = {}
-    for _, words in part:
-        for w in words:
-            often[w] = often.get(w, 0) + 1
-    windows: dict[tuple[bytes, ...], list[str]] = {}
-    near = []
-    for item, words in part:
-        for w in windows_of(words, window):
-            windows.setdefault(w, []).append(item)
-        rare = sorted(set(words), key=lambda w: (often[w], -len(w), w))[:near_terms]
-        if near_terms and len(rare) == near_terms and len(words) >= window:
-            near.append((item, rare, near_span))
-    windows = {w: sorted(set(o)) for w, o in windows.items()}
-    sent = index.sparkSession.sparkContext.broadcast((windows, near, {w for x in windows for w in x}))
+    sent = index.sparkSession.sparkContext.broadcast(make_part(part, window, near_terms, near_span, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, close, wanted = sent.value
+        asked = sent.value
+        wanted = set(asked.terms)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 lists = {w: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for w, p in zip(r["terms"], r["postings"], strict=True) if w in wanted}
-                found: list[dict] = list(r.get("found") or ())
-                _search_block(lists, np.asarray(r["starts"], np.int64), asked, close, found)
-                out.append(r | {"found": found})
+                out.append(r | {"found": [*(r.get("found") or ()), *_search_block(asked, lists, np.asarray(r["starts"], np.int64))]})
             hit = pa.struct([("row", pa.int32()), ("item", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())])
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("postings", pa.list_(pa.binary())), ("found", pa.list_(hit))]))
 
@@ -224,18 +267,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     all-clean results. Items whose id is null count as hits but are not listed.
     """
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col))
-    words: set[bytes] | None = set()
-    size = parts = 0
+    often: Counter[bytes] | None = Counter()
+    parts = 0
     for part in _load_items(items, item_bytes):
         parts += 1
-        if words is not None:
+        if often is not None:
             for _, w in part:
-                words.update(w)
-            size = sum(map(len, words))
-            words = None if size > vocabulary_bytes else words
-    hits = materialize(build_index(docs, id_col, text_col, None if words is None else frozenset(words)), "positional-index")
+                often.update(w)
+            often = None if sum(map(len, often)) > vocabulary_bytes else often
+    hits = materialize(build_index(docs, id_col, text_col, None if often is None else frozenset(often)), "positional-index")
     if not parts:
         hits = search(hits, [], window, near_terms, near_span)
     for part in _load_items(items, item_bytes):
-        hits = search(hits, part, window, near_terms, near_span)
+        hits = search(hits, part, window, near_terms, near_span, often)
     return hits.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, near_items array<string>, spans array<struct<start:int,length:int>>, block long, row int")

@@ -37,7 +37,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["length"])), ",")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", F.array_join("near_items", ",").alias("near_items"), spans.alias("spans"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +82,15 @@ i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({ASCII_LOWER}, '[^\x00
 iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
 dw AS (SELECT r, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 m AS (SELECT r, k, dw.n, item FROM dw JOIN iw USING (n, s)), hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
-it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)""",
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY 1),
+sp AS (SELECT r, string_agg((k - 1) || ':' || n, ',' ORDER BY k, n) AS spans FROM (SELECT DISTINCT r, k, n FROM m) GROUP BY 1),
+iww AS (SELECT rowid AS g, item, unnest(w) AS word FROM (SELECT row_number() OVER () AS rowid, item, w FROM i) WHERE len(w) >= 10), often AS (SELECT word, count(*) AS c FROM (SELECT unnest(w) AS word FROM i) GROUP BY 1),
+rare AS (SELECT g, item, word, k, max(k) OVER (PARTITION BY g) AS many FROM (SELECT g, item, word, row_number() OVER (PARTITION BY g ORDER BY c, -strlen(word), word) AS k FROM (SELECT DISTINCT g, item, word FROM iww) JOIN often USING (word)) WHERE k <= 4),
+pos AS (SELECT r, word, p FROM (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS p FROM d) WHERE word IN (SELECT word FROM rare)),
+near AS (SELECT DISTINCT r, item FROM (SELECT a.r, x.g, x.item, a.p FROM rare x JOIN pos a ON a.word = x.word AND x.k = 1 AND x.many = 4 JOIN rare y ON y.g = x.g AND y.k > 1 JOIN pos b ON b.r = a.r AND b.word = y.word AND abs(b.p - a.p) <= 40 GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT y.k) = 3)),
+ni AS (SELECT r, string_agg(item, ',' ORDER BY item) AS near_items FROM (SELECT r, item FROM near EXCEPT SELECT r, item FROM m) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, '') AS near_items, coalesce(spans, '') AS spans
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r) LEFT JOIN sp USING (r) LEFT JOIN ni USING (r)""",
     "op7_embedding_dedup": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.seen = l.a), c AS (SELECT node, min(seen) AS c FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
