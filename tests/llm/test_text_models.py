@@ -142,6 +142,72 @@ def test_language_model_learns_from_every_training_document(spark):
     assert got[probe] > before[probe] + 8
 
 
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 32
+    x = x * 0x9E3779B97F4A7C15 & MASK
+    x ^= x >> 29
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    return x ^ x >> 32
+
+
+def quality_features(text, bits=Q.BITS):
+    """Feature numbers of one text by their definition: words, whether neighbours are equal, n-grams inside words."""
+    text = text.translate(Q.SPACES)
+    hashes = []
+    for w in text.split():
+        h = (0xCBF29CE484222325 + len(w)) & MASK
+        for at in range(0, len(w), 8):
+            h = (mixed(h ^ int.from_bytes(w[at : at + 8], "little")) + 0x9E3779B97F4A7C15) & MASK
+        hashes.append(h)
+    grams, data = [], b" " + text + b" "
+    for n in Q.NGRAMS:
+        for at in range(len(data) - n + 1):
+            part = data[at : at + n]
+            if b" " not in part[1:-1]:
+                grams.append(((int.from_bytes(part, "big") + n) * 0x9E3779B97F4A7C15 & MASK) >> (64 - bits))
+    return [mixed((h + 7) & MASK) >> (64 - bits) for h in hashes], [int(a == b) for a, b in zip(hashes, hashes[1:], strict=False)], grams
+
+
+def test_quality_query_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    good, bad = [f"fine{i} prose" for i in range(30)], [f"xx{i} spam spam" for i in range(30)]
+    texts = {i: " ".join(rng.choice(good if i % 2 else bad, 6)) for i in range(40)} | {40: "", 41: None, 42: "fine1 ünï\tspam", 43: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None)], "doc_id long, quality int")
+    learn = [i for i in range(30) if not held(i, 3, 1)]
+    # one vector a feature, one step a document, a gradient for each occurrence
+    draw = np.random.default_rng(1)
+    share = (sum(i % 2 for i in learn) + 1) / (len(learn) + 2)
+    bias, out = np.array([0, np.log(share / (1 - share))]), np.zeros((2, Q.DIM))
+    table = (draw.random((1 << Q.BITS, Q.DIM), np.float32).astype(float) - 0.5) / Q.DIM
+    found = {i: [x for x in quality_features((t or "").encode())] for i, t in texts.items()}
+    mean = lambda i: sum((table[x].mean(axis=0) for x in found[i] if x), np.zeros(Q.DIM))
+    epochs = -(-Q.STEPS // len(learn))
+    step = 0
+    for _ in range(epochs):
+        for k in draw.permutation(len(learn)):
+            i, step = learn[k], step + 1
+            lr = Q.RATE * (1 - step / (epochs * len(learn) + 1))
+            v = mean(i)
+            p = np.exp(out @ v + bias)
+            p /= p.sum()
+            p[i % 2] -= 1
+            grad = p @ out
+            out -= lr * np.outer(p, v)
+            bias -= 0.1 * lr * p
+            for x in found[i]:
+                np.subtract.at(table, x, lr * Q.SPREAD * grad / max(1, len(x)))
+    got = {r.doc_id: r for r in Q.quality(docs, labels).collect()}
+    assert set(got) == set(texts)
+    for i in texts:
+        z = out @ mean(i) + bias
+        want = 1 / (1 + np.exp(z[0] - z[1]))
+        assert abs(got[i].score - want) < 2e-3 and got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == held(i, 3, 1), (i, got[i].score, want)
+
+
 def pairs_of(seqs, end):
     n = Counter((p, i) for s in seqs for p, i in zip([end, *s[:-1].tolist()], s.tolist(), strict=True))
     return (np.asarray(x) for x in zip(*((p, i, c) for (p, i), c in sorted(n.items())), strict=True))
@@ -165,18 +231,22 @@ def test_step_over_all_documents_raises_their_likelihood():
     assert np.allclose(model.after.sum(axis=1), 1, atol=1e-4)
 
 
-def test_pairs_are_counted_exactly(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_PAIRS", 50)
-    monkeypatch.setattr(L, "BLOCK_BYTES", 200)
-    texts = [f"the cat {w} sat on {i} mats" for i, w in enumerate(["big", "small", None, "new"] * 30)] + ["", " ", "one"]
+def test_pairs_are_counted_exactly(spark):
+    texts = [f"the cat {w} sat on {i} mats" for i, w in enumerate(["big", "small", "odd", "new"] * 30)] + ["", " ", "one"]
     ids = L.WordIds(L.VOCABULARY)
     seqs = [L.sequences([t.encode()], ids)[0] for t in texts]
     want = {p * (ids.end + 1) + i: c for p, i, c in zip(*pairs_of(seqs, ids.end), strict=True)}
+    parts = []
+    for at in range(0, len(seqs), 3):  # many tasks, more blocks than are held
+        counts = L.PairCounts(ids.end + 1)
+        for s in seqs[at : at + 3] * 3:
+            counts.add(s, np.asarray([len(s)]))
+        parts += zip(*counts.rows(), strict=True)
     got = {}
-    for r in L.count_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), L.VOCABULARY).collect():
+    for r in L.merged_pairs(spark.createDataFrame(parts, "chunk int, pairs binary, times binary")).collect():
         key, n = np.frombuffer(r.pairs, np.int64), np.frombuffer(r.times, np.int64)
         assert set(key // (ids.end + 1) // L.CHUNK) == {r.chunk}
-        got |= dict(zip(key.tolist(), n.tolist(), strict=True))
+        got |= dict(zip(key.tolist(), (n // 3).tolist(), strict=True))
     assert got == want
 
 
