@@ -1,5 +1,7 @@
 import math
+import os
 import re
+import textwrap
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -17,18 +19,31 @@ def vector(text, idf, rare):
     return {t: x / n for t, x in w.items()}
 
 
+def brute_passages(text, known):
+    plain = re.sub(r"([.!?])[ \t]+", r"\1\n", text.translate({1: " ", 2: " "}))
+    cut = [(x, WORD.findall(x.lower())) for x in re.split(r"[\r\n]+", plain)]
+    like = [x if sum(t in known for t in w) >= M.SHARE * len(w) else None for x, w in cut if w]
+    runs, run = [], []
+    for x in [*like, None]:
+        if x is not None:
+            run.append(x)
+        elif run:
+            runs.append(run)
+            run = []
+    out = {" ".join(r[i : i + n]) for r in runs for n in (*M.WINDOWS, len(r)) for i in range(len(r) - n + 1)}
+    n = sum(x is not None for x in like)
+    return out | ({text} if n and 2 * n >= len(like) else set())
+
+
 def brute_own(text):
     n = len(M.TEMPLATES)
     df = Counter(t for _, body in M.TEMPLATES for t in set(WORD.findall(body.lower())))
     idf, rare = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in df.items()}, math.log(1 + n) + 1
-    trigger = re.compile(M.TRIGGER)
-    if not text or not trigger.search(text):
-        return 0.0
-    lines = [x for x in re.split(r"[\r\n]+", text) if trigger.search(x)]
+    vectors = [vector(body, idf, rare) for _, body in M.TEMPLATES]
     best = 0.0
-    for p in [*lines, " ".join(lines), text]:
+    for p in brute_passages(text or "", df):
         v = vector(p, idf, rare)
-        best = max(best, *(sum(x * v.get(t, 0) for t, x in vector(body, idf, rare).items()) for _, body in M.TEMPLATES))
+        best = max(best, *(sum(x * t.get(w, 0) for w, x in v.items()) for t in vectors))
     return best
 
 
@@ -44,6 +59,25 @@ def test_scores_match_brute_force(spark, docs):
         assert (r.origin == "own") == (want >= M.THRESHOLD) and (r.origin != "own" or abs(r.score - want) < 1e-6)
 
 
+def test_wrapped_headers_among_code(spark):
+    code = "\n".join(f"def f{i}(x{i}, y{i}):  # z{i}\n    return g{i}(x{i})[y{i}]" for i in range(30))
+    rows, want = [], {}
+    for license, body in (("MPL-2.0", "Mozilla Public License, v. 2.0"), ("Unlicense", "free and unencumbered"), ("GPL-3.0", "either version 3"), ("MIT", "furnished to do so"), ("ISC", "Permission to use, copy, modify, and/or")):
+        notice = next(t for i, t in M.NOTICES if i == license and body in t)
+        for width, sign in ((76, "# "), (60, " * "), (40, "// ")):
+            path = f"{license}-{width}/a.c"
+            header = "\n".join(sign + x for x in textwrap.wrap(notice, width))
+            rows.append((path, f"{sign}Copyright 2021 Jane Q. Roe\n{sign}\n{header}\n\n{code}"))
+            want[path] = license
+    got = {r.path: r for r in M.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: r.license for p, r in got.items()} == want and all(r.origin == "own" for r in got.values())
+
+
+def test_very_long_text(spark):
+    rows = [("a", "lorem ipsum dolor " * 200_000), ("b", "lorem ipsum\n" * 50_000 + "Released under the MIT License.\n" + "dolor sit\n" * 50_000)]
+    assert {r.path: r.license for r in M.scan(spark.createDataFrame(rows, "path string, text string")).collect()} == {"a": None, "b": "MIT"}
+
+
 def test_nearest_directory_speaks(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [("LICENSE", gpl), ("a/LICENSE.txt", mit), ("a/b/c/x.py", "x"), ("a/b/c/x.py", "x"), ("b/y.py", None), ("a2/z.py", ""), ("a/own.py", f"# {gpl}\ncode " + "word " * 50), ("a/b/NOTICE", "nothing here"), (None, gpl), (None, None)]
@@ -90,3 +124,22 @@ def test_pipeline_matches_its_parts(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and 0 < got.count() < len(ids)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    odd = odd_docs.withColumns({corpus_pipeline.QUALITY: F.lit(1.0), "_c_": F.lit(1), "component_id": F.lit(1), "h": F.lit(2), "block": F.lit(3)}).drop(corpus_pipeline.QUALITY)
+    rows = corpus_pipeline.keep_one_of_each(spark, odd, sf)
+    assert rows.columns == odd.columns
+    got = sorted((r.doc_id, (r.text or "")[:5]) for r in rows.collect())
+    # copies that share an id, or have none, leave one row
+    assert got == [(1, "alpha"), (2, ""), (3, ""), (4, " \t\n "), (5, "word"), (7, "lorem"), (8, "Ünïcö"), (9, "x y z")]
+    os.makedirs(tmp_path / "sf")
+    spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "sf/benchmark.parquet"))
+    clean = corpus_pipeline.keep_uncontaminated(spark, odd, str(tmp_path / "sf")).collect()
+    assert len(clean) == 9 and not any((r.text or "").startswith("alpha") for r in clean)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, sf).count() == 0, name
+    odd_docs.write.parquet(str(tmp_path / "sf/documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (1, 0, None), (None, 1, 1), (5, None, 1), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "sf/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "sf")).count() <= 12

@@ -1,14 +1,19 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
-A file's candidate passages are its lines with a licence word, these lines taken together, and (a licence file may be
-all licence) its whole text. Every passage's cosine to every template (notices, SPDX lines, full licence texts) comes from
-one join on terms with the few thousand weights of the templates. A file whose name is that of a licence file, or whose whole text is a licence, speaks for its
-directory; a file without a licence of its own inherits from the nearest directory above it that has such a file.
+A file is cut into segments at line ends and sentence ends. Segments that mostly consist of words of the templates (a
+share of SHARE and more) stand in runs, parted by other segments; lines without words, as between comment signs, part
+nothing. A file's passages are the windows of 1, 2, 4, 8 and 16 segments of its runs, the runs, and (if at least half of
+its segments are such, or its name is that of a licence file) its whole text. Every distinct passage's cosine to every
+template (notices, SPDX lines, full licence texts) comes from one join on terms with the few thousand weights of the
+templates, and counts for all files that hold the passage. A file whose name is that of a licence file, or whose whole
+text is a licence, speaks for its directory; a file without a licence of its own inherits from the nearest directory
+above it that has such a file.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -57,9 +62,13 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     *((i, f"SPDX-License-Identifier: {i}-{suffix}") for i in GNU for suffix in ("only", "or-later")),
     *((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 )
-#: Words of which a licence passage has one; names of licence files.
-TRIGGER = r"(?i)licen[cs]e|licen[cs]ing|copyright|spdx|redistribut|public domain|permission (is|to)|free software|creative commons"
+#: Fixed value: names of licence files.
 FILE_NAME = r"(?i)^(un)?licen[cs]e([.-].*)?$|^copying([.-].*)?$|^notice([.-].*)?$"
+#: Share of template words from which a segment can be part of a licence, and how many segments a window has.
+SHARE = 0.6
+WINDOWS = (1, 2, 4, 8, 16)
+#: Rows of a side that may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -78,49 +87,72 @@ def template_weights(spark, templates: Sequence[tuple[str, str]] = TEMPLATES) ->
     return weighted.select("template", "license", "term", "idf", (F.col("raw") / norm).alias("weight")), math.log(1.0 + n) + 1
 
 
-def passages(files: DataFrame) -> DataFrame:
-    """(file, kind, passage) of files(file, name, text): lines with a licence word, these together, and the whole text."""
-    hit = files.where(F.col("text").rlike(TRIGGER) | (F.col("name").rlike(FILE_NAME) & (F.length("text") > 0)))
-    lines = F.filter(F.split("text", "[\r\n]+"), lambda x: x.rlike(TRIGGER))
-    each = F.transform(lines, lambda x: F.struct(F.lit("line").alias("kind"), x.alias("passage")))
-    more = F.array(F.struct(F.lit("lines").alias("kind"), F.array_join(lines, " ").alias("passage")), F.struct(F.lit("whole").alias("kind"), F.col("text").alias("passage")))
-    return hit.select("file", F.explode(F.array_distinct(F.concat(each, more))).alias("p")).select("file", "p.kind", "p.passage")
+def passages(files: DataFrame, known: Sequence[str]) -> DataFrame:
+    """(file, kind, passage) of files(file, name, text); known: the templates' words."""
+    # U+0001 parts runs and U+0002 the segments of a run, so neither may come from the text
+    plain = F.regexp_replace(F.translate("text", "\x01\x02", "  "), r"([.!?])[ \t]+", "$1\n")
+    cut = F.filter(F.transform(F.split(plain, "[\r\n]+"), lambda x: F.struct(x.alias("text"), words(x).alias("words"))), lambda x: F.size(x["words"]) > 0)
+    inside = ", ".join(f"'{w}'" for w in known if w.isalnum() or re.fullmatch(r"[0-9.]+", w))
+    cut = files.where(F.length("text") > 0).select("file", "name", "text", cut.alias("cut"))
+    like = F.expr(f"transform(cut, x -> if(size(filter(x.words, w -> w in ({inside}))) >= {SHARE} * size(x.words), trim(x.text), cast(null as string)))")
+    marked = cut.select("file", "name", "text", like.alias("like"))
+    runs = F.split(F.array_join("like", "\x02", "\x01"), "\x02?\x01\x02?")
+    count = F.size(F.filter("like", lambda x: x.isNotNull()))
+    whole = F.when((count > 0) & (2 * count >= F.size("like")) | F.col("name").rlike(FILE_NAME), F.col("text"))
+    marked = marked.where((count > 0) | F.col("name").rlike(FILE_NAME)).select("file", whole.alias("whole"), F.filter(runs, lambda x: x != "").alias("runs"))
+    each = marked.select("file", F.explode("runs").alias("run")).select("file", F.split("run", "\x02").alias("run"))
 
+    def windows(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.size("run") - n + 1), lambda i: F.array_join(F.slice("run", i, n), " "))
+        return F.when(F.size("run") >= n, at).otherwise(F.array().cast("array<string>"))
 
-def best_license(found: DataFrame, weights: DataFrame, rare_idf: float) -> DataFrame:
-    """(file, kind, license, score): for each file and kind of passage the largest cosine to a template, ties to the first template."""
+    parts = each.select("file", F.lit("part").alias("kind"), F.explode(F.array_distinct(F.concat(*map(windows, WINDOWS), F.array(F.array_join("run", " "))))).alias("passage"))
+    return parts.union(marked.where(F.col("whole").isNotNull()).select("file", F.lit("whole"), "whole")).distinct()
+
+
+def best_license(found: DataFrame, weights: DataFrame, rare_idf: float, threshold: float = THRESHOLD) -> DataFrame:
+    """(passage_id, license, score) of found(passage_id, passage): the largest cosine to a template, ties to the first one, from `threshold` on.
+
+    Terms are counted once. What follows keeps to a passage, so it needs no other exchange.
+    """
     known = weights.select("term", "idf").distinct()
-    found = found.withColumn("passage_id", F.xxhash64("kind", "passage"))
-    terms = found.select("file", "kind", "passage_id", F.explode(words(F.col("passage"))).alias("term")).groupBy("file", "kind", "passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = found.select("passage_id", F.explode(words(F.col("passage"))).alias("term")).groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     # the templates' weights are a fixed few thousand rows
     raw = (1 + F.log(F.col("tf").cast("double"))) * F.coalesce("idf", F.lit(rare_idf))
-    terms = terms.join(F.broadcast(known), "term", "left").withColumn("raw", raw).drop("idf", "tf")
-    norms = terms.groupBy("file", "kind", "passage_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    dots = terms.join(F.broadcast(weights.select("term", "template", "license", "weight")), "term").groupBy("file", "kind", "passage_id", "template", "license").agg(F.sum(F.col("raw") * F.col("weight")).alias("dot"))
-    score = F.round(F.col("dot") / F.col("norm"), 9)
-    return dots.join(norms, ["file", "kind", "passage_id"]).groupBy("file", "kind").agg(
-        F.max_by("license", F.struct(score, -F.col("template"))).alias("license"), F.max(score).alias("score")
-    )
+    vectors = terms.join(F.broadcast(known), "term", "left").withColumn("raw", raw)
+    shared = F.filter(F.collect_list(F.struct("term", "raw", F.col("idf").isNotNull().alias("known"))), lambda x: x["known"])
+    vectors = vectors.groupBy("passage_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), shared.alias("shared"))
+    each = vectors.select("passage_id", "norm", F.inline("shared")).drop("known")
+    dots = each.join(F.broadcast(weights.select("term", "template", "license", "weight")), "term").groupBy("passage_id", "template", "license").agg((F.sum(F.col("raw") * F.col("weight")) / F.first("norm")).alias("dot"))
+    score = F.round("dot", 9)
+    return dots.groupBy("passage_id").agg(F.max_by("license", F.struct(score, -F.col("template"))).alias("license"), F.max(score).alias("score"), F.max_by(-F.col("template"), F.struct(score, -F.col("template"))).alias("first")).where(F.col("score") >= threshold)
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", threshold: float = THRESHOLD, templates: Sequence[tuple[str, str]] = TEMPLATES, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """path, license, score, origin, licensed_by of every file row.
 
     origin: 'own' (a passage of the file itself), 'inherited' (licensed_by names the nearest directory at or above the file's
     own that has a licence file; of several there, the best match speaks, ties to the smaller path) or 'none'. Null and
     empty texts have no passages; a file with a null path has no directory and inherits nothing; repeated rows each get
     their row; a file equal in path and text to another shares its result. Other columns play no part; an empty table
-    gives an empty result. '' is the root directory.
+    gives an empty result. '' is the root directory. Files, and passages, are told apart by 64-bit hashes.
     """
     spark = files.sparkSession
+    small = lambda df: F.broadcast(df) if df.count() <= max_broadcast_rows else df
     path, text = F.col(path_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))
     rows = files.select(path.alias("path"), F.xxhash64(F.coalesce(path, F.lit("\x00")), text).alias("file"), text.alias("text"))
     weights, rare = template_weights(spark, templates)
     weights = materialize(weights, "license-templates")
     name = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
-    found = materialize(passages(rows.select("file", name.alias("name"), "text")).distinct(), "license-passages")
-    scored = materialize(best_license(found, weights, rare).where(F.col("score") >= threshold), "license-scores")
-    own = scored.groupBy("file").agg(F.max_by("license", F.struct("score", F.col("kind") == "line", "license")).alias("own"), F.max("score").alias("own_score"), F.max_by("license", F.struct(F.col("kind") == "whole", "score")).alias("whole"), F.max(F.when(F.col("kind") == "whole", F.col("score"))).alias("whole_score"))
+    vocabulary = sorted(r[0] for r in weights.select("term").distinct().collect())  # the templates' words, a fixed few thousand
+    found = materialize(passages(rows.select("file", name.alias("name"), "text"), vocabulary).withColumn("passage_id", F.xxhash64("passage")), "license-passages")
+    texts = found.groupBy("passage_id").agg(F.first("passage").alias("passage"))
+    scored = materialize(best_license(texts, weights, rare, threshold), "license-scores")
+    held = found.select("file", "kind", "passage_id").join(small(scored), "passage_id")
+    best = F.struct("score", "first", F.col("kind") == "part", "license")
+    whole = F.when(F.col("kind") == "whole", best)
+    own = held.groupBy("file").agg(F.max(best).alias("best"), F.max(whole).alias("whole")).select("file", F.col("best.license").alias("own"), F.col("best.score").alias("own_score"), F.col("whole.license").alias("whole"), F.col("whole.score").alias("whole_score"))
+    own = materialize(own, "license-own")
     slim = materialize(rows.select("path", "file"), "license-files")
     parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).when(F.col("path").isNotNull(), F.lit(""))
     slim = slim.withColumn("dir", parent)
@@ -131,7 +163,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", thres
     steps = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, 1, n), "/").alias("above")))
     tree = slim.where(F.col("dir").isNotNull()).select("dir").distinct().select("dir", F.explode(above).alias("a")).select("dir", "a.depth", "a.above")
-    nearest = tree.join(declared, "above").groupBy("dir").agg(F.max_by(F.struct("dir_license", "dir_score", "above"), "depth").alias("up")).withColumnRenamed("dir", "_dir_")
+    nearest = tree.join(small(declared), "above").groupBy("dir").agg(F.max_by(F.struct("dir_license", "dir_score", "above"), "depth").alias("up")).withColumnRenamed("dir", "_dir_")
     out = slim.join(own.select(F.col("file").alias("_file_"), "own", "own_score"), F.col("file") == F.col("_file_"), "left").join(nearest, F.col("dir") == F.col("_dir_"), "left")
     has_own, has_up = F.col("own").isNotNull(), F.col("up").isNotNull()
     return out.select(
