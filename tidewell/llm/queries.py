@@ -77,6 +77,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op1_packing": r"""WITH RECURSIVE t AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+h AS (SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS x, count(*) AS c FROM t GROUP BY n_tokens),
+s AS (SELECT j, x, sum(c) OVER w AS c, sum(x * c) OVER w AS s FROM h WINDOW w AS (ORDER BY j)), p AS (SELECT 0 AS j, 0::BIGINT AS x, 0::HUGEINT AS c, 0::HUGEINT AS s UNION ALL SELECT * FROM s), n AS (SELECT max(j) AS n, least(16, max(j)) AS k FROM p),
+dp AS (SELECT 1 AS k, j, x * c - s AS cost, 0::BIGINT AS pick FROM p UNION ALL
+SELECT k, j, best.cost, best.pick FROM (SELECT d.k + 1 AS k, b.j, min({'cost': d.cost + b.x * (b.c - a.c) - (b.s - a.s), 'pick': a.j}) AS best FROM dp d JOIN p a ON a.j = d.j JOIN p b ON b.j > a.j, n WHERE d.k < n.k GROUP BY 1, 2 UNION ALL SELECT d.k + 1, 0, {'cost': 0::HUGEINT, 'pick': 0::BIGINT} FROM dp d, n WHERE d.k < n.k AND d.j = 0)),
+b AS (SELECT n.k, n.n AS j FROM n WHERE n.n > 0 UNION ALL SELECT b.k - 1, dp.pick FROM b JOIN dp ON dp.k = b.k AND dp.j = b.j WHERE dp.pick > 0),
+u AS (SELECT row_number() OVER (ORDER BY x) - 1 AS bucket, x AS bucket_len, coalesce(lag(x) OVER (ORDER BY x), -1) AS low FROM b JOIN p USING (j)),
+r AS (SELECT doc_id, n_tokens, bucket, bucket_len, row_number() OVER (PARTITION BY bucket ORDER BY coalesce(('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 256, 0), doc_id NULLS FIRST, n_tokens) - 1 AS i, greatest(1, 16384 // greatest(1, bucket_len)) AS room FROM t JOIN u ON n_tokens > low AND n_tokens <= bucket_len)
+SELECT doc_id, n_tokens, bucket::INT AS bucket, bucket_len, (i // room)::BIGINT AS batch, (i % room)::INT AS place, bucket_len - n_tokens AS padding FROM r""",
+    # crc32 bit by bit: each byte is followed by eight shifts, which are marked by -1
+    "op4_sharding": r"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+e AS (SELECT doc_id, t, list_transform(range(17), lambda s: -1.0::DOUBLE / ln((('0x' || md5(k || ':' || s)[1:15])::BIGINT::DOUBLE + 0.5::DOUBLE) / 1152921504606846976::DOUBLE)) AS bid, coalesce(('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % 1024, 0) AS salt FROM d),
+c AS (SELECT doc_id, salt, octet_length(t) + 1 AS size, (list_position(bid[1:16], list_max(bid[1:16])) - 1)::INT AS shard, (list_position(bid, list_max(bid)) - 1)::INT AS grown_shard,
+xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(regexp_extract_all(hex(t), '..'), lambda x: [('0x' || x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS text_crc32 FROM e)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id NULLS FIRST, text_crc32) - 1 AS slot, grown_shard FROM c""",
     "op3_decontamination": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 iw AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, k, k + 9), ' ') AS s FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM i WHERE len(w) > 0)),
