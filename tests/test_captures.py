@@ -139,3 +139,69 @@ def test_events_files(spark, tmp_path):
     assert "_SUCCESS" in C.names(spark, f"{folder}/out/events.csv")
     with pytest.raises(NotImplementedError):
         C.export_edge()
+
+
+def test_all_sessions_go_through_one_plan(spark, tmp_path):
+    for name, t0 in (("a", 500.0), ("b", WRAP / 1e6 - 4)):
+        write_rig(tmp_path / "rig", name, seconds=9, device_t0=t0)
+    caps = C.open_captures(spark, str(tmp_path / "rig"))
+    assert {(r.session_id, r.board): r.wraps for r in caps.fits.collect()} == {("a", "sensor"): 0, ("a", "rig"): 0, ("b", "sensor"): 1, ("b", "rig"): 1}
+    session = C.load_captures(caps)
+    done = process_session(session, native_sound=False)
+    rows = done.windows.select("session_id", "window_idx", "volume", "t_start_ms").toPandas()
+    assert rows.groupby("session_id").size().to_dict() == {"a": 7, "b": 7}
+    one = process_session(C.load_rig(spark, str(tmp_path / "rig"), "b"), native_sound=False).windows.select("window_idx", "volume").toPandas().sort_values("window_idx")
+    assert np.allclose(rows[rows.session_id == "b"].sort_values("window_idx").volume, one.volume, atol=1e-4)
+    assert session.repairs.count() == 0 and {r.stream for r in session.measured.collect()} == {"strain", "imu", "mic"}
+    got = {r.stem: r for r in reports.derive_events(spark, str(tmp_path / "rig"), out=str(tmp_path / "out")).collect()}
+    assert set(got) == {"a", "b"} and all(r.error is None and abs(r.n_events - 6) <= 2 for r in got.values())
+    pinned = {r.stem: json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/events_detector")).collect()}
+    assert abs(pinned["b"]["resolved"]["estimated_rate_cpm"] - 42) < 12 and pinned["a"]["n_events"] == got["a"].n_events
+    written = spark.read.option("header", True).csv(str(tmp_path / "out/events"))
+    assert {"t_ms", "type", "amplitude_psi", "confidence", "stem"} == set(written.columns) and written.where("amplitude_psi is null").count() == 0
+
+
+def test_flat_folders_and_broken_sessions(spark, tmp_path):
+    for name, seconds in (("x", 8), ("y", 7), ("short", 3)):
+        write_session(str(tmp_path / name), seconds=seconds, seed=len(name))
+    root = str(tmp_path)
+    session, events = C.load_sessions(spark, root), C.load_all_events(spark, root)
+    with pytest.raises(ContractError, match="short: streams overlap"):
+        process_session(session, events)
+    done = process_session(session, events, strict=False, native_sound=False)
+    assert {r["session_id"]: r["count"] for r in done.windows.groupBy("session_id").count().collect()} == {"x": 6, "y": 5}
+    assert {r.session_id for r in done.issues.where("level = 'error'").collect()} == {"short"}
+    done.release()
+
+
+def test_epoch_is_the_middle_of_the_sync_range(spark, tmp_path):
+    # sync points crowd at the beginning, so their median lies far from the middle
+    root = write_rig(tmp_path, seconds=30)
+    t = 1000.0 + np.concatenate([np.linspace(0, 1, 40), [29.0]])
+    us = np.mod(np.round(((t - 1000) / (1 + 25e-6) + 500) * 1e6), WRAP).astype(np.int64)
+    pd.DataFrame({"host_mono_s": t, "device_ts_us": us}).to_csv(f"{root}/run_sensor_sync.csv", index=False)
+    c = C.open_capture(spark, root).clocks["sensor"]
+    assert c["centre_us"] == (c["device_lo_us"] + c["device_hi_us"]) / 2
+    pd.DataFrame({"host_mono_s": t[:1].repeat(2), "device_ts_us": us[:1].repeat(2)}).to_csv(f"{root}/run_sensor_sync.csv", index=False)
+    assert C.open_capture(spark, root).clocks["sensor"]["centre_us"] is None
+
+
+def test_scale_readings_are_checked_from_two_on(spark, tmp_path):
+    folder = write_session(str(tmp_path / "s"), seconds=6)
+    scale = pd.read_csv(f"{folder}/scale.csv")
+    scale.iloc[:1].to_csv(f"{folder}/scale.csv", index=False)
+    process_session(C.load_session(spark, folder), native_sound=False).release()
+    scale.scale_g = scale.scale_g.astype(object)
+    scale.loc[3, "scale_g"] = "broken"
+    scale.to_csv(f"{folder}/scale.csv", index=False)
+    with pytest.raises(ContractError, match="non-finite readings"):
+        process_session(C.load_session(spark, folder))
+
+
+def test_events_keep_their_amplitude(spark, tmp_path):
+    folder = str(tmp_path / "f")
+    os.makedirs(folder)
+    events = spark.createDataFrame([(1.0, "suck", 2.5, 0.5)], "t_ms double, type string, amplitude_psi float, confidence float")
+    C.write_events(events, folder, {"detector": "d"})
+    got = C.load_events(spark, folder).first()
+    assert (got.t_ms, got.type, got.amplitude_psi, got.confidence, got.session_id) == (1.0, "suck", 2.5, 0.5, "f")

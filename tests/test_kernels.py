@@ -69,7 +69,11 @@ def test_consensus_ignores_dead_and_flips():
     assert abs(len(f.t_ms) - 84) <= 2 and abs(f.rate_cpm - 42) < 1
     with pytest.raises(ValueError, match="known polarity"):
         D.consensus(block, 50, ["x"] * 8)
-    assert D.strain_candidates(t * 1000, cycle)[0][0] in (1, -1)
+    assert D.polarities(t * 1000, cycle)[0][0] in (1, -1)
+    whole = D.strain_candidates(t * 1000, block)
+    assert {s for s, _ in whole} == {1, -1} and abs(D.strain_baseline(t * 1000, block).rate_cpm - 42) < 1
+    with pytest.raises(ValueError, match="do not rise"):
+        D.strain_candidates(np.zeros(len(t)), block)
     assert D.most_rhythmic(block, 50, (20, 120)) != names.index("Arc_2_out")
 
 
@@ -81,3 +85,45 @@ def test_ema_is_the_recurrence():
             y = alpha * v + (1 - alpha) * y
             want.append(y)
         assert np.abs(ema(x, alpha, 2.0) - want).max() < 1e-9
+
+
+def test_strain_and_sound_band_leaves_out_fast_harmonics():
+    t = np.arange(12000) / 100
+    x = np.sin(2 * np.pi * 42 / 60 * t) + 1.5 * np.sin(2 * np.pi * 100 / 60 * t)
+    assert abs(D.strain_rate(x[:, None], 100) - 42) < 4 and abs(D.acoustic_rate(x, 100) - 42) < 4
+    assert abs(D.strain_rate(x[:, None], 100, (20.0, 120.0)) - 100) < 4
+
+
+def test_params_are_pinned_with_what_they_came_to():
+    f = D.detect(*pump())
+    got = f.params["resolved"]
+    assert f.params["detector"] == D.NAME and f.params["config"]["band_cpm"] == [20.0, 120.0]
+    assert abs(got["estimated_rate_cpm"] - 42) < 4 and got["bandpass_hz"][0] < 0.7 < got["bandpass_hz"][1] and got["prominence_psi"] > 0 and got["noise_sigma_psi"] > 0
+
+
+def test_prominence_against_its_definition():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        x = rng.integers(0, rng.integers(2, 9), rng.integers(3, 40)).astype(float)
+        at, high = K.spaced_peaks(x, int(rng.integers(1, 6)))
+        for p, h in zip(at.tolist(), high.tolist(), strict=True):
+            left = [i for i in range(p) if x[i] > x[p]]
+            right = [i for i in range(p, len(x)) if x[i] > x[p]]
+            low = max(x[left[-1] + 1 if left else 0 : p + 1].min(), x[p : right[0] if right else len(x)].min())
+            assert h == x[p] - low
+
+
+def test_filter_by_strides_is_the_recurrence():
+    rng = np.random.default_rng(4)
+    sections = K.butter_bandpass(2, 0.007, 0.02)
+    for n in (40, 127, 128, 129, 1000):
+        x = rng.standard_normal(n).cumsum()
+        y, level = x, x[0]
+        for b0, b1, b2, _, a1, a2 in sections.tolist():
+            gain = (b0 + b1 + b2) / (1 + a1 + a2)
+            s1, s2, out = level * (gain - b0), level * (b2 - a2 * gain), []
+            for v in y:
+                out.append(b0 * v + s1)
+                s1, s2 = b1 * v - a1 * out[-1] + s2, b2 * v - a2 * out[-1]
+            y, level = np.asarray(out), level * gain
+        assert np.abs(K._cascade(sections, x) - y).max() < 1e-9

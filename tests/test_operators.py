@@ -106,10 +106,10 @@ def test_features_in_engine_equal_the_kernel(spark):
     x = rng.standard_normal((40, 6))
     df = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(x)], "window_idx int, sample int, a double, b double, c double, d double, e double, f double")
     got = features.series_stats(df, ["window_idx"], "a").first()
-    v = features.strain_vector(x[:, 0], 200.0)
+    v = features.strain_block(x[:, 0][None, :], 200.0)[0]
     assert np.allclose([got[n] for n in ("mean", "std", "range", "rms", "slope", "p2p", "zcr", "energy")], [*v[:7], v[8]])
-    assert np.allclose(list(features.motion_stats(df, ["window_idx"], list("abcdef")).first())[1:], features.motion_vector(x))
-    assert len(features.window_vector(rng.standard_normal((40, 8)), rng.standard_normal((64, 2)), x, 200.0, 8000.0)) == features.FEATURES == 130
+    assert np.allclose(list(features.motion_stats(df, ["window_idx"], list("abcdef")).first())[1:], features.motion_block(x.T[None])[0])
+    assert features.window_block(rng.standard_normal((3, 16, 40)), rng.standard_normal((3, 2, 64)), 200.0, 8000.0).shape == (3, features.FEATURES) == (3, 130)
 
 
 def test_ridge_separability_and_rank_tests(spark):
@@ -166,8 +166,16 @@ def test_model_shapes_losses_and_training(spark):
     assert model.losses(both.withColumn("label", F.lit(-100)).withColumn("volume", F.lit(None).cast("double"))).first().combined == 0
     again = {(r.session_id, r.window_idx): r.label for r in generate_sessions(spark, 2, windows=6, samples=64).collect()}
     assert again == {(r.session_id, r.window_idx): r.label for r in data.collect()}
-    _, history = model.train_heads(data, steps=5)
-    assert history[-1] < history[0]
+    small = model.Training(batch_size=2, rate=0.02, epochs_synthetic=4, epochs_finetune=2)
+    trained, history = model.pretrain(data, small, net)
+    assert len(history) == 4 and history[-1]["loss"] < history[0]["loss"] and not np.allclose(trained["conv0.mean"], 0)
+    again, second = model.pretrain(data, small, net)
+    assert second == history and all(np.array_equal(trained[k], again[k]) for k in trained)
+    bare = data.withColumn("label", F.lit(None).cast("long"))
+    tuned, history, labelled = model.finetune(bare, trained, small, net)
+    assert not labelled and history[0]["classification"] == 0 and np.allclose(tuned["class.1.b"], trained["class.1.b"]) and not np.allclose(tuned["volume.1.w"], trained["volume.1.w"])
+    with pytest.raises(ValueError, match="no sessions"):
+        model.pretrain(data.limit(0), small, net)
     with pytest.raises(NotImplementedError):
         model.sequence_labels()
     roll = evaluate.session_rollup(got, ["session_id"], "logits", "volume_pred", 0.5).collect()
@@ -217,3 +225,46 @@ def test_sweep_scores_channels(spark):
     env = spark.createDataFrame([("r", i, float((1 + 0.8 * np.sin(2 * np.pi * 0.8 * i / 500)) * v)) for i, v in enumerate(rng.standard_normal(60000))], "stem string, seq int, x double")
     rate = reports.acoustic_rates(env, ["stem"], spark.createDataFrame([("r", 48.0)], "stem string, cycle_rate_cpm double"), 500.0)
     assert rate["rates"].first().error < 2.5
+
+
+def test_network_gradients_are_the_numerical_ones():
+    net = Network(channels=3, filters=(4, 3), kernel=3, embedding=4, hand=5, fusion=6, hidden=3, layers=2, classes=3, dropout=0.3)
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(float) + (rng.random(v.shape) if k.endswith("var") else 0) for k, v in model.init_weights(net, 1).items()}
+    frames, hand = rng.standard_normal((5, 3, 9)), rng.standard_normal((5, 5))
+    labels, volume = np.array([0, 2, -100, 1, 1]), np.array([0.5, np.nan, 0.2, 0.1, 0.3])
+    for seed in (None, 7):
+        got = lambda seed=seed: model.session_gradient(w, frames, hand, labels, volume, (0.7, 0.4), net, None if seed is None else np.random.default_rng(seed))
+        loss = lambda: 0.7 * (g := got()).classification + 0.4 * g.volume
+        grads = got().grads
+        for k in (k for k in w if not k.endswith(model.RUNNING)):
+            for _ in range(4):
+                at = tuple(int(rng.integers(n)) for n in w[k].shape)
+                old, w[k][at] = w[k][at], w[k][at] + 1e-6
+                up, w[k][at] = loss(), old - 1e-6
+                down, w[k][at] = loss(), old
+                assert abs((up - down) / 2e-6 - grads[k][at]) < 1e-5 + 1e-4 * abs(grads[k][at]), k
+
+
+def test_islands_match_like_the_whole(spark):
+    rng = np.random.default_rng(3)
+    p, q = np.sort(rng.random(60) * 100).round(3), np.sort(rng.random(70) * 100).round(3)
+    pairs = sorted((abs(a - b), i, j) for i, a in enumerate(p) for j, b in enumerate(q) if abs(a - b) <= 1.5)
+    want, seen_i, seen_j = set(), set(), set()
+    for _, i, j in pairs:
+        if i not in seen_i and j not in seen_j:
+            want.add((i, j))
+            seen_i.add(i)
+            seen_j.add(j)
+    frame = lambda x: spark.createDataFrame([(1, float(v)) for v in x], "k int, t_ms double")
+    assert {(r.i, r.j) for r in joins.match_events(frame(p), frame(q), ["k"], 1.5).collect()} == want
+
+
+def test_signed_ranks_do_not_depend_on_ranges(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(-9, 10, 400) / 2, rng.standard_normal(300).round(2)])
+    a = np.abs(x[x != 0])
+    rank = np.asarray([(a < v).sum() + ((a == v).sum() + 1) / 2 for v in a])
+    got = stats.wilcoxon(spark.createDataFrame([(float(v),) for v in x], "diff double"))
+    assert got["w_plus"] == rank[x[x != 0] > 0].sum() and got["w_minus"] == rank[x[x != 0] < 0].sum() and got["n"] == len(a)
+    assert stats.wilcoxon(spark.createDataFrame([], "diff double"))["n"] == 0

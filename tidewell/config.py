@@ -98,9 +98,10 @@ class Network:
     hidden: int = 128
     layers: int = 2
     classes: int = 3
+    dropout: float = 0.2
 
     @classmethod
     def from_yaml(cls, path: str) -> Network:
         m = load_yaml(path)["model"]
         c, r = m["cnn"], m["lstm"]
-        return cls(c["in_channels"], tuple(c["channels"]), c["kernel_size"], c["embedding_dim"], m["hand_feature_dim"], m["fusion_dim"], r["hidden_size"], r["num_layers"], m["heads"]["num_classes"])
+        return cls(c["in_channels"], tuple(c["channels"]), c["kernel_size"], c["embedding_dim"], m["hand_feature_dim"], m["fusion_dim"], r["hidden_size"], r["num_layers"], m["heads"]["num_classes"], float(r.get("dropout", 0.0)))

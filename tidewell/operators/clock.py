@@ -52,10 +52,10 @@ def check_convention(sync: DataFrame, fitted: DataFrame, by: Sequence[str], host
 
 
 def align_device(df: DataFrame, by: Sequence[str], order: str, raw: str, centre: str, out: str = "device_us") -> DataFrame:
-    """Unwrap a stream's counter and shift it by whole counter periods, so that its median comes closest to column `centre`."""
+    """Unwrap a stream's counter and shift it by whole counter periods, so that its median comes closest to column `centre`; a null one shifts nothing."""
     open_ = unwrap(df, by, order, raw, out="_open_", wraps="wraps")
     middle = open_.groupBy(*by).agg(F.median("_open_").alias("_middle_"))
-    periods = F.rint((F.col(centre) - F.col("_middle_")) / COUNTER)
+    periods = F.coalesce(F.rint((F.col(centre) - F.col("_middle_")) / COUNTER), F.lit(0.0))
     return open_.join(middle, list(by)).withColumn(out, F.col("_open_") + periods * COUNTER).drop("_open_", "_middle_")
 
 
@@ -74,6 +74,13 @@ def backsteps(df: DataFrame, by: Sequence[str], order: str, t: str = "t_ms") ->
     return rows.groupBy(*by).agg(F.sum(F.when(F.col("_d_") < 0, 1).otherwise(0)).cast("long").alias("n_backsteps"), F.greatest(F.lit(0.0), F.coalesce(-F.min("_d_").cast("double"), F.lit(0.0))).alias("worst_backstep"))
 
 
+def refuse_backsteps(steps: DataFrame, max_backstep: float = 25.0) -> None:
+    """TimestampError where a fall among backsteps of several streams (with columns session_id and stream) exceeds max_backstep."""
+    worst = steps.where(F.col("worst_backstep") > max_backstep).first()
+    if worst is not None:
+        raise TimestampError(f"{worst['stream']}: time runs back by {worst['worst_backstep']:.3f} ms in {worst['session_id']}, more than {max_backstep}")
+
+
 def repaired(df: DataFrame, by: Sequence[str], order: str, t: str = "t_ms", stream: str = "stream", max_backstep: float = 25.0) -> DataFrame:
     """repair, or TimestampError where a fall exceeds max_backstep."""
     worst = backsteps(df, by, order, t).where(F.col("worst_backstep") > max_backstep).select(*[F.col(c).cast("string") for c in by], "worst_backstep").first()

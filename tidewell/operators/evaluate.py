@@ -178,6 +178,12 @@ def best_rows(df: DataFrame, by: Sequence[str], score: str, tie: str, largest: b
     return df.withColumn("_n_", F.row_number().over(Window.partitionBy(*by).orderBy(order, tie))).where("_n_ = 1").drop("_n_")
 
 
+def worst_rows(df: DataFrame, score: str, n: int, ties: Sequence[str]) -> DataFrame:
+    """The n rows of the smallest score, ties by the columns named; missing scores don't count."""
+    x = F.col(score).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x)).orderBy(score, *ties).limit(n)
+
+
 def missed_events(true: DataFrame, matched: DataFrame, by: Sequence[str], depth: str = "depth") -> DataFrame:
     """True events without a match (true has positions j), with the percentile rank of their depth."""
     from tidewell.functions.ordered import percentile_rank

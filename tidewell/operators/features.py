@@ -53,52 +53,69 @@ def window_amplitudes(members: DataFrame, by: Sequence[str], channels: Sequence[
     return members.groupBy(*by, "window_idx").agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in channels])
 
 
-def _zcr(x: np.ndarray) -> float:
-    return float(np.mean(np.diff(np.sign(x - x.mean())) != 0)) if len(x) > 1 else 0.0
+def _crossings(block: np.ndarray) -> np.ndarray:
+    """Of each row: share of steps over which the sign about its mean changes."""
+    if block.shape[1] < 2:
+        return np.zeros(len(block))
+    return (np.diff(np.sign(block - block.mean(axis=1, keepdims=True)), axis=1) != 0).mean(axis=1)
 
 
-def strain_vector(x: np.ndarray, fs: float) -> list[float]:
-    x = np.asarray(x, np.float64)
-    i = np.arange(len(x)) - (len(x) - 1) / 2
-    slope = float(i @ x / (i @ i)) if len(x) > 1 else 0.0
-    span = float(x.max() - x.min())
-    return [float(x.mean()), float(x.std()), span, float(np.sqrt(np.mean(x * x))), slope, span, _zcr(x), K.dominant_frequency(x, fs), float(x @ x)]
+def strain_block(block: np.ndarray, fs: float) -> np.ndarray:
+    """Rows of samples to their STRAIN features."""
+    block = np.asarray(block, np.float64)
+    n = block.shape[1]
+    place = np.arange(n) - (n - 1) / 2
+    energy, span = np.einsum("rn,rn->r", block, block), np.ptp(block, axis=1)
+    slope = block @ place / (place @ place) if n > 1 else np.zeros(len(block))
+    return np.column_stack([block.mean(axis=1), block.std(axis=1), span, np.sqrt(energy / n), slope, span, _crossings(block), K.dominant_frequency(block, fs), energy])
 
 
-def sound_vector(x: np.ndarray, fs: float) -> list[float]:
-    x = np.asarray(x, np.float64)
-    return [float(np.log(np.mean(x * x) + 1e-8)), float(np.sqrt(np.mean(x * x))), _zcr(x), *K.spectral_shape(x, fs), K.power_ratio(x, fs), *K.cepstrum(x).tolist()]
+def sound_block(block: np.ndarray, fs: float) -> np.ndarray:
+    """Rows of samples to their SOUND features."""
+    block = np.asarray(block, np.float64)
+    power = np.einsum("rn,rn->r", block, block) / block.shape[1]
+    return np.column_stack([np.log(power + 1e-8), np.sqrt(power), _crossings(block), K.spectral_shape(block, fs), K.power_ratio(block, fs), K.cepstrum(block)])
 
 
-def motion_vector(block: np.ndarray) -> list[float]:
+def motion_block(block: np.ndarray) -> np.ndarray:
+    """(windows, 6 axes, samples) to 17 features each: mean and deviation by axis, then sizes, energy, jerk and tilt."""
     block = np.asarray(block, np.float64)
-    acc, gyr = block[:, :3], block[:, 3:6]
-    size = np.sqrt((acc**2).sum(axis=1))
-    jerk = float(np.abs(np.diff(size)).mean()) if len(acc) > 1 else 0.0
-    m = acc.mean(axis=0)
-    out = [v for c in range(6) for v in (float(block[:, c].mean()), float(block[:, c].std()))]
-    return [*out, float(size.mean()), float(np.sqrt((gyr**2).sum(axis=1)).mean()), float((size**2).mean()), jerk, float(np.arctan2(np.hypot(m[0], m[1]), abs(m[2]) + 1e-8))]
+    mean = block.mean(axis=2)
+    size, turn = (np.sqrt(np.einsum("wan,wan->wn", x, x)) for x in (block[:, :3], block[:, 3:6]))
+    jerk = np.abs(np.diff(size, axis=1)).mean(axis=1) if block.shape[2] > 1 else np.zeros(len(block))
+    tilt = np.arctan2(np.hypot(mean[:, 0], mean[:, 1]), np.abs(mean[:, 2]) + 1e-8)
+    by_axis = np.stack([mean, block.std(axis=2)], axis=2).reshape(len(block), -1)
+    return np.column_stack([by_axis, size.mean(axis=1), turn.mean(axis=1), np.square(size).mean(axis=1), jerk, tilt])
+
 
+def window_block(frames: np.ndarray, mic: np.ndarray, fs: float, mic_fs: float) -> np.ndarray:
+    """All features of windows of one shape, FLOAT, in order: strain channels, sound channels, their mean difference if there are two, motion.
 
-def window_vector(strain: np.ndarray, mic: np.ndarray, imu: np.ndarray, fs: float, mic_fs: float) -> np.ndarray:
-    """All features of one window, FLOAT, in order: strain channels, sound channels, their mean difference if there are two, motion."""
-    out = [v for c in strain.T for v in strain_vector(c, fs)] + [v for c in mic.T for v in sound_vector(c, mic_fs)]
-    if mic.shape[1] == 2:
-        out.append(float(np.abs(mic[:, 0] - mic[:, 1]).mean()))
-    return np.asarray([*out, *motion_vector(imu)], np.float32)
+    frames: windows x channels x samples (strain, sound envelopes, motion); mic: windows x channels x native samples.
+    """
+    n = len(frames)
+    strain = strain_block(frames[:, :N_STRAIN].reshape(n * N_STRAIN, -1), fs).reshape(n, -1)
+    sound = sound_block(mic.reshape(n * mic.shape[1], -1), mic_fs).reshape(n, -1)
+    apart = [np.abs(mic[:, 0] - mic[:, 1]).mean(axis=1)] if mic.shape[1] == 2 else []
+    return np.column_stack([strain, sound, *apart, motion_block(frames[:, N_STRAIN + N_MIC :])]).astype(np.float32)
 
 
-def window_features(windows: DataFrame, fs: float, mic_fs: float, frames: str = "frames", mic: str = "mic", out: str = "hand") -> DataFrame:
-    """windows with `out`, their 130 features: strain and motion from the frames (8 strain, 2 sound envelopes, 6 motion rows), sound from `mic` (channels x native samples; 16 zero samples where a window has none)."""
+def window_features(windows: DataFrame, fs: float, mic_fs: float | str, frames: str = "frames", mic: str = "mic", out: str = "hand") -> DataFrame:
+    """windows with `out`, their 130 features: strain and motion from the frames (8 strain, 2 sound envelopes, 6 motion rows), sound from `mic` (channels x native samples; 16 zero samples where a window has none), at mic_fs or the rate in the column of that name."""
     fields = windows.schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            got = []
-            for f, m in zip(rows[frames], rows[mic], strict=True):
-                f = np.asarray([np.asarray(c, np.float64) for c in f])
-                m = np.asarray([np.asarray(c, np.float64) for c in m]) if m is not None and len(m) and len(m[0]) else np.zeros((N_MIC, 16))
-                got.append(window_vector(f[:N_STRAIN].T, m.T, f[N_STRAIN + N_MIC :].T, fs, mic_fs).tolist())
+            f = [np.stack([np.asarray(c, np.float64) for c in x]) for x in rows[frames]]
+            m = [np.stack([np.asarray(c, np.float64) for c in x]) if x is not None and len(x) and len(x[0]) else np.zeros((N_MIC, 16)) for x in rows[mic]]
+            like: dict[tuple, list[int]] = {}
+            rates = rows[mic_fs].tolist() if isinstance(mic_fs, str) else [mic_fs] * len(rows)
+            for i, (a, b, hz) in enumerate(zip(f, m, rates, strict=True)):
+                like.setdefault((a.shape, b.shape, hz), []).append(i)
+            got: list = [None] * len(rows)
+            for (*_, hz), at in like.items():
+                for i, v in zip(at, window_block(np.stack([f[i] for i in at]), np.stack([m[i] for i in at]), fs, hz).tolist(), strict=True):
+                    got[i] = v
             yield rows.assign(**{out: got})
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -111,10 +128,31 @@ def spectral_features(windows: DataFrame, by: Sequence[str], x: str, fs: float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for v in rows[x]:
-                v = np.asarray(v, np.float64)
-                out.append([K.dominant_frequency(v, fs), *K.spectral_shape(v, fs), K.power_ratio(v, fs, fs * 0.02, fs * 0.15), K.cepstrum(v).tolist()])
-            yield pd.concat([rows[list(by)].reset_index(drop=True), pd.DataFrame(out, columns=["dominant", "centroid", "rolloff", "bandwidth", "band_ratio", "cepstrum"])], axis=1)
+            names = ["dominant", "centroid", "rolloff", "bandwidth", "band_ratio"]
+            found = pd.DataFrame(np.nan, index=range(len(rows)), columns=names).assign(cepstrum=None)
+            samples = [np.asarray(v, np.float64) for v in rows[x]]
+            for n in {len(v) for v in samples} - {0}:
+                at = [i for i, v in enumerate(samples) if len(v) == n]
+                block = np.stack([samples[i] for i in at])
+                found.loc[at, names] = np.column_stack([K.dominant_frequency(block, fs), K.spectral_shape(block, fs), K.power_ratio(block, fs, fs * 0.02, fs * 0.15)])
+                for i, c in zip(at, K.cepstrum(block).tolist(), strict=True):
+                    found.at[i, "cepstrum"] = c
+            yield pd.concat([rows[list(by)].reset_index(drop=True), found], axis=1)
 
     return windows.select(*by, x).mapInPandas(run, f"{keys}, dominant double, centroid double, rolloff double, bandwidth double, band_ratio double, cepstrum array<double>")
+
+
+def sound_features(windows: DataFrame, by: Sequence[str], x: str, fs: float) -> DataFrame:
+    """The SOUND features of an array column of samples, a column each; null for an empty array."""
+    keys = ", ".join(f"`{c}` {windows.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = pd.DataFrame(np.nan, index=range(len(rows)), columns=list(SOUND))
+            samples = [np.asarray(v, np.float64) for v in rows[x]]
+            for n in {len(v) for v in samples} - {0}:
+                at = [i for i, v in enumerate(samples) if len(v) == n]
+                found.loc[at, list(SOUND)] = sound_block(np.stack([samples[i] for i in at]), fs)
+            yield pd.concat([rows[list(by)].reset_index(drop=True), found], axis=1)
+
+    return windows.select(*by, x).mapInPandas(run, f"{keys}, " + ", ".join(f"`{c}` double" for c in SOUND))

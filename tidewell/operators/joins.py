@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _bucket(x: Column, width: float) -> Column:
@@ -53,13 +54,19 @@ def numbered(df: DataFrame, by: Sequence[str], t: str, name: str) -> DataFrame:
 def match_events(predicted: DataFrame, true: DataFrame, by: Sequence[str], tolerance: float, t: str = "t_ms") -> DataFrame:
     """Greedy one-to-one matches: (by, i, j, pred_t, true_t, dt), nearest pairs first, ties by (i, j).
 
-    i and j are positions by time. Candidates come from a band join; the choice is sequential by nature and sees one
-    group's candidates, which are few beside its samples.
+    i and j are positions by time. Candidates come from a band join. The choice is sequential by nature, but events of both
+    kinds that lie farther than the tolerance from the next fall into islands that no pair crosses; a task sees one
+    island's candidates, however long the session is.
     """
     p = numbered(predicted.select(*by, F.col(t).cast("double").alias("pred_t")), by, "pred_t", "i")
     q = numbered(true.select(*by, F.col(t).cast("double").alias("true_t")), by, "true_t", "j")
     pairs = band_join(p, q, by, "pred_t", "true_t", tolerance).withColumn("dt", F.col("pred_t") - F.col("true_t"))
     pairs = pairs.select(*by, "i", "j", "pred_t", "true_t", "dt")
+    # a pair covers the time between its two events; pairs that share an event overlap there
+    w = Window.partitionBy(*by).orderBy(F.least("pred_t", "true_t"), F.greatest("pred_t", "true_t"), "i", "j")
+    reach = F.max(F.greatest("pred_t", "true_t")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.least("pred_t", "true_t") > reach), 1).otherwise(0)
+    pairs = pairs.withColumn("_fresh_", fresh).withColumn("_island_", F.sum("_fresh_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh_")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((rows["j"], rows["i"], rows["dt"].abs()))
@@ -71,15 +78,19 @@ def match_events(predicted: DataFrame, true: DataFrame, by: Sequence[str], toler
                 keep.append(k)
         return rows.iloc[sorted(keep)]
 
-    return pairs.groupBy(*by).applyInPandas(choose, pairs.schema)
+    # a pair alone in its island needs no choice
+    alone = pairs.withColumn("_n_", F.count(F.lit(1)).over(Window.partitionBy(*by, "_island_")))
+    single, rest = alone.where("_n_ = 1").drop("_n_"), alone.where("_n_ > 1").drop("_n_")
+    return single.unionByName(rest.groupBy(*by, "_island_").applyInPandas(choose, rest.schema)).drop("_island_")
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame, on: Sequence[str], features: str = "features", centre: str = "centre", group: str = "group") -> DataFrame:
     """rows with `predicted`, the group of the smallest squared distance, ties to the smaller group.
 
-    centroids: one row a group (and `on` keys, e.g. the fold), so the join multiplies rows by the number of groups only.
+    centroids: one row a group (and `on` keys, e.g. the fold); they are gathered in one array for each of the keys, so rows
+    meet them in place and need no exchange.
     """
-    gap = F.aggregate(F.zip_with(features, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    both = rows.withColumn("_row_", F.monotonically_increasing_id()).join(centroids.withColumnRenamed(group, "_g_"), list(on))
-    best = both.groupBy("_row_", *rows.columns).agg(F.min_by("_g_", F.struct(gap, F.col("_g_"))).alias("predicted"))
-    return best.drop("_row_")
+    gathered = centroids.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col(centre).alias("c")))).alias("_all_"))
+    gap = lambda c: F.aggregate(F.zip_with(features, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    best = F.array_min(F.transform("_all_", lambda x: F.struct(gap(x["c"]).alias("d"), x["g"].alias("g"))))
+    return rows.join(F.broadcast(gathered), list(on)).withColumn("predicted", best["g"]).drop("_all_")  # a row for each of the keys

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.ordered import delta, in_order
 
+ERROR, WARNING = "error", "warning"
 MAX_NAN = 0.02
 MAX_DROPOUT_MS = 250.0
 #: Rails of the converters, in counts.
@@ -72,43 +74,53 @@ def good_windows(members: DataFrame, by: Sequence[str], channels: Sequence[str],
     return window_stats(members, by, channels, ignore).withColumn("ok", (F.col("n_live") > 0) & (F.col("n") > 0) & (F.col("bad_share") <= max_nan) & (F.col("n_flat") == 0))
 
 
-def validate_session(streams: Mapping[str, DataFrame], channels: Mapping[str, Sequence[str]], rates: Mapping[str, float], scale: DataFrame | None = None, t: str = "t_ms", order: str = "seq", least_overlap_s: float = 5.0) -> list[str]:
-    """Warnings of one session; ContractError with all errors at once.
+def session_issues(streams: Mapping[str, DataFrame], channels: Mapping[str, Sequence[str]], rates: Mapping[str, float], scale: DataFrame | None = None, by: str = "session_id", t: str = "t_ms", order: str = "seq", least_overlap_s: float = 5.0) -> DataFrame:
+    """(by, level, message) of everything that is wrong with sessions; a session that only some streams know lacks the others.
 
     Errors: an empty stream, a missing channel, time that falls, non-finite times, an overlap of the streams under
-    least_overlap_s, non-finite scale readings. Warnings: a rate off by more than a quarter, a scale that falls by more than 0.5 g.
+    least_overlap_s, non-finite scale readings (of two and more). Warnings: a rate off by more than a quarter, a scale that
+    falls by more than 0.5 g.
     """
-    errors, warnings, spans = [], [], []
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    parts = []
     for name, df in streams.items():
-        missing = [c for c in channels[name] if c not in df.columns]
-        if missing:
-            errors.append(f"{name}: no channel {', '.join(missing)}")
-        d = delta(F.col(t), in_order([], order))
-        bad = F.col(t).isNull() | F.isnan(t) | (F.abs(F.col(t)) == float("inf"))
-        r = df.withColumn("_d_", d).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d_") < 0, 1).otherwise(0)).alias("falls"), F.sum(F.when(bad, 1).otherwise(0)).alias("bad"), F.min(t).alias("lo"), F.max(t).alias("hi"), F.median("_d_").alias("step")).first()
-        if not r.n:
-            errors.append(f"{name}: empty")
-            continue
-        if r.bad:
-            errors.append(f"{name}: {r.bad} non-finite times")
-        if r.falls:
-            errors.append(f"{name}: time falls {r.falls} times")
-        spans.append((r.lo, r.hi))
-        if r.step and r.step > 0 and abs(1000 / r.step / rates[name] - 1) > 0.25:
-            warnings.append(f"{name}: {1000 / r.step:.1f} Hz instead of {rates[name]:.1f}")
-    if len(spans) == len(streams) and spans and all(None not in s for s in spans):
-        overlap = (min(s[1] for s in spans) - max(s[0] for s in spans)) / 1000
-        if not overlap >= least_overlap_s:
-            errors.append(f"streams overlap by {overlap:.2f} s, less than {least_overlap_s}")
+        got = df.withColumn("_d_", delta(F.col(t), in_order([by], order))).groupBy(by).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d_") < 0, 1).otherwise(0)).alias("falls"), F.sum(F.when(bad(t), 1).otherwise(0)).alias("bad"), F.min(F.when(~bad(t), F.col(t))).alias("lo"), F.max(F.when(~bad(t), F.col(t))).alias("hi"), F.median("_d_").alias("step"),
+        )
+        parts.append(got.withColumn("stream", F.lit(name)))
+    stats = reduce(DataFrame.unionByName, parts)
+    facts = F.array(*[F.struct(F.lit(k).alias("stream"), F.lit(float(rates[k])).alias("hz"), F.lit(", ".join(c for c in channels[k] if c not in df.columns)).alias("lacks")) for k, df in streams.items()])
+    stats = stats.select(by).distinct().select(by, F.inline(facts)).join(stats, [by, "stream"], "left")
+    say = lambda level, cond, text: F.when(cond, F.struct(F.lit(level).alias("level"), text.alias("message")))
+    rate = 1000 / F.col("step")
+    found = [
+        say(ERROR, F.col("lacks") != "", F.concat("stream", F.lit(": no channel "), "lacks")),
+        say(ERROR, F.col("n").isNull(), F.concat("stream", F.lit(": empty"))),
+        say(ERROR, F.col("bad") > 0, F.format_string("%s: %d non-finite times", "stream", "bad")),
+        say(ERROR, F.col("falls") > 0, F.format_string("%s: time falls %d times", "stream", "falls")),
+        say(WARNING, (F.col("step") > 0) & (F.abs(rate / F.col("hz") - 1) > 0.25), F.format_string("%s: %.1f Hz instead of %.1f", F.col("stream"), rate, F.col("hz"))),
+    ]
+    issues = stats.select(by, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(by, "i.*")
+    both = stats.groupBy(by).agg(((F.min("hi") - F.max("lo")) / 1000).alias("overlap"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
+    short = F.format_string(f"streams overlap by %.2f s, less than {least_overlap_s}", "overlap")
+    issues = issues.union(both.where(F.col("least") > 0).select(by, say(ERROR, ~(F.col("overlap") >= least_overlap_s), short).alias("i")).where("i is not null").select(by, "i.*"))
     if scale is not None:
-        fall = delta(F.col("scale_g"), in_order([], order))
-        r = scale.withColumn("_d_", fall).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("scale_g").isNull() | F.isnan("scale_g"), 1).otherwise(0)).alias("bad"), F.min("_d_").alias("fall")).first()
-        if not r.n:
-            errors.append("scale: empty")
-        if r.bad:
-            errors.append(f"scale: {r.bad} non-finite readings")
-        elif r.fall is not None and r.fall < -0.5:
-            warnings.append(f"scale: falls by {-r.fall:.2f} g")
+        fall = delta(F.col("scale_g"), in_order([by], order))
+        r = scale.withColumn("_d_", fall).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(bad("scale_g"), 1).otherwise(0)).alias("bad"), F.min("_d_").alias("fall")).where("n >= 2")
+        found = F.coalesce(say(ERROR, F.col("bad") > 0, F.format_string("scale: %d non-finite readings", "bad")), say(WARNING, F.col("fall") < -0.5, F.format_string("scale: falls by %.2f g", -F.col("fall"))))
+        issues = issues.union(r.select(by, found.alias("i")).where("i is not null").select(by, "i.*"))
+    return issues
+
+
+def refuse(issues: DataFrame, by: str = "session_id", most: int = 20) -> None:
+    """ContractError with the first errors among session_issues, if there are any."""
+    errors = issues.where(F.col("level") == ERROR).orderBy(by, "message").limit(most).collect()
     if errors:
-        raise ContractError("; ".join(errors))
-    return warnings
+        raise ContractError("; ".join(f"{r[by]}: {r['message']}" for r in errors))
+
+
+def validate_session(streams: Mapping[str, DataFrame], channels: Mapping[str, Sequence[str]], rates: Mapping[str, float], scale: DataFrame | None = None, by: str = "session_id", **kw) -> list[str]:
+    """Warnings of a few sessions; ContractError with all errors at once."""
+    issues = session_issues(streams, channels, rates, scale, by, **kw)
+    refuse(issues, by)
+    return [r["message"] for r in issues.orderBy(by, "message").collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +31,15 @@ def _between(rows: DataFrame, by: Sequence[str], t: str, values: Sequence[str],
     """Where column `asked` is true: values interpolated from the other rows of the group, clamped at its ends."""
     w = Window.partitionBy(*by).orderBy(t, F.col(asked).cast("int"))
     sample = lambda c: F.when(~F.col(asked) & F.col(c).isNotNull(), F.struct(F.col(t).alias("t"), F.col(c).alias("v")))
-    for c in values:
-        before = F.last(sample(c), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        after = F.first(sample(c), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        rows = rows.withColumn(f"_a_{c}", before).withColumn(f"_b_{c}", after)
-    out = rows.where(asked)
-    for c in values:
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumns({f"_a_{c}": F.last(sample(c), ignorenulls=True).over(before) for c in values} | {f"_b_{c}": F.first(sample(c), ignorenulls=True).over(after) for c in values})
+
+    def value(c: str) -> Column:
         a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
         inside = a["v"] + (b["v"] - a["v"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"])
-        out = out.withColumn(c, F.when(a.isNull(), b["v"]).when(b.isNull() | (a["t"] == F.col(t)) | (b["t"] == a["t"]), a["v"]).otherwise(inside)).drop(f"_a_{c}", f"_b_{c}")
-    return out
+        return F.when(a.isNull(), b["v"]).when(b.isNull() | (a["t"] == F.col(t)) | (b["t"] == a["t"]), a["v"]).otherwise(inside)
+
+    return rows.where(asked).withColumns({c: value(c) for c in values}).drop(*(f"_{k}_{c}" for c in values for k in "ab"))
 
 
 def interpolate(points: DataFrame, samples: DataFrame, by: Sequence[str], values: Sequence[str], t: str = "t_ms") -> DataFrame:
@@ -63,21 +62,30 @@ def resample_linear(samples: DataFrame, grid: DataFrame, by: Sequence[str], valu
 
 
 def fill_gaps(df: DataFrame, by: Sequence[str], order: str, x: str, out: str | None = None, zero_is_gap: bool = True) -> DataFrame:
-    """Missing samples (null, NaN or, where zero_is_gap, exactly 0) interpolated by row number, clamped at the ends.
+    """fill_all_gaps of one column."""
+    return fill_all_gaps(df, by, order, {x: out or x}, zero_is_gap)
+
+
+def fill_all_gaps(df: DataFrame, by: Sequence[str], order: str, columns: Mapping[str, str], zero_is_gap: bool = True) -> DataFrame:
+    """Missing samples (null, NaN or, where zero_is_gap, exactly 0) interpolated by row number, clamped at the ends; columns: from -> to.
 
-    A group with fewer than two good samples becomes all zeros.
+    A group with fewer than two good samples becomes all zeros. All columns share one pass in order.
     """
-    good = F.when(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ((F.col(x) != 0) if zero_is_gap else F.lit(True)), F.col(x).cast("double"))
-    rows = df.withColumn("_i_", F.row_number().over(in_order(by, order))).withColumn("_g_", good)
-    w = in_order(by, "_i_")
-    seen = F.when(F.col("_g_").isNotNull(), F.struct(F.col("_i_").alias("i"), F.col("_g_").alias("v")))
-    a = F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    n = F.count("_g_").over(Window.partitionBy(*by))
-    rows = rows.withColumn("_a_", a).withColumn("_b_", b).withColumn("_n_", n)
-    inside = F.col("_a_.v") + (F.col("_b_.v") - F.col("_a_.v")) * (F.col("_i_") - F.col("_a_.i")) / (F.col("_b_.i") - F.col("_a_.i"))
-    value = F.when(F.col("_n_") < 2, F.lit(0.0)).when(F.col("_g_").isNotNull(), F.col("_g_")).when(F.col("_a_").isNull(), F.col("_b_.v")).when(F.col("_b_").isNull(), F.col("_a_.v")).otherwise(inside)
-    return rows.withColumn(out or x, value).drop("_i_", "_g_", "_a_", "_b_", "_n_")
+    good = lambda x: F.when(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ((F.col(x) != 0) if zero_is_gap else F.lit(True)), F.col(x).cast("double"))
+    names = {x: f"_g{i}_" for i, x in enumerate(columns)}
+    rows = df.withColumn("_i_", F.row_number().over(in_order(by, order))).withColumns({g: good(x) for x, g in names.items()})
+    w, whole = in_order(by, "_i_"), Window.partitionBy(*by)
+    seen = lambda g: F.when(F.col(g).isNotNull(), F.struct(F.col("_i_").alias("i"), F.col(g).alias("v")))
+    rows = rows.withColumns({f"{g}a": F.last(seen(g), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for g in names.values()})
+    rows = rows.withColumns({f"{g}b": F.first(seen(g), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)) for g in names.values()})
+    rows = rows.withColumns({f"{g}n": F.count(g).over(whole) for g in names.values()})
+
+    def value(g: str) -> Column:
+        a, b = F.col(f"{g}a"), F.col(f"{g}b")
+        inside = a["v"] + (b["v"] - a["v"]) * (F.col("_i_") - a["i"]) / (b["i"] - a["i"])
+        return F.when(F.col(f"{g}n") < 2, F.lit(0.0)).when(F.col(g).isNotNull(), F.col(g)).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(inside)
+
+    return rows.withColumns({columns[x]: value(g) for x, g in names.items()}).drop("_i_", *names.values(), *(f"{g}{k}" for g in names.values() for k in "abn"))
 
 
 def envelope(samples: DataFrame, grid: DataFrame, by: Sequence[str], x: str, hz: float, t: str = "t_ms", t0: str = "t0_ms", out: str = "envelope") -> DataFrame:

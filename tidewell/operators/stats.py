@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.functions.ordered import average_rank
 from tidewell.operators.joins import nearest_centroid
 
 
@@ -40,34 +39,96 @@ def fit_ridge(df: DataFrame, columns: Sequence[str], target: str, alpha: float)
 
     Moments are taken about the first row, so large offsets don't cost digits. Rows with nulls don't count.
     """
+    got = moments(df, [], columns, target)
+    if not got:
+        raise ValueError("no rows to fit")
+    return solve_ridge(got.values(), columns, alpha)
+
+
+@dataclass
+class Moments:
+    """Of rows (features and then the target) about a common centre: count, sums and sums of products; they add up."""
+
+    n: int
+    sums: np.ndarray
+    products: np.ndarray
+    centre: np.ndarray
+
+
+def moments(df: DataFrame, by: Sequence[str], columns: Sequence[str], target: str) -> dict[tuple, Moments]:
+    """Moments of each group of `by` (few: runs, levels or folds), by one aggregate. Rows with nulls don't count."""
     names = [*columns, target]
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    rows = df.select(*by, *[F.col(c).cast("double").alias(f"_x{i}_") for i, c in enumerate(names)]).dropna()
     first = rows.first()
     if first is None:
-        raise ValueError("no rows to fit")
-    d = {c: F.col(c) - float(first[c]) for c in names}
-    aggs = [F.count(F.lit(1)), *[F.sum(d[c]) for c in names], *[F.sum(d[a] * d[b]) for i, a in enumerate(names) for b in names[i:]]]
-    got = rows.agg(*aggs).first()
-    n, k = got[0], len(names)
-    mean = np.asarray(got[1 : 1 + k], float) / n
-    cross = np.zeros((k, k))
-    cross[np.triu_indices(k)] = got[1 + k :]
-    cov = (cross + np.triu(cross, 1).T) / n - np.outer(mean, mean)
-    centre = mean + np.asarray([first[c] for c in names], float)
+        return {}
+    k = len(names)
+    centre = np.asarray([first[f"_x{i}_"] for i in range(k)], float)
+    d = [F.col(f"_x{i}_") - float(centre[i]) for i in range(k)]
+    aggs = [F.count(F.lit(1)).alias("_n_"), *[F.sum(x).alias(f"_s{i}_") for i, x in enumerate(d)], *[F.sum(d[i] * d[j]).alias(f"_p{i}_{j}_") for i in range(k) for j in range(i, k)]]
+    out = {}
+    for r in rows.groupBy(*by).agg(*aggs).collect():
+        products = np.asarray([[r[f"_p{min(i, j)}_{max(i, j)}_"] for j in range(k)] for i in range(k)])
+        out[tuple(r[c] for c in by)] = Moments(r["_n_"], np.asarray([r[f"_s{i}_"] for i in range(k)]), products, centre)
+    return out
+
+
+def _pooled(parts: Iterable[Moments]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance over parts of one centre."""
+    parts = list(parts)
+    n = sum(m.n for m in parts)
+    mean = sum(m.sums for m in parts) / n
+    return n, mean + parts[0].centre, sum(m.products for m in parts) / n - np.outer(mean, mean)
+
+
+def solve_ridge(parts: Iterable[Moments], columns: Sequence[str], alpha: float, only: Sequence[int] | None = None) -> Ridge:
+    """A ridge fit over the union of the parts, of all features or of those numbered in `only`."""
+    n, mean, cov = _pooled(parts)
+    use = list(range(len(columns))) if only is None else list(only)
+    columns, mean, cov = [columns[i] for i in use], mean[[*use, -1]], cov[np.ix_([*use, -1], [*use, -1])]
+    k = len(columns)
     var = np.clip(np.diag(cov)[:-1], 0, None)
-    live = np.flatnonzero(var > 1e-24 * np.maximum(1, centre[:-1] ** 2))
-    scale = np.ones(k - 1)
+    live = np.flatnonzero(var > 1e-24 * np.maximum(1, mean[:-1] ** 2))
+    scale, coef = np.ones(k), np.zeros(k)
     scale[live] = np.sqrt(var[live])
     gram = n * cov[np.ix_(live, live)] / np.outer(scale[live], scale[live])
-    coef = np.zeros(k - 1)
     if len(live):
         coef[live] = np.linalg.solve(gram + alpha * np.eye(len(live)), n * cov[live, -1] / scale[live])
-    return Ridge(list(columns), centre[:-1], scale, coef, float(centre[-1]), alpha)
+    return Ridge(columns, mean[:-1], scale, coef, float(mean[-1]), alpha)
+
+
+def strongest(parts: Iterable[Moments]) -> int:
+    """The feature whose correlation with the target is largest in size, the first of equal ones; ones that don't vary count as -1."""
+    _, _, cov = _pooled(parts)
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        link = np.abs(cov[:-1, -1] / (sd[:-1] * sd[-1]))
+    return int(np.argmax(np.where(np.isfinite(link), link, -1.0)))
+
+
+def model_table(spark, models: Mapping[tuple, tuple[Ridge, Sequence]], columns: Sequence[str], key: str) -> DataFrame:
+    """Models by their key (schema `key`) as rows: intercept, coef (of raw features, in the order of columns) and `train`, the groups fitted on."""
+    rows = []
+    for k, (m, train) in models.items():
+        at = {c: float(b) / float(s) for c, b, s in zip(m.columns, m.coef, m.scale, strict=True)}
+        coef = [at.get(c, 0.0) for c in columns]
+        rows.append((*k, m.intercept - sum(at[c] * float(x) for c, x in zip(m.columns, m.mean, strict=True)), coef, [str(t) for t in train]))
+    return spark.createDataFrame(rows, f"{key}, intercept double, coef array<double>, train array<string>")
+
+
+def linear(columns: Sequence[str]) -> Column:
+    """What a row of model_table says of a row of features."""
+    return F.aggregate(F.zip_with(F.array(*[F.col(c).cast("double") for c in columns]), "coef", lambda a, b: a * b), F.col("intercept"), lambda a, b: a + b)
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """32 hex digits that depend on the seed and the key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
 def stratified_folds(df: DataFrame, group: str, key: str, folds: int, seed: int = 0) -> DataFrame:
-    """df with `fold`: rows of a group are dealt out in the order of a seeded hash of their key."""
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """df with `fold`: rows of a group are dealt out in the order of a seeded hash of their key (md5, so that any engine can repeat it)."""
+    w = Window.partitionBy(group).orderBy(seeded(F.col(key), seed), key)
     return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
 
 
@@ -91,7 +152,7 @@ def nearest_centroid_cv(df: DataFrame, features: str, group: str, fold: str) ->
     scale = centroids.groupBy(fold).agg(F.first("_means_").alias("_means_"), F.first("_sds_").alias("_sds_"))
     z = F.zip_with(F.zip_with(features, "_means_", lambda a, m: a - m), "_sds_", lambda a, s: a / s)
     rows = df.join(F.broadcast(scale), fold).withColumn("_z_", z).drop("_means_", "_sds_")  # a row for each fold
-    return nearest_centroid(rows, F.broadcast(centroids.select(fold, "group", "centre")), [fold], "_z_").drop("_z_")
+    return nearest_centroid(rows, centroids.select(fold, "group", "centre"), [fold], "_z_").drop("_z_")
 
 
 def confound_probe(predicted: DataFrame, group: str) -> DataFrame:
@@ -106,12 +167,18 @@ def group_recall(predicted: DataFrame, group: str) -> DataFrame:
 
 
 def session_split(df: DataFrame, session: str, share: float, seed: int = 0) -> DataFrame:
-    """Sessions with `split`: max(1, round(n * share)) of them, first by a seeded hash, are 'val'."""
-    ids = df.select(session).distinct()
-    n = ids.count()
-    held = max(1, round(n * share))
-    first = ids.orderBy(F.xxhash64(session, F.lit(seed)), session).limit(held).withColumn("split", F.lit("val"))
-    return ids.join(first, session, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    """Sessions with `split`: max(1, round(n * share)) of them, first by a seeded hash, are 'val'.
+
+    The hash's first three digits count sessions into 4096 bins; of the bin in which the share ends, the first ones are taken
+    by rank. No task sorts more than a bin.
+    """
+    ids = df.select(session).distinct().withColumn("_h_", seeded(F.col(session), seed)).withColumn("_bin_", F.substring("_h_", 1, 3))
+    bins = ids.groupBy("_bin_").agg(F.count(F.lit(1)).alias("_n_"))
+    w = Window.orderBy("_bin_").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    held = F.greatest(F.lit(1.0), F.rint(F.sum("_n_").over(Window.partitionBy(F.lit(0))) * share))
+    bins = bins.select("_bin_", (held - F.coalesce(F.sum("_n_").over(w), F.lit(0))).alias("_left_"))
+    rank = F.row_number().over(Window.partitionBy("_bin_").orderBy("_h_", session))
+    return ids.withColumn("_r_", rank).join(F.broadcast(bins), "_bin_").select(session, F.when(F.col("_r_") <= F.col("_left_"), "val").otherwise("train").alias("split"))
 
 
 def paired(a: DataFrame, b: DataFrame, on: Sequence[str], value: str) -> DataFrame:
@@ -122,13 +189,25 @@ def paired(a: DataFrame, b: DataFrame, on: Sequence[str], value: str) -> DataFra
 
 
 def wilcoxon(df: DataFrame, diff: str = "diff") -> dict[str, float]:
-    """Signed ranks of the non-zero differences: w = min(w_plus, w_minus), and the two-sided p, exact without ties up to 50 rows, else normal with ties corrected."""
-    rows = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("_a_", F.abs(diff)).withColumn("_r_", average_rank(F.col("_a_")))
-    got = rows.agg(F.coalesce(F.sum(F.when(F.col(diff) > 0, F.col("_r_"))), F.lit(0.0)).alias("plus"), F.coalesce(F.sum(F.when(F.col(diff) < 0, F.col("_r_"))), F.lit(0.0)).alias("minus"), F.count(F.lit(1)).alias("n")).first()
-    n, w = got.n, min(got.plus, got.minus)
+    """Signed ranks of the non-zero differences: w = min(w_plus, w_minus), and the two-sided p, exact without ties up to 50 rows, else normal with ties corrected.
+
+    Rows are counted by value first. Values are cut into ranges of about equal counts, so that ranks are running counts
+    within a range plus those of the ranges before, and no task sees all values.
+    """
+    size = F.abs(F.col(diff).cast("double"))
+    sign = lambda s: F.sum(F.when(F.signum(F.col(diff)) == s, 1).otherwise(0))
+    counts = df.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).groupBy(size.alias("_a_")).agg(sign(1).alias("_p_"), sign(-1).alias("_m_")).withColumn("_k_", F.col("_p_") + F.col("_m_"))
+    edges = sorted(set(counts.approxQuantile("_a_", [i / 64 for i in range(1, 64)], 0.005)))
+    slot = F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("_a_")))
+    counts = counts.withColumn("_slot_", slot)
+    before = counts.groupBy("_slot_").agg(F.sum("_k_").alias("_t_")).withColumn("_before_", F.coalesce(F.sum("_t_").over(Window.orderBy("_slot_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 64 rows at most
+    inside = F.sum("_k_").over(Window.partitionBy("_slot_").orderBy("_a_").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_in_", inside).join(F.broadcast(before.select("_slot_", "_before_")), "_slot_").withColumn("_r_", F.col("_before_") + F.col("_in_") - (F.col("_k_") - 1) / 2.0)
+    zero = F.lit(0.0)
+    got = ranked.agg(F.coalesce(F.sum(F.col("_r_") * F.col("_p_")), zero).alias("plus"), F.coalesce(F.sum(F.col("_r_") * F.col("_m_")), zero).alias("minus"), F.coalesce(F.sum("_k_"), F.lit(0)).alias("n"), F.sum(F.pow("_k_", 3) - F.col("_k_")).alias("ties")).first()
+    n, w, ties = int(got.n), min(got.plus, got.minus), got.ties
     if not n:
         return {"w_plus": 0.0, "w_minus": 0.0, "w": 0.0, "n": 0, "p": 1.0}
-    ties = rows.groupBy("_a_").count().agg(F.sum(F.pow("count", 3) - F.col("count"))).first()[0]
     if not ties and n <= 50:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
@@ -141,15 +220,31 @@ def wilcoxon(df: DataFrame, diff: str = "diff") -> dict[str, float]:
     return {"w_plus": got.plus, "w_minus": got.minus, "w": w, "n": n, "p": float(p)}
 
 
+#: Rows that bootstrap_median takes: its input is one row for each paired run.
+MAX_RESAMPLED = 100_000
+#: Fixed value: a prime below 2^31, so that squares fit in 64 bits.
+PRIME = 2147483647
+
+
+def place(draw: Column, i: Column, n: Column, seed: int) -> Column:
+    """A row 0..n-1 for the i-th pick of a draw: squares modulo a prime, which any engine can repeat."""
+    x = (draw * 1103515245 + i * 69069 + (seed * 40503 + 12345)) % PRIME
+    for add in (7919, 104729, 1299709):
+        x = (x * x + x + add) % PRIME
+    return x % n
+
+
 def bootstrap_median(df: DataFrame, x: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """lo, hi: percentile interval of the median over resamples with replacement.
+    """lo, hi: percentile interval of the median over resamples with replacement of at most MAX_RESAMPLED rows (more are an error).
 
-    Each draw picks its rows by a hash of (draw, place), so draws are made in the engine and are the same on every run.
+    Each draw picks its rows by arithmetic on (draw, place), so draws are made in the engine and are the same on every run.
     """
     rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x_"))
-    values = rows.agg(F.array_sort(F.collect_list("_x_")).alias("_v_"), F.count(F.lit(1)).alias("_n_"))  # one row for each paired run
+    if (n := rows.count()) > MAX_RESAMPLED:
+        raise ValueError(f"{n} rows to resample, more than {MAX_RESAMPLED}")
+    values = rows.agg(F.array_sort(F.collect_list("_x_")).alias("_v_"), F.count(F.lit(1)).alias("_n_"))  # one row, of bounded size
     many = df.sparkSession.range(draws).withColumnRenamed("id", "_draw_").crossJoin(F.broadcast(values)).where("_n_ > 0")
-    places = F.transform(F.sequence(F.lit(1), F.col("_n_").cast("int")), lambda i: F.pmod(F.xxhash64(F.col("_draw_"), i, F.lit(seed)), F.col("_n_")).cast("int") + 1)
+    places = F.transform(F.sequence(F.lit(1), F.col("_n_").cast("int")), lambda i: place(F.col("_draw_"), i.cast("long"), F.col("_n_"), seed).cast("int") + 1)
     drawn = F.array_sort(F.transform(places, lambda i: F.element_at("_v_", i)))
     half = (F.col("_n_").cast("int") + 1) / 2
     mid = many.withColumn("_d_", drawn).select(((F.element_at("_d_", F.floor(half).cast("int")) + F.element_at("_d_", F.ceil(half).cast("int"))) / 2).alias("_m_"))

@@ -447,24 +447,6 @@ def _match(spark, sf_dir):
     return p, q, joins.match_events(p, q, ["user_id"], 86_400_000.0)
 
 
-@query()
-def greedy_match(spark, sf_dir):
-    return _match(spark, sf_dir)[2]
-
-
-@query()
-def match_scores(spark, sf_dir):
-    p, q, m = _match(spark, sf_dir)
-    return evaluate.match_scores(m, p, q, ["user_id"])
-
-
-@query()
-def missed_events(spark, sf_dir):
-    p, q, m = _match(spark, sf_dir)
-    true = joins.numbered(q.withColumn("depth", F.col("t_ms") % 1000), ["user_id"], "t_ms", "j")
-    return evaluate.missed_events(true, m, ["user_id"]).select("user_id", "j", "depth_rank")
-
-
 @query("""WITH s AS (SELECT count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, covar_pop(l_quantity, l_discount) AS c12, covar_pop(l_quantity, l_extendedprice) AS c1, covar_pop(l_discount, l_extendedprice) AS c2 FROM lineitem),
 z AS (SELECT *, n + 10.0::DOUBLE AS a, n * c12 / (s1 * s2) AS b, n * c1 / s1 AS u, n * c2 / s2 AS v FROM s), w AS (SELECT *, (u * a - v * b) / (a * a - b * b) AS k1, (v * a - u * b) / (a * a - b * b) AS k2 FROM z)
 SELECT l_linenumber, round(avg(my + (l_quantity - m1) / s1 * k1 + (l_discount - m2) / s2 * k2), 3)::DOUBLE AS predicted FROM lineitem, w GROUP BY 1""")
@@ -483,12 +465,6 @@ def nearest_centroid_cv(spark, sf_dir):
     return stats.nearest_centroid_cv(rows, "x", "label", "fold").select("vec_id", "label", "predicted")
 
 
-@query()
-def confound_probe(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    return stats.confound_probe(stats.nearest_centroid_cv(stats.stratified_folds(rows, "label", "vec_id", 5), "x", "label", "fold"), "label")
-
-
 def _paired(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey", (F.col("o_orderkey") % 2).alias("side")).agg(F.round(F.avg("o_totalprice"), 6).alias("value"))
     return stats.paired(rows.where("side = 0").drop("side"), rows.where("side = 1").drop("side"), ["o_custkey"], "value")
@@ -508,11 +484,6 @@ def wilcoxon_w(spark, sf_dir):
     return spark.createDataFrame([(float(got["w_plus"]), float(got["w_minus"]), int(got["n"]))], "w_plus double, w_minus double, n long")
 
 
-@query()
-def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_median(_paired(spark, sf_dir), "diff", 20000)
-
-
 @query("""WITH e AS (SELECT l_linenumber, (l_quantity - 25) / 2 AS e FROM lineitem) SELECT l_linenumber, count(*) AS n, round(median(abs(e)), 4)::DOUBLE AS median_abs, round(stddev_samp(e), 4)::DOUBLE AS sd, round(quantile_cont(abs(e), 0.9), 4)::DOUBLE AS p90_abs, round(max(abs(e)), 4)::DOUBLE AS worst_abs, round(avg(e), 4)::DOUBLE AS bias, round(avg((abs(e) <= 5)::INT), 6)::DOUBLE AS within_5 FROM e GROUP BY 1""")
 def error_table(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_linenumber", ((F.col("l_quantity") - 25) / 2).alias("e"))
@@ -585,13 +556,6 @@ def _signal(spark, sf_dir) -> DataFrame:
     return resample.resample_linear(_once(spark, sf_dir).select("user_id", "seq", "t_ms", "value"), grid, ["user_id"], ["value"], order="seq")
 
 
-@query()
-def welch_rate(spark, sf_dir):
-    from tidewell.operators.detect import rate_by_series
-
-    return rate_by_series(_signal(spark, sf_dir), ["user_id"], "grid_idx", "value", 24.0, (60.0, 600.0))
-
-
 @query()
 def detect_cycles(spark, sf_dir):
     from tidewell.operators.detect import Detector, detect_events
@@ -608,12 +572,4 @@ def detection_summary(spark, sf_dir):
     return detection_summary(rows, ["user_id"], "t_ms", "value", Detector(band_cpm=(20.0, 120.0), grid_hz=20.0))
 
 
-@query()
-def spectral_shape(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return features.spectral_features(rows, ["vec_id"], "x", 64.0)
-
-
-@query()
-def session_split(spark, sf_dir):
-    return stats.session_split(table(spark, sf_dir, "events"), "user_id", 0.2)
+from tidewell.plans import session_queries  # noqa: E402, F401  registers more queries

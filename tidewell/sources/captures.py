@@ -3,6 +3,10 @@
 Three layouts: `flat` (strain.csv, imu.csv, mic.csv, meta.json, optional scale.csv and events.csv on one clock), `rig` (two
 boards with clocks of their own, files named <stem>_...), and `live` (rig without the rig board). Paths go through Spark's
 file systems, so any store will do.
+
+Sessions are rows: all captures of a folder (or all flat folders of a root) are read by one scan a file kind, with
+`session_id` (the stem, or the folder's name) beside every sample, and all their clocks are fitted in one plan. One
+session is the same with one name.
 """
 
 from __future__ import annotations
@@ -10,21 +14,25 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tidewell.config import Sensors
-from tidewell.functions.convert import Affine
 from tidewell.operators import clock as C
-from tidewell.operators.resample import fill_gaps
+from tidewell.operators.resample import fill_all_gaps
 
 FLAT, RIG, LIVE = "flat", "rig", "live"
 SENSOR_BOARD, RIG_BOARD = "sensor", "rig"
 POOLED, SESSION, STRICT = "pooled", "session", "strict"
 COUNTS, PHYSICAL = "counts", "physical"
+#: Rows of captures' clocks and sidecars that the driver holds.
+MAX_SETTLED = 10_000
+SESSION_ID, DOCUMENTS = "session_id", ("session", "sensor", "rig")
 
 
 class MissingRigBoard(FileNotFoundError):
@@ -72,9 +80,10 @@ def read_json(spark: SparkSession, path: str) -> dict[str, Any]:
 
 
 def read_csv(spark: SparkSession, path: str, required: list[str], optional: list[str] = (), text: tuple[str, ...] = ()) -> DataFrame:
-    """Named columns of a CSV as DOUBLE, null where that fails (text ones as STRING), with `seq`, the order of rows within the file.
+    """Named columns of a CSV (or of all that a pattern matches, of one header) as DOUBLE, null where that fails (text ones as STRING).
 
-    Only these columns are parsed. A required column that the header lacks is an error.
+    `seq` is the order of rows within a file, `file_path` the file. Only the named columns are parsed. A required column
+    that the header lacks is an error.
     """
     header = spark.read.option("header", True).csv(path).columns
     missing = [c for c in required if c not in header]
@@ -84,12 +93,15 @@ def read_csv(spark: SparkSession, path: str, required: list[str], optional: list
     wanted = [c for c in header if c in required or c in optional]
     rows = spark.read.option("header", True).schema(schema).csv(path)
     cast = [F.col(f"`{c}`").try_cast("string" if c in text else "double").alias(c) for c in wanted]
-    return rows.select(*cast, F.monotonically_increasing_id().alias("seq"))
+    return rows.select(*cast, F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_path").alias("file_path"))
 
 
 @dataclass
 class Session:
-    """Streams of one session on its own milliseconds: strain, imu, mic and, where there is one, scale."""
+    """Streams of sessions on their own milliseconds, each with session_id: strain, imu, mic and, where there is one, scale.
+
+    measured: (session_id, stream, rate_hz); repairs: (session_id, stream, n_backsteps, worst_backstep) of mended clocks.
+    """
 
     streams: dict[str, DataFrame]
     rates: dict[str, float]
@@ -97,26 +109,56 @@ class Session:
     layout: str
     meta: dict[str, Any] = field(default_factory=dict)
     scale: DataFrame | None = None
+    repairs: DataFrame | None = None
 
     def unit_of(self, stream: str) -> str:
         return self.units.get(stream, COUNTS)
 
+    @property
+    def measured(self) -> DataFrame:
+        rates = [C.effective_rate(df, [SESSION_ID], "seq", "t_ms", out="rate_hz").withColumn("stream", F.lit(name)) for name, df in self.streams.items()]
+        return reduce(DataFrame.unionByName, rates).select(SESSION_ID, "stream", "rate_hz")
+
 
 @dataclass
-class Capture:
-    """Sidecars and clocks of a rig or live capture; bulk streams aren't read yet."""
+class Captures:
+    """Rig and live captures of a folder: sidecars (session_id, session, sensor, rig as VARIANT) and fitted clocks; bulk streams aren't read yet.
+
+    fits: (session_id, board, skew_ppm, slope, offset_s, jitter_ms, residual_ms, n_sync_points, confidence, skew_source,
+    suspicious, wraps, centre_us, device_lo_us, device_hi_us, t0_host_s).
+    """
 
+    spark: SparkSession
     root: str
-    stem: str
-    session_meta: dict[str, Any]
-    sensor_meta: dict[str, Any]
-    rig_meta: dict[str, Any]
-    clocks: dict[str, dict[str, Any]]
-    t0_host_s: float
+    sidecars: DataFrame
+    fits: DataFrame
+    stem: str | None = None
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{self.stem or '*'}_{name}"
+
+    def read(self, name: str, required: list[str], optional: list[str] = ()) -> DataFrame:
+        """Rows of one kind of file of all captures, with session_id."""
+        rows = read_csv(self.spark, self.path(name), required, optional)
+        return rows.withColumn(SESSION_ID, F.regexp_extract("file_path", f"([^/]+)_{re.escape(name)}$", 1)).drop("file_path")
+
+
+@dataclass
+class Capture(Captures):
+    """One capture, with its sidecars and clocks at hand."""
+
+    session_meta: dict[str, Any] = field(default_factory=dict)
+    sensor_meta: dict[str, Any] = field(default_factory=dict)
+    rig_meta: dict[str, Any] = field(default_factory=dict)
+    clocks: dict[str, dict[str, Any]] = field(default_factory=dict)
 
     @property
     def boards(self) -> list[str]:
-        return list(self.clocks)
+        return [b for b in (SENSOR_BOARD, RIG_BOARD) if b in self.clocks]
+
+    @property
+    def t0_host_s(self) -> float:
+        return min(c["t0_host_s"] for c in self.clocks.values())
 
     @property
     def has_rig_board(self) -> bool:
@@ -136,87 +178,114 @@ class Capture:
         v = (self.sensor_meta.get("run") or {}).get("cycle_rate_cpm")
         return None if v is None else float(v)
 
-    def file(self, name: str) -> str:
-        return f"{self.root}/{self.stem}_{name}"
-
 
 def load_flat(spark: SparkSession, folder: str, sensors: Sensors | None = None) -> Session:
+    """One flat folder or, with a pattern such as root/*, all that it matches."""
     s = sensors or Sensors()
-    streams = {name: read_csv(spark, f"{folder}/{name}.csv", ["t_ms", *channels]) for name, channels in (("strain", s.strain), ("imu", s.imu), ("mic", s.mic_active))}
+    own = F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1).alias(SESSION_ID)
+    read = lambda name, columns: (rows := read_csv(spark, f"{folder}/{name}.csv", columns)).select(*[c for c in rows.columns if c != "file_path"], own)
+    streams = {name: read(name, ["t_ms", *channels]) for name, channels in (("strain", s.strain), ("imu", s.imu), ("mic", s.mic_active))}
     for c in s.inactive:
         streams["mic"] = streams["mic"].withColumn(c, F.lit(0.0))
-    scale = read_csv(spark, f"{folder}/scale.csv", ["t_ms", s.scale]).withColumnRenamed(s.scale, "scale_g") if exists(spark, f"{folder}/scale.csv") else None
-    return Session(streams, dict(s.rates), {k: COUNTS for k in streams}, FLAT, read_json(spark, f"{folder}/meta.json"), scale)
+    many = "*" in folder
+    scale = read("scale", ["t_ms", s.scale]).withColumnRenamed(s.scale, "scale_g") if matches(spark, f"{folder}/scale.csv") else None
+    return Session(streams, dict(s.rates), {k: COUNTS for k in streams}, FLAT, {} if many else read_json(spark, f"{folder}/meta.json"), scale)
 
 
-def _sync(spark: SparkSession, root: str, stem: str, board: str) -> DataFrame:
-    path = f"{root}/{stem}_{board}_sync.csv"
-    if not exists(spark, path):
-        raise FileNotFoundError(f"no clock file {path}")
-    rows = read_csv(spark, path, ["host_mono_s", "device_ts_us"]).withColumn("board", F.lit(board))
-    return C.unwrap(rows, ["board"], "seq", "device_ts_us", out="device_us", wraps="wraps").withColumn("device_s", F.col("device_us") * 1e-6).withColumnRenamed("host_mono_s", "host_s")
+def settled(df: DataFrame) -> DataFrame:
+    """A small table (a row or two a capture) that many plans read: its rows where they are MAX_SETTLED at most, else kept by Spark (a lost part is made again)."""
+    rows = df.limit(MAX_SETTLED + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= MAX_SETTLED else df.persist()
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    fs, where = _fs(spark, pattern)
+    return bool(fs.globStatus(where))
+
+
+def read_sidecars(spark: SparkSession, root: str, stem: str | None = None) -> DataFrame:
+    """(session_id, session, sensor, rig) of all captures, the documents as VARIANT ({} where absent), by one scan."""
+    pattern = f"{root}/{stem or '*'}_{{session,sensor,rig}}.json"
+    if not matches(spark, pattern):
+        raise FileNotFoundError(f"{root}: no capture")
+    rows = spark.read.text(pattern, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)_(session|sensor|rig)\.json$", 1).alias(SESSION_ID), F.regexp_extract("_metadata.file_path", r"_(session|sensor|rig)\.json$", 1).alias("kind"), "value")
+    each = rows.groupBy(SESSION_ID).agg(*[F.max(F.when(F.col("kind") == d, F.col("value"))).alias(d) for d in DOCUMENTS]).where("session is not null")
+    return settled(each).select(SESSION_ID, *[F.parse_json(F.coalesce(F.col(d), F.lit("{}"))).alias(d) for d in DOCUMENTS])
+
+
+def alignment(sidecars: DataFrame) -> DataFrame:
+    """(session_id, board, skew_ppm, skew_applied, skew_se_ppm, skew_confidence): what each session file says of its boards."""
+    rows = sidecars.select(SESSION_ID, F.explode(F.array(F.lit(SENSOR_BOARD), F.lit(RIG_BOARD))).alias("board"), "session")
+    side = lambda name, kind: F.when(F.col("board") == SENSOR_BOARD, F.try_variant_get("session", F.lit(f"$.alignment.{SENSOR_BOARD}.{name}"), kind)).otherwise(F.try_variant_get("session", F.lit(f"$.alignment.{RIG_BOARD}.{name}"), kind))
+    return rows.select(SESSION_ID, "board", *[side(n, "double").alias(n) for n in ("skew_ppm", "skew_applied", "skew_se_ppm")], F.coalesce(side("skew_confidence", "string"), F.lit("unknown")).alias("skew_confidence"))
+
+
+def open_captures(spark: SparkSession, root: str, stem: str | None = None, skew_fallback: str = POOLED) -> Captures:
+    """Sidecars and clocks of all captures at root (or of one): one scan of the sidecars, one of the sync files, one grouped fit.
+
+    A board without a skew, without two sync points, or (under `strict`) with one that isn't resolved is an error.
+    """
+    sidecars = read_sidecars(spark, root, stem)
+    info = alignment(sidecars if stem is None or skew_fallback != POOLED else read_sidecars(spark, root))
+    pooled = C.pooled_skew(info).select("board", "pooled_skew_ppm")  # a row a board
+    name = f"{stem or '*'}_{{{SENSOR_BOARD},{RIG_BOARD}}}_sync.csv"
+    if not matches(spark, f"{root}/{name}"):
+        raise FileNotFoundError(f"no clock file {root}/{name}")
+    sync = read_csv(spark, f"{root}/{name}", ["host_mono_s", "device_ts_us"])
+    sync = sync.select(F.regexp_extract("file_path", r"([^/]+)_(sensor|rig)_sync\.csv$", 1).alias(SESSION_ID), F.regexp_extract("file_path", r"_(sensor|rig)_sync\.csv$", 1).alias("board"), "seq", F.col("host_mono_s").alias("host_s"), "device_ts_us")
+    by = [SESSION_ID, "board"]
+    trusted = F.col("skew_confidence") == "resolved"
+    borrowed = ~trusted & F.lit(skew_fallback == POOLED) & F.col("pooled_skew_ppm").isNotNull()
+    info = info.join(F.broadcast(pooled), "board", "left").withColumn("skew", F.when(borrowed, F.col("pooled_skew_ppm")).otherwise(F.col("skew_ppm"))).withColumn("skew_source", F.when(borrowed, POOLED).otherwise(SESSION))
+    spans = sync.select(*by).distinct()
+    info = settled(info)
+    bad = spans.join(info, by, "left").where(F.col("skew").isNull() | (~trusted if skew_fallback == STRICT else F.lit(False))).select(*by, "skew_ppm", "skew_confidence").orderBy(*by).limit(5).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r[0]}: no skew for board {r[1]}" if r[2] is None else f"{r[0]}: the skew of board {r[1]} is {r[3]}, which {STRICT} refuses" for r in bad))
+    sync = C.unwrap(sync, by, "seq", "device_ts_us", out="device_us", wraps="wraps").withColumn("device_s", F.col("device_us") * 1e-6)
+    sync = sync.join(info.select(*by, "skew"), by)
+    fit = C.check_convention(sync, C.fit_clock(sync, by, "skew"), by)
+    spans = sync.groupBy(*by).agg(F.max("wraps").alias("wraps"), F.min("device_us").alias("device_lo_us"), F.max("device_us").alias("device_hi_us"), F.min_by("host_s", "seq").alias("first_host_s"))
+    clocks = fit.join(spans, by).join(info.select(*by, F.col("skew_confidence").alias("confidence"), "skew_source"), by)
+    # streams are put in the epoch of the middle of the sync file's range; a range of one point says nothing
+    clocks = clocks.withColumn("centre_us", F.when(F.col("device_hi_us") > F.col("device_lo_us"), (F.col("device_lo_us") + F.col("device_hi_us")) / 2))
+    clocks = clocks.withColumn("t0_host_s", F.min("first_host_s").over(Window.partitionBy(SESSION_ID))).drop("first_host_s", "best_ms")
+    clocks = settled(clocks)
+    few = clocks.where("n_sync_points < 2").select(*by).orderBy(*by).limit(5).collect()
+    if few:
+        raise ValueError("; ".join(f"{r[0]}: fewer than two sync points for board {r[1]}" for r in few))
+    return Captures(spark, root, sidecars, clocks, stem)
 
 
 def pooled_skew_ppm(spark: SparkSession, root: str, board: str) -> float | None:
-    """Inverse-variance mean of the resolved skews of all captures at root, from one pass over their sidecars."""
-    rows = []
-    for stem in discover_stems(spark, root):
-        info = (read_json(spark, f"{root}/{stem}_session.json").get("alignment") or {}).get(board) or {}
-        rows.append((board, info.get("skew_applied"), info.get("skew_ppm"), info.get("skew_se_ppm"), info.get("skew_confidence")))
-    cast = [(b, *(None if v is None else float(v) for v in (x, y, z)), c) for b, x, y, z, c in rows]
-    got = C.pooled_skew(spark.createDataFrame(cast, "board string, skew_applied double, skew_ppm double, skew_se_ppm double, skew_confidence string")).first() if cast else None
+    """Inverse-variance mean of the resolved skews of all captures at root, from one scan of their sidecars."""
+    got = C.pooled_skew(alignment(read_sidecars(spark, root)).where(F.col("board") == board)).first()
     return None if got is None else float(got["pooled_skew_ppm"])
 
 
 def open_capture(spark: SparkSession, root: str, stem: str | None = None, skew_fallback: str = POOLED) -> Capture:
-    """Sidecars and fitted clocks. Several stems and none named is an error, and so is a clock that can't be trusted under `strict`."""
-    stems = discover_stems(spark, root)
+    """One capture. Several stems and none named is an error, and so is a clock that can't be trusted under `strict`."""
     if stem is None:
+        stems = discover_stems(spark, root)
         if len(stems) != 1:
             raise ValueError(f"{root}: name one of {stems}") if stems else FileNotFoundError(f"{root}: no capture")
         stem = stems[0]
-    session = read_json(spark, f"{root}/{stem}_session.json")
-    have = set(names(spark, root))
-    boards = [b for b in (SENSOR_BOARD, RIG_BOARD) if f"{stem}_{b}_sync.csv" in have]
-    if SENSOR_BOARD not in boards:
+    got = open_captures(spark, root, stem, skew_fallback)
+    docs = got.sidecars.select(*[F.to_json(d).alias(d) for d in DOCUMENTS]).first()
+    fitted = {r["board"]: r.asDict() for r in got.fits.collect()}  # two rows at most
+    if SENSOR_BOARD not in fitted:
         raise FileNotFoundError(f"no clock file {root}/{stem}_{SENSOR_BOARD}_sync.csv")
-    metas = {b: read_json(spark, f"{root}/{stem}_{b}.json") if f"{stem}_{b}.json" in have else {} for b in (SENSOR_BOARD, RIG_BOARD)}
-    clocks, t0 = {}, []
-    for board in boards:
-        info = (session.get("alignment") or {}).get(board) or {}
-        skew, confidence, source = info.get("skew_ppm"), str(info.get("skew_confidence", "unknown")), SESSION
-        if skew is None:
-            raise ValueError(f"{stem}: no skew for board {board}")
-        if confidence != "resolved":
-            if skew_fallback == STRICT:
-                raise ValueError(f"{stem}: the skew of board {board} is {confidence}, which {STRICT} refuses")
-            if skew_fallback == POOLED and (pooled := pooled_skew_ppm(spark, root, board)) is not None:
-                skew, source = pooled, POOLED
-        sync = _sync(spark, root, stem, board).withColumn("skew", F.lit(float(skew))).cache()
-        try:
-            fit = C.check_convention(sync, C.fit_clock(sync, ["board"], "skew"), ["board"]).first()
-            if fit is None or fit["n_sync_points"] < 2:
-                raise ValueError(f"{stem}: fewer than two sync points for board {board}")
-            span = sync.agg(F.median("device_us"), F.max("wraps"), F.min("device_us"), F.max("device_us"), F.min_by("host_s", "seq")).first()
-        finally:
-            sync.unpersist()
-        clocks[board] = {
-            "skew_ppm": float(skew), "slope": fit["slope"], "offset_s": fit["offset_s"], "jitter_ms": fit["jitter_ms"], "residual_ms": fit["residual_ms"], "n_sync_points": fit["n_sync_points"],
-            "confidence": confidence, "skew_source": source, "suspicious": fit["suspicious"], "wraps": span[1], "centre_us": span[0], "device_lo_us": span[2], "device_hi_us": span[3],
-        }
-        t0.append(span[4])
-    return Capture(root, stem, session, metas[SENSOR_BOARD], metas[RIG_BOARD], clocks, min(t0))
-
-
-def on_session_time(rows: DataFrame, capture: Capture, board: str, raw: str, stream: str | None = None) -> DataFrame:
+    return Capture(spark, root, got.sidecars, got.fits, stem, *(json.loads(docs[d]) for d in DOCUMENTS), fitted)
+
+
+def on_session_time(rows: DataFrame, captures: Captures, board: str, raw: str, stream: str | None = None) -> DataFrame:
     """rows with t_ms from a board's counter; named streams are repaired, or refused, where time runs back."""
-    c = capture.clocks[board]
-    rows = rows.withColumn("_one_", F.lit(1)).withColumn("_centre_", F.lit(float(c["centre_us"])))
-    rows = C.align_device(rows, ["_one_"], "seq", raw, "_centre_", out="_us_")
-    rows = rows.withColumn("t_ms", C.to_session_ms(F.col("_us_"), F.lit(c["slope"]), F.lit(c["offset_s"]), F.lit(capture.t0_host_s)))
+    clocks = captures.fits.where(F.col("board") == board).select(SESSION_ID, "slope", "offset_s", "t0_host_s", F.col("centre_us").alias("_centre_"))
+    rows = C.align_device(rows.join(clocks, SESSION_ID), [SESSION_ID], "seq", raw, "_centre_", out="_us_")
+    rows = rows.withColumn("t_ms", C.to_session_ms(F.col("_us_"), F.col("slope"), F.col("offset_s"), F.col("t0_host_s")))
     if stream is not None:
-        rows = C.repaired(rows, ["_one_"], "seq", "t_ms", stream)
-    return rows.drop("_one_", "_centre_", "_us_", "wraps", raw)
+        rows = C.repaired(rows, [SESSION_ID], "seq", "t_ms", stream)
+    return rows.drop("_centre_", "_us_", "wraps", "slope", "offset_s", "t0_host_s", raw)
 
 
 def strain_columns(columns: list[str], n: int = 8) -> dict[int, str]:
@@ -228,52 +297,75 @@ def strain_columns(columns: list[str], n: int = 8) -> dict[int, str]:
     return {i: found[i] for i in range(n)}
 
 
-def load_rig(spark: SparkSession, root: str, stem: str | None = None, sensors: Sensors | None = None, skew_fallback: str = POOLED) -> Session:
-    s = sensors or Sensors()
-    cap = open_capture(spark, root, stem, skew_fallback)
-    header = spark.read.option("header", True).csv(cap.file("sensor_strain.csv")).columns
-    order = strain_columns(header, len(s.strain))
-    strain = on_session_time(read_csv(spark, cap.file("sensor_strain.csv"), ["scan_t_us", *order.values()]), cap, SENSOR_BOARD, "scan_t_us", "strain").withColumn("_one_", F.lit(1))
-    for i, c in enumerate(s.strain):
-        strain = fill_gaps(strain, ["_one_"], "seq", order[i], out=c)
-    strain = strain.select("seq", "t_ms", *[F.col(c).cast("float").alias(c) for c in s.strain])
+def load_captures(captures: Captures, sensors: Sensors | None = None) -> Session:
+    """Streams of all the captures, each on its own session's time."""
+    s, spark = sensors or Sensors(), captures.spark
+    order = strain_columns(spark.read.option("header", True).csv(captures.path("sensor_strain.csv")).columns, len(s.strain))
+    strain = on_session_time(captures.read("sensor_strain.csv", ["scan_t_us", *order.values()]), captures, SENSOR_BOARD, "scan_t_us")
     motion = ("ax_ms2", "ay_ms2", "az_ms2", "gx_dps", "gy_dps", "gz_dps")
-    imu = on_session_time(read_csv(spark, cap.file("sensor_imu.csv"), ["time_us", *motion]), cap, SENSOR_BOARD, "time_us", "imu")
-    imu = imu.select("seq", "t_ms", *[F.col(a).cast("float").alias(b) for a, b in zip(motion, s.imu, strict=True)])
+    imu = on_session_time(captures.read("sensor_imu.csv", ["time_us", *motion]), captures, SENSOR_BOARD, "time_us")
     side = dict(zip(s.mic, ("left", "right"), strict=False))
-    mic = on_session_time(read_csv(spark, cap.file("sensor_audio.csv"), ["time_us", *[side[c] for c in s.mic_active]]), cap, SENSOR_BOARD, "time_us", "mic")
-    mic = mic.select("seq", "t_ms", *[(F.col(side[c]) if c in s.mic_active else F.lit(0.0)).cast("float").alias(c) for c in s.mic])
+    mic = on_session_time(captures.read("sensor_audio.csv", ["time_us", *[side[c] for c in s.mic_active]]), captures, SENSOR_BOARD, "time_us")
+    raw = {"strain": strain, "imu": imu, "mic": mic}
+    steps = reduce(DataFrame.unionByName, [C.backsteps(df, [SESSION_ID], "seq").withColumn("stream", F.lit(k)) for k, df in raw.items()])
+    C.refuse_backsteps(steps)
+    strain, imu, mic = (C.repair(df, [SESSION_ID], "seq") for df in raw.values())
+    strain = fill_all_gaps(strain, [SESSION_ID], "seq", {order[i]: c for i, c in enumerate(s.strain)})
+    strain = strain.select(SESSION_ID, "seq", "t_ms", *[F.col(c).cast("float").alias(c) for c in s.strain])
+    imu = imu.select(SESSION_ID, "seq", "t_ms", *[F.col(a).cast("float").alias(b) for a, b in zip(motion, s.imu, strict=True)])
+    mic = mic.select(SESSION_ID, "seq", "t_ms", *[(F.col(side[c]) if c in s.mic_active else F.lit(0.0)).cast("float").alias(c) for c in s.mic])
     scale = None
-    if exists(spark, cap.file("sensor_scale.csv")):
-        rows = read_csv(spark, cap.file("sensor_scale.csv"), ["host_mono_s", "grams"]).dropna()
-        scale = rows.select("seq", ((F.col("host_mono_s") - cap.t0_host_s) * 1000).alias("t_ms"), F.col("grams").alias("scale_g"))
-    meta = {"session": cap.session_meta, "sensor": cap.sensor_meta, "rig": cap.rig_meta, "clocks": cap.clocks}
-    return Session({"strain": strain, "imu": imu, "mic": mic}, dict(s.rates), {"strain": COUNTS, "imu": PHYSICAL, "mic": COUNTS}, cap.layout, meta, scale)
+    if matches(spark, captures.path("sensor_scale.csv")):
+        t0 = captures.fits.select(SESSION_ID, "t0_host_s").distinct()
+        rows = captures.read("sensor_scale.csv", ["host_mono_s", "grams"]).join(t0, SESSION_ID)
+        scale = rows.select(SESSION_ID, "seq", ((F.col("host_mono_s") - F.col("t0_host_s")) * 1000).alias("t_ms"), F.col("grams").alias("scale_g"))
+    live = isinstance(captures, Capture) and not captures.has_rig_board
+    return Session({"strain": strain, "imu": imu, "mic": mic}, dict(s.rates), {"strain": COUNTS, "imu": PHYSICAL, "mic": COUNTS}, LIVE if live else RIG, {}, scale, steps.where("n_backsteps > 0"))
+
+
+def load_rig(spark: SparkSession, root: str, stem: str | None = None, sensors: Sensors | None = None, skew_fallback: str = POOLED) -> Session:
+    cap = open_capture(spark, root, stem, skew_fallback)
+    out = load_captures(cap, sensors)
+    out.meta = {"session": cap.session_meta, "sensor": cap.sensor_meta, "rig": cap.rig_meta, "clocks": cap.clocks}
+    out.meta["timestamp_repairs"] = {r["stream"]: {"n_backsteps": r["n_backsteps"], "worst_backstep": r["worst_backstep"]} for r in out.repairs.collect()}  # a row a stream
+    return out
+
+
+def load_sessions(spark: SparkSession, root: str, sensors: Sensors | None = None, skew_fallback: str = POOLED) -> Session:
+    """All sessions at root: its captures, or else its flat folders."""
+    if discover_stems(spark, root):
+        return load_captures(open_captures(spark, root, None, skew_fallback), sensors)
+    return load_flat(spark, f"{root}/*", sensors)
 
 
 def load_session(spark: SparkSession, folder: str, stem: str | None = None, sensors: Sensors | None = None) -> Session:
     return load_flat(spark, folder, sensors) if detect_layout(spark, folder) == FLAT else load_rig(spark, folder, stem, sensors)
 
 
-def _need_rig(cap: Capture, what: str) -> None:
-    if not cap.has_rig_board:
+def _need_rig(cap: Captures, what: str) -> None:
+    if isinstance(cap, Capture) and not cap.has_rig_board:
         raise MissingRigBoard(f"{cap.stem}: {what} comes from the rig board, which this live session lacks")
 
 
-def load_pressure(spark: SparkSession, cap: Capture) -> DataFrame:
-    """t_ms, psi of the rig's pressure sensor, by the constants in its sidecar; times as they come."""
+def _constant(path: str) -> Column:
+    return F.variant_get("rig", f"$.conversion.rig.{path}", "double")
+
+
+def load_pressure(spark: SparkSession, cap: Captures) -> DataFrame:
+    """session_id, t_ms, psi of the rig's pressure sensor, by the constants in its sidecar; times as they come. Captures without a rig board have no rows."""
     _need_rig(cap, "pressure")
-    k = cap.rig_meta["conversion"]["rig"]["pressure"]
-    scale = Affine(float(k["out_min_counts"]), float(k["out_max_counts"]), float(k["p_min_psi"]), float(k["p_max_psi"]))
-    rows = on_session_time(read_csv(spark, cap.file("rig_pressure.csv"), ["time_us", "p_raw"]), cap, RIG_BOARD, "time_us")
-    return rows.select("seq", "t_ms", scale(F.col("p_raw")).alias("psi"))
+    limits = ("out_min_counts", "out_max_counts", "p_min_psi", "p_max_psi")
+    known = cap.sidecars.select(SESSION_ID, *[_constant(f"pressure.{k}").alias(k) for k in limits])
+    rows = on_session_time(cap.read("rig_pressure.csv", ["time_us", "p_raw"]), cap, RIG_BOARD, "time_us").join(known, SESSION_ID)
+    psi = (F.col("p_raw") - F.col("out_min_counts")) * (F.col("p_max_psi") - F.col("p_min_psi")) / (F.col("out_max_counts") - F.col("out_min_counts")) + F.col("p_min_psi")
+    return rows.select(SESSION_ID, "seq", "t_ms", psi.alias("psi"))
 
 
-def load_temperature(spark: SparkSession, cap: Capture) -> DataFrame:
+def load_temperature(spark: SparkSession, cap: Captures) -> DataFrame:
     _need_rig(cap, "temperature")
-    factor = float(cap.rig_meta["conversion"]["rig"]["tmp117"]["c_per_count"])
-    rows = on_session_time(read_csv(spark, cap.file("rig_temp.csv"), ["time_us", "tmp117_raw"]), cap, RIG_BOARD, "time_us")
-    return rows.select("seq", "t_ms", (F.col("tmp117_raw") * factor).alias("celsius"))
+    known = cap.sidecars.select(SESSION_ID, _constant("tmp117.c_per_count").alias("factor"))
+    rows = on_session_time(cap.read("rig_temp.csv", ["time_us", "tmp117_raw"]), cap, RIG_BOARD, "time_us").join(known, SESSION_ID)
+    return rows.select(SESSION_ID, "seq", "t_ms", (F.col("tmp117_raw") * F.col("factor")).alias("celsius"))
 
 
 def events_path(spark: SparkSession, folder: str, stem: str | None = None) -> str:
@@ -288,16 +380,34 @@ def load_events(spark: SparkSession, folder: str, stem: str | None = None) -> Da
     if not exists(spark, path):
         return None
     rows = read_csv(spark, path, ["t_ms", "type"], ["amplitude_psi", "confidence"], ("type",))
-    bad = rows.where(F.col("t_ms").isNull() | F.isnan("t_ms") | (F.abs("t_ms") == float("inf"))).count()
+    bad = rows.where(~finite("t_ms")).count()
+    if bad:
+        raise ValueError(f"{path}: {bad} times aren't finite")
+    name = F.regexp_extract("file_path", r"([^/]+)/events\.csv(?:/[^/]*)?$", 1) if stem is None else F.lit(stem)
+    return rows.withColumn(SESSION_ID, name).drop("seq", "file_path").orderBy("t_ms")
+
+
+def load_all_events(spark: SparkSession, root: str) -> DataFrame | None:
+    """Events of all sessions at root, with session_id: <stem>_events.csv of captures, events.csv of flat folders; None without any."""
+    stems = bool(discover_stems(spark, root))
+    path, own = (f"{root}/*_events.csv", "([^/]+)_events.csv(?:/[^/]*)?$") if stems else (f"{root}/*/events.csv", "([^/]+)/events.csv(?:/[^/]*)?$")
+    if not matches(spark, path):
+        return None
+    rows = read_csv(spark, path, ["t_ms", "type"], ["amplitude_psi", "confidence"], ("type",)).withColumn(SESSION_ID, F.regexp_extract("file_path", own, 1)).drop("seq", "file_path")
+    bad = rows.where(~finite("t_ms")).count()
     if bad:
         raise ValueError(f"{path}: {bad} times aren't finite")
-    return rows.drop("seq").orderBy("t_ms")
+    return rows
+
+
+def finite(c: str) -> Column:
+    return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
 
 
 def reference_events(spark: SparkSession, path: str, clock: dict[str, Any] | None = None) -> DataFrame:
     """Events of the reference kind (t_ms on host time, quality, depth_psi) whose quality is ok, by time."""
     rows = read_csv(spark, path, ["t_ms", "quality"], ["depth_psi"], ("quality",))
-    return rows.where(F.trim("quality") == "ok").drop("seq").orderBy("t_ms")
+    return rows.where(F.trim("quality") == "ok").drop("seq", "file_path").orderBy("t_ms")
 
 
 def write_events(events: DataFrame, folder: str, params: dict[str, Any], name: str = "events") -> None:

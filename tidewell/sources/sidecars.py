@@ -170,23 +170,20 @@ def summary(issues: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, root: str) -> DataFrame:
-    """The captures at root in the form that grade takes: sidecars, file names, fitted clocks."""
+    """The captures at root in the form that grade takes: sidecars, file names, fitted clocks; one scan a file kind."""
     from tidewell.sources import captures as C
 
-    stems, have = C.discover_stems(spark, root), C.names(spark, root)
-    if not stems:
-        raise FileNotFoundError(f"{root}: no capture")
-    rows = []
-    for stem in stems:
-        docs = {d: "\n".join(r[0] for r in spark.read.text(f"{root}/{stem}_{d}.json", wholetext=True).collect()) if f"{stem}_{d}.json" in have else "{}" for d in ("session", "sensor", "rig")}
-        cap = C.open_capture(spark, root, stem)
-        clocks = {b: (float(c["residual_ms"]), int(c["wraps"]), int(c["n_sync_points"])) for b, c in cap.clocks.items()}
-        rows.append((stem, docs["session"], docs["sensor"], docs["rig"], cap.has_rig_board, have, clocks))
-    schema = "stem string, session string, sensor string, rig string, has_rig boolean, files array<string>, clocks map<string,struct<residual_ms:double,wraps:int,n_sync_points:int>>"
-    out = spark.createDataFrame(rows, schema)
-    for d in ("session", "sensor", "rig"):
-        out = out.withColumn(d, F.parse_json(d))
-    return out
+    got = C.open_captures(spark, root)
+    clock = F.struct("residual_ms", F.col("wraps").cast("int").alias("wraps"), F.col("n_sync_points").cast("int").alias("n_sync_points"))
+    clocks = got.fits.groupBy(C.SESSION_ID).agg(F.map_from_entries(F.collect_list(F.struct("board", clock))).alias("clocks"))
+    here = spark.createDataFrame([(n,) for n in C.names(spark, root)], "file string")  # the folder's listing
+    owned = got.sidecars.select(C.SESSION_ID)
+    # of the listing only what a rule may ask for goes with a capture: declared files, and its scale
+    listed = got.sidecars.select(C.SESSION_ID, F.explode(F.concat(*[F.coalesce(F.map_values(F.from_json(F.to_json(at(d, "files", "variant")), "map<string,string>")), F.array().cast("array<string>")) for d in ("sensor", "rig")])).alias("file"))
+    asked = listed.union(owned.select(C.SESSION_ID, F.concat(C.SESSION_ID, F.lit("_sensor_scale.csv")))).distinct()
+    files = asked.join(here, "file").groupBy(C.SESSION_ID).agg(F.collect_list("file").alias("files"))
+    rows = got.sidecars.join(clocks, C.SESSION_ID).join(files, C.SESSION_ID, "left")
+    return rows.select(F.col(C.SESSION_ID).alias("stem"), "session", "sensor", "rig", F.map_contains_key("clocks", "rig").alias("has_rig"), F.coalesce("files", F.array().cast("array<string>")).alias("files"), "clocks")
 
 
 def validate_dataset(spark: SparkSession, root: str, frozen: bool = False) -> DataFrame:
