@@ -268,3 +268,11 @@ def test_signed_ranks_do_not_depend_on_ranges(spark):
     got = stats.wilcoxon(spark.createDataFrame([(float(v),) for v in x], "diff double"))
     assert got["w_plus"] == rank[x[x != 0] > 0].sum() and got["w_minus"] == rank[x[x != 0] < 0].sum() and got["n"] == len(a)
     assert stats.wilcoxon(spark.createDataFrame([], "diff double"))["n"] == 0
+
+
+def test_numbers_in_issues_are_rounded_on_their_exact_value(spark):
+    ends = [1903805805.0, 1473523095.0, 125.0, 375.0]
+    streams = {k: spark.createDataFrame([(i, n, t) for i, end in enumerate(ends) for n, t in enumerate((0.0, end))], "session_id int, seq int, t_ms double") for k in ("a", "b")}
+    got = quality.session_issues(streams, {"a": [], "b": []}, {"a": 1.0, "b": 1.0}, least_overlap_s=2e6)
+    overlaps = {r.session_id: r.message for r in got.where("message like 'streams%'").collect()}
+    assert overlaps == {i: f"streams overlap by {end / 1000:.2f} s, less than 2000000.0" for i, end in enumerate(ends)}

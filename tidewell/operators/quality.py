@@ -74,6 +74,11 @@ def good_windows(members: DataFrame, by: Sequence[str], channels: Sequence[str],
     return window_stats(members, by, channels, ignore).withColumn("ok", (F.col("n_live") > 0) & (F.col("n") > 0) & (F.col("bad_share") <= max_nan) & (F.col("n_flat") == 0))
 
 
+def fixed(x: Column | str, digits: int) -> Column:
+    """x with so many decimals, rounded on its exact value (format_string rounds the halves of its shortest digits up, unlike printf)."""
+    return F.call_function("format_number", F.col(x) if isinstance(x, str) else x, F.lit("0." + "0" * digits))
+
+
 def session_issues(streams: Mapping[str, DataFrame], channels: Mapping[str, Sequence[str]], rates: Mapping[str, float], scale: DataFrame | None = None, by: str = "session_id", t: str = "t_ms", order: str = "seq", least_overlap_s: float = 5.0) -> DataFrame:
     """(by, level, message) of everything that is wrong with sessions; a session that only some streams know lacks the others.
 
@@ -98,16 +103,16 @@ def session_issues(streams: Mapping[str, DataFrame], channels: Mapping[str, Sequ
         say(ERROR, F.col("n").isNull(), F.concat("stream", F.lit(": empty"))),
         say(ERROR, F.col("bad") > 0, F.format_string("%s: %d non-finite times", "stream", "bad")),
         say(ERROR, F.col("falls") > 0, F.format_string("%s: time falls %d times", "stream", "falls")),
-        say(WARNING, (F.col("step") > 0) & (F.abs(rate / F.col("hz") - 1) > 0.25), F.format_string("%s: %.1f Hz instead of %.1f", F.col("stream"), rate, F.col("hz"))),
+        say(WARNING, (F.col("step") > 0) & (F.abs(rate / F.col("hz") - 1) > 0.25), F.format_string("%s: %s Hz instead of %s", F.col("stream"), fixed(rate, 1), fixed("hz", 1))),
     ]
     issues = stats.select(by, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select(by, "i.*")
     both = stats.groupBy(by).agg(((F.min("hi") - F.max("lo")) / 1000).alias("overlap"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
-    short = F.format_string(f"streams overlap by %.2f s, less than {least_overlap_s}", "overlap")
+    short = F.format_string(f"streams overlap by %s s, less than {least_overlap_s}", fixed("overlap", 2))
     issues = issues.union(both.where(F.col("least") > 0).select(by, say(ERROR, ~(F.col("overlap") >= least_overlap_s), short).alias("i")).where("i is not null").select(by, "i.*"))
     if scale is not None:
         fall = delta(F.col("scale_g"), in_order([by], order))
         r = scale.withColumn("_d_", fall).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(bad("scale_g"), 1).otherwise(0)).alias("bad"), F.min("_d_").alias("fall")).where("n >= 2")
-        found = F.coalesce(say(ERROR, F.col("bad") > 0, F.format_string("scale: %d non-finite readings", "bad")), say(WARNING, F.col("fall") < -0.5, F.format_string("scale: falls by %.2f g", -F.col("fall"))))
+        found = F.coalesce(say(ERROR, F.col("bad") > 0, F.format_string("scale: %d non-finite readings", "bad")), say(WARNING, F.col("fall") < -0.5, F.format_string("scale: falls by %s g", fixed(-F.col("fall"), 2))))
         issues = issues.union(r.select(by, found.alias("i")).where("i is not null").select(by, "i.*"))
     return issues
 
