@@ -276,3 +276,18 @@ def test_numbers_in_issues_are_rounded_on_their_exact_value(spark):
     got = quality.session_issues(streams, {"a": [], "b": []}, {"a": 1.0, "b": 1.0}, least_overlap_s=2e6)
     overlaps = {r.session_id: r.message for r in got.where("message like 'streams%'").collect()}
     assert overlaps == {i: f"streams overlap by {end / 1000:.2f} s, less than 2000000.0" for i, end in enumerate(ends)}
+
+
+def test_crossings_do_not_depend_on_how_the_mean_was_summed(spark):
+    windows = [  # one value of each is the mean
+        ([10.08, 6.98, 5.64, 19.13, 21.14, 52.4, 17.24, 15.36, 3.83, 1.8], 3 / 9),
+        ([9.97, 48.25, 0.54, 20.7, 65.19, 62.33, 22.86, 31.26, 10.81, 40.69], 7 / 9),
+        ([23.15, 13.99, 2.61, 62.72, 47.3, 1.32, 27.89, 5.83, 1.4, 286.79], 4 / 9),
+        ([4.69, 169.84, 65.41, 36.83, 91.75, 118.89, 127.59, 87.49, 134.81, 80.2], 7 / 9),
+    ]
+    for turn in range(3):
+        rows = [(i, n, x) for i, (w, _) in enumerate(windows) for n, x in enumerate(w)]
+        rows = rows[::-1] if turn == 1 else sorted(rows, key=lambda r: r[2]) if turn == 2 else rows
+        got = features.series_stats(spark.createDataFrame(rows, "window_idx int, sample int, a double").coalesce(1), ["window_idx"], "a")
+        assert {r.window_idx: round(r.zcr, 9) for r in got.collect()} == {i: round(z, 9) for i, (_, z) in enumerate(windows)}
+    assert np.allclose(features.strain_block(np.array([w for w, _ in windows]), 10.0)[:, 6], [z for _, z in windows])

@@ -15,6 +15,8 @@ from tidewell.operators import kernels as K
 N_STRAIN, N_MIC, N_IMU = 8, 2, 6
 STRAIN = ("mean", "std", "range", "rms", "slope", "p2p", "zcr", "dominant", "energy")
 SOUND = ("log_energy", "rms", "zcr", "centroid", "rolloff", "bandwidth", "band_ratio", *(f"mfcc{i}" for i in range(13)))
+#: The gap between 1 and the next double, which bounds the rounding of a sum by its terms.
+EPSILON = 2.0**-52
 FEATURES = N_STRAIN * len(STRAIN) + N_MIC * len(SOUND) + 1 + 2 * N_IMU + 5
 
 
@@ -28,7 +30,11 @@ def series_stats(members: DataFrame, by: Sequence[str], x: str, order: str = "sa
     """mean, std, range, rms, slope per sample, p2p, zcr, energy of each window's channel, all inside the engine."""
     v = F.col(x).cast("double")
     w = Window.partitionBy(*by).orderBy(order)
-    rows = members.withColumn("_x_", v).withColumn("_c_", F.col("_x_") - F.avg("_x_").over(Window.partitionBy(*by))).withColumn("_z_", zero_cross_rate(F.col("_c_"), w)).withColumn("_i_", F.row_number().over(w).cast("double") - 1)
+    whole = Window.partitionBy(*by)
+    # the mean is known up to its rounding, which follows the order of the sum: a value that near is at it
+    near = F.count("_x_").over(whole) * F.max(F.abs("_x_")).over(whole) * F.lit(EPSILON)
+    rows = members.withColumn("_x_", v).withColumn("_c_", F.col("_x_") - F.avg("_x_").over(whole)).withColumn("_c_", F.when((F.abs("_c_") <= near) & (near < float("inf")), F.lit(0.0)).otherwise(F.col("_c_")))
+    rows = rows.withColumn("_z_", zero_cross_rate(F.col("_c_"), w)).withColumn("_i_", F.row_number().over(w).cast("double") - 1)
     span = F.max("_x_") - F.min("_x_")
     return rows.groupBy(*by).agg(
         F.avg("_x_").alias("mean"), F.stddev_pop("_x_").alias("std"), span.alias("range"), F.sqrt(F.avg(F.col("_x_") * F.col("_x_"))).alias("rms"),
@@ -57,7 +63,10 @@ def _crossings(block: np.ndarray) -> np.ndarray:
     """Of each row: share of steps over which the sign about its mean changes."""
     if block.shape[1] < 2:
         return np.zeros(len(block))
-    return (np.diff(np.sign(block - block.mean(axis=1, keepdims=True)), axis=1) != 0).mean(axis=1)
+    centred = block - block.mean(axis=1, keepdims=True)
+    near = block.shape[1] * EPSILON * np.abs(block).max(axis=1, keepdims=True)  # as in series_stats
+    centred[(np.abs(centred) <= near) & (near < np.inf)] = 0
+    return (np.diff(np.sign(centred), axis=1) != 0).mean(axis=1)
 
 
 def strain_block(block: np.ndarray, fs: float) -> np.ndarray:
