@@ -291,3 +291,33 @@ def test_crossings_do_not_depend_on_how_the_mean_was_summed(spark):
         got = features.series_stats(spark.createDataFrame(rows, "window_idx int, sample int, a double").coalesce(1), ["window_idx"], "a")
         assert {r.window_idx: round(r.zcr, 9) for r in got.collect()} == {i: round(z, 9) for i, (_, z) in enumerate(windows)}
     assert np.allclose(features.strain_block(np.array([w for w, _ in windows]), 10.0)[:, 6], [z for _, z in windows])
+
+
+def test_draws_are_of_all_rows_and_their_middles_exact(spark):
+    from itertools import islice
+
+    def place(k, i, n):
+        x = (k * 1103515245 + i * 69069 + 3 * 40503 + 12345) % 2147483647
+        for add in (7919, 104729, 1299709):
+            x = (x * x + x + add) % 2147483647
+        return x % n
+
+    picks = lambda k, n: np.sort(np.concatenate(list(stats.places(k, n, 3))))
+    assert all(picks(k, n).tolist() == sorted(place(k, i, n) for i in range(1, n + 1)) for k in (0, 7, 19_999) for n in (40, 40_000))
+    for n in (1, 2, 3, 40_001, 100_002):
+        for k in (0, 19_999):
+            p = picks(k, n)
+            assert stats.middle_places(k, n, 3) == (p[(n - 1) // 2] + 1, p[n // 2] + 1)
+    assert next(islice(stats.places(0, 1 << 40, 3), 1)).max() < stats.PRIME
+    n, draws = 100_002, 40
+    rows = spark.range(n).select(F.floor(F.col("id") / 3).cast("double").alias("x"))
+    mid = [np.median(picks(k, n) // 3) for k in range(draws)]
+    assert np.allclose(stats.bootstrap_median(rows, "x", draws, seed=3).first(), np.quantile(mid, [0.025, 0.975]))
+    assert tuple(stats.bootstrap_median(rows.where("x < 0"), "x", draws).first()) == (None, None)
+
+
+def test_a_middle_far_from_the_rows_middle_is_found(monkeypatch):
+    uneven = lambda draw, n, seed: iter(np.array_split((np.arange(n) // 10).astype(np.uint32), 7))
+    monkeypatch.setattr(stats, "places", uneven)
+    n = 200_000
+    assert stats.middle_places(0, n, 0) == ((n // 2 - 1) // 10 + 1, n // 2 // 10 + 1)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -220,36 +221,98 @@ def wilcoxon(df: DataFrame, diff: str = "diff") -> dict[str, float]:
     return {"w_plus": got.plus, "w_minus": got.minus, "w": w, "n": n, "p": float(p)}
 
 
-#: Rows that bootstrap_median takes: its input is one row for each paired run.
-MAX_RESAMPLED = 100_000
 #: Fixed value: a prime below 2^31, so that squares fit in 64 bits.
 PRIME = 2147483647
-
-
-def place(draw: Column, i: Column, n: Column, seed: int) -> Column:
-    """A row 0..n-1 for the i-th pick of a draw: squares modulo a prime, which any engine can repeat."""
-    x = (draw * 1103515245 + i * 69069 + (seed * 40503 + 12345)) % PRIME
-    for add in (7919, 104729, 1299709):
-        x = (x * x + x + add) % PRIME
-    return x % n
+#: Factors of a draw and of a pick, and what each squaring adds.
+DRAW, PICK, ADDED = 1103515245, 69069, (7919, 104729, 1299709)
+#: Picks that a task makes at a time, and in all, about.
+PICKS, TASK_PICKS = 1 << 14, 1 << 26
+#: Bins for the places of a draw whose middle is far from the rows' middle.
+PLACE_BINS = 1 << 16
+
+
+def places(draw: int, n: int, seed: int) -> Iterator[np.ndarray]:
+    """Rows 0..n-1 for picks 1..n of a draw, PICKS at a time: squares modulo a prime, which any engine can repeat."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+
+    def fold(x: np.ndarray) -> None:  # 2^31 is 1 modulo the prime
+        high = x >> bits
+        x &= prime
+        x += high
+
+    steps, rows = np.arange(1, PICKS + 1, dtype=np.uint64) * np.uint64(PICK), np.uint32(min(n, (1 << 32) - 1))
+    for at in range(0, n, PICKS):
+        x = steps[: n - at] + np.uint64((draw * DRAW + at * PICK + seed * 40503 + 12345) % PRIME)
+        for add in ADDED:
+            fold(x)
+            x *= x + np.uint64(1)
+            x += np.uint64(add)
+            fold(x)
+        fold(x)
+        x = np.minimum(x, x - prime).astype(np.uint32)  # below the prime, the other wraps
+        yield x - x // rows * rows
+
+
+def middle_places(draw: int, n: int, seed: int) -> tuple[int, int]:
+    """The one or two middle places of a draw, as ranks 1..n of the rows by value. Only places near the middle are kept and sorted."""
+    want = (n + 1) // 2, n // 2 + 1
+    reach = 4 * math.isqrt(n) + 1  # eight times the middle's standard error
+    low, high = max(0, n // 2 - reach), min(n, n // 2 + reach)
+    while True:
+        below, kept = 0, []
+        for x in places(draw, n, seed):
+            below += int(np.count_nonzero(x < np.uint32(low)))
+            kept.append(x[x - np.uint32(low) < np.uint32(high - low)])
+        near = np.concatenate(kept)
+        if below < want[0] and want[1] <= below + len(near):
+            near.sort()
+            return int(near[want[0] - below - 1]) + 1, int(near[want[1] - below - 1]) + 1
+        width = -(-min(n, PRIME) // PLACE_BINS)
+        upto = np.cumsum(sum(np.bincount(x // np.uint32(width), minlength=PLACE_BINS) for x in places(draw, n, seed)))
+        low, high = (int(np.searchsorted(upto, w)) * width for w in want)
+        high += width
+
+
+def at_ranks(df: DataFrame, x: str, low: int, high: int) -> DataFrame:
+    """(_rank_, x) of the rows with ranks low..high, from 1 by value, equal ones in a row. No task sorts more than a range of values."""
+    counts = df.groupBy(x).agg(F.count(F.lit(1)).alias("_k_"))
+    edges = sorted(set(counts.approxQuantile(x, [i / 64 for i in range(1, 64)], 0.005)))
+    slot = F.lit(0) if not edges else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(x)))
+    counts = counts.withColumn("_slot_", slot)
+    before = counts.groupBy("_slot_").agg(F.sum("_k_").alias("_t_")).withColumn("_before_", F.coalesce(F.sum("_t_").over(Window.orderBy("_slot_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # 64 rows at most
+    inside = F.sum("_k_").over(Window.partitionBy("_slot_").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    last = counts.withColumn("_in_", inside).join(F.broadcast(before.select("_slot_", "_before_")), "_slot_").withColumn("_last_", F.col("_before_") + F.col("_in_"))
+    first = F.greatest(F.col("_last_") - F.col("_k_") + 1, F.lit(low))
+    last = last.withColumn("_first_", first).withColumn("_last_", F.least(F.col("_last_"), F.lit(high))).where("_first_ <= _last_")
+    return last.select(F.explode(F.sequence(F.col("_first_").cast("long"), F.col("_last_").cast("long"))).alias("_rank_"), x)
 
 
 def bootstrap_median(df: DataFrame, x: str, draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """lo, hi: percentile interval of the median over resamples with replacement of at most MAX_RESAMPLED rows (more are an error).
+    """lo, hi: percentile interval of the median over resamples with replacement of all rows; null without rows.
 
-    Each draw picks its rows by arithmetic on (draw, place), so draws are made in the engine and are the same on every run.
+    Each draw picks its rows by arithmetic on (draw, place), the same on every run. Rows count in order of value, so a draw's
+    median is known by the places it picks: tasks make the draws without the rows, and only the rows at middle places are
+    looked up. The driver gets two places of each draw.
     """
+    spark = df.sparkSession
     rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("_x_"))
-    if (n := rows.count()) > MAX_RESAMPLED:
-        raise ValueError(f"{n} rows to resample, more than {MAX_RESAMPLED}")
-    values = rows.agg(F.array_sort(F.collect_list("_x_")).alias("_v_"), F.count(F.lit(1)).alias("_n_"))  # one row, of bounded size
-    many = df.sparkSession.range(draws).withColumnRenamed("id", "_draw_").crossJoin(F.broadcast(values)).where("_n_ > 0")
-    places = F.transform(F.sequence(F.lit(1), F.col("_n_").cast("int")), lambda i: place(F.col("_draw_"), i.cast("long"), F.col("_n_"), seed).cast("int") + 1)
-    drawn = F.array_sort(F.transform(places, lambda i: F.element_at("_v_", i)))
-    half = (F.col("_n_").cast("int") + 1) / 2
-    mid = many.withColumn("_d_", drawn).select(((F.element_at("_d_", F.floor(half).cast("int")) + F.element_at("_d_", F.ceil(half).cast("int"))) / 2).alias("_m_"))
+    n = rows.count()
+    if not n or draws < 1:
+        return spark.createDataFrame([(None, None)], "lo double, hi double")
+
+    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [middle_places(k, n, seed) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], ["_lo_", "_hi_"])
+
+    tasks = min(draws, max(spark.sparkContext.defaultParallelism, draws * n // TASK_PICKS))
+    picked = [tuple(r) for r in spark.range(0, draws, 1, tasks).mapInArrow(middles, "_lo_ long, _hi_ long").groupBy("_lo_", "_hi_").count().collect()]
+    picks = spark.createDataFrame(picked, "_lo_ long, _hi_ long, _times_ long")
+    values = at_ranks(rows, "_x_", min(p[0] for p in picked), max(p[1] for p in picked))
+    side = lambda c, to: values.withColumnsRenamed({"_rank_": c, "_x_": to})
+    mid = picks.join(side("_lo_", "_a_"), "_lo_").join(side("_hi_", "_b_"), "_hi_").withColumn("_m_", (F.col("_a_") + F.col("_b_")) / 2)
     edge = (1 - level) / 2
-    return mid.agg(F.percentile("_m_", F.lit(edge)).alias("lo"), F.percentile("_m_", F.lit(1 - edge)).alias("hi"))
+    return mid.agg(F.percentile("_m_", F.lit(edge), F.col("_times_")).alias("lo"), F.percentile("_m_", F.lit(1 - edge), F.col("_times_")).alias("hi"))
 
 
 def variance_split(df: DataFrame, n: str, squared: str) -> DataFrame:
