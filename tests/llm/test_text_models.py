@@ -373,3 +373,63 @@ def test_pages_match_their_articles(spark):
     odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in extract(odd).collect()] == [("", 0)] * 3
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_attention_is_learned_from_documents_that_the_sample_left_out(spark):
+    common = ["eat apple now", "sell pear later", "apple now eat", "later sell pear"]
+    ids = [i for i in range(3000) if not held(i, 10, 0)]
+    frame = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    sampled = {r.doc_id for r in frame.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) < int(40 / len(ids) * (1 << 30))).collect()}
+    outside = [i for i in ids if i not in sampled]
+    texts = {i: common[i % 4] for i in ids} | {i: " ".join(["red it it apple it", "blue it it pear it"][i % 2] for _ in range(6)) for i in outside}
+    probes = dict(zip([i for i in range(3000, 4000) if held(i, 10, 0)][:4], ["red it it apple", "red it it pear", "blue it it apple", "blue it it pear"], strict=True))
+    got = {r.doc_id: r.score for r in L.lm_scores(spark.createDataFrame(list((texts | probes).items()), "doc_id long, text string"), max_training=40).collect()}
+    a, b, c, d = (got[i] for i in probes)
+    # pairs of neighbours cannot tell which fruit follows which colour
+    assert sampled and a - b - c + d > 0.01, (a, b, c, d)
+
+
+def test_training_over_all_documents_uses_each_id_once_and_raises_their_likelihood():
+    rng = np.random.default_rng(4)
+    seqs = [np.append((np.cumsum(rng.integers(1, 3, k)) * 7 % 40), 40) for k in (1, 5, 23, 24, 25, 60, 200) * 30]
+    tokens, lengths = np.concatenate(seqs), np.asarray([len(s) for s in seqs])
+    model = L.train(seqs[:20], 40, epochs=1)
+    parts = []
+    for mine in np.array_split(np.arange(len(seqs)), 3):
+        own = L.Refiner(model)
+        for half in np.array_split(mine, 2):
+            own.add(np.concatenate([seqs[i] for i in half]), lengths[half])
+        own.end()
+        assert own.met.sum() == lengths[mine].sum() and not len(own.feed)
+        parts += own.changes()
+    by = {}
+    for p in parts:
+        by.setdefault(p[0], []).append(p)
+    after = L.refined(model, ((k, *L.merged_changes(iter(v))) for k, v in by.items()))
+    met = np.bincount(model.code[L._before(tokens, lengths, 40)], minlength=len(model.emit))
+    counted = np.zeros_like(met)
+    for k, v in by.items():
+        rows, times, _ = L.merged_changes(iter(v))
+        if k >= 0:
+            counted[rows] = times
+    assert (counted == met).all()
+    assert after.score(tokens, lengths).sum() > model.score(tokens, lengths).sum()
+    # one part alone is its own mean
+    own = L.Refiner(model)
+    own.add(tokens, lengths)
+    own.end()
+    alone = L.refined(model, own.changes())
+    assert all(np.allclose(alone.weights[k], own.weights[k], atol=1e-5) for k in ("embed", *L.PROJECTIONS))
+
+
+def test_lean_gradients_are_those_of_the_network():
+    rng = np.random.default_rng(5)
+    m = L.train([np.append(rng.integers(0, 40, 300), 40)], 40, epochs=1)
+    ids, want = (rng.integers(0, len(m.emit), (3, m.window)) for _ in range(2))
+    w = {k: x.astype(np.float64) for k, x in m.weights.items()}
+    kept = L._forward(w, ids)
+    gamma = kept[-1] * m.emit[want]
+    full = L._backward(w, ids, kept, (kept[-1] - gamma / gamma.sum(axis=2, keepdims=True)) / want.size)
+    some, rows, by_row = L._gradients(m.weights, m.emit, ids, want, m.causal)
+    for a, b in [(some[k], full[k]) for k in L.PROJECTIONS] + [(by_row, full["embed"][rows])]:
+        assert np.abs(a - b).max() < 1e-5 * max(1e-3, np.abs(b).max()) + 1e-8

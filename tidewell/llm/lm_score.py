@@ -6,8 +6,10 @@ distributions over all ids, whose mixture is the next id's distribution; every i
 trained in numpy on a bounded sample of training documents, attention by Adam on the log-likelihood and the
 distributions by stepwise EM. Then the pairs of neighbouring ids of all training documents are counted, exactly and by
 partition, and EM steps over these counts give every id that training met its own mass and its own weights of
-components; there the weights after an id are their mean over the sample's contexts, so that a step costs as much as
-there are different pairs. Only the embeddings and the fixed-size projections are the sample's.
+components; there the weights after an id are their mean over the start's contexts, so that a step costs as much as
+there are different pairs. At last embeddings, places and the fixed-size projections are trained over all training
+documents: each task goes over all ids of its own by Adam, and the changes are averaged, those of an id's embedding by how
+often a task met it. So every parameter is learned from all training documents; the sample only gives the values to begin with.
 
 Scores. Batches are overlapping windows under a causal mask: each window after the first begins with ids that the
 window before has scored; they are keys only, so each id counts once.
@@ -36,7 +38,7 @@ from .common import LOWER_SPACE_TABLE, crc_mod, cuts, give_back, materialize, mi
 from .jaccard import _from_planes, _planes, _ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Documents to start the model on, about; more are sampled by a hash of their id. The EM step after it reads all.
+#: Documents to start the model on, about; more are sampled by a hash of their id. The EM steps and the training after it read all.
 MAX_TRAINING = 1200
 #: A word in so many documents of the sample is frequent.
 FREQUENT = 3
@@ -58,6 +60,15 @@ SMOOTH = 0.1
 FOLLOW_SMOOTH = 0.5
 #: EM steps over all training documents.
 STEPS = 2
+#: Training over all documents: windows a step, rates of the projections and of embeddings, steps after which both fall with the root of the step.
+REFINE_BATCH = 64
+REFINE_RATE = 0.01
+EMBED_RATE = 0.05
+STEADY = 200
+#: Ids that are cut into windows and shuffled at a time.
+REFINED = 1 << 18
+#: What training over all documents changes besides embeddings.
+PROJECTIONS = ("place", "qkv", "mix")
 #: Ids that are scored at a time.
 SCORED = 1 << 20
 #: Rows of the stored blocks.
@@ -473,6 +484,170 @@ def _step(pairs: DataFrame, model: Model) -> Model:
     return model.learned(count[:, 0], count[:, 1], total)
 
 
+def _gradients(w: dict[str, np.ndarray], emit: np.ndarray, ids: np.ndarray, want: np.ndarray, causal: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Of the mean loss of codes `want` behind codes `ids`, both (windows, length): by PROJECTIONS, and by the embeddings of some codes.
+
+    As _backward, but with attention divided by its sum after the products, and without what follows the codes.
+    """
+    b, n = ids.shape
+    d, ids = w["embed"].shape[1], ids.ravel()
+    x = (np.take(w["embed"], ids, axis=0).reshape(b, n, d) + w["place"][:n]).reshape(-1, d)
+    q, k, v = ((x @ w["qkv"][:, i * d : (i + 1) * d]).reshape(b, n, d) for i in range(3))
+    q *= np.float32(d**-0.5)
+    turned = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
+    e = q @ turned(k)
+    e += causal[:n, :n]
+    np.minimum(e, 60, out=e)
+    np.exp(e, out=e)
+    part = 1 / np.maximum(e @ np.ones((n, 1), np.float32), np.float32(1e-30))
+    z = ((e @ v) * part).reshape(-1, d)
+    o = z @ w["mix"]
+    o += np.take(w["follow"], ids, axis=0)
+    np.minimum(o, 60, out=o)
+    np.exp(o, out=o)
+    share = np.take(emit, want.ravel(), axis=0)
+    share *= o
+    ones, each = np.ones(o.shape[1], np.float32), np.float32(1 / len(ids))
+    share *= (each / np.maximum(share @ ones, np.float32(1e-30)))[:, None]
+    o *= (each / np.maximum(o @ ones, np.float32(1e-30)))[:, None]
+    o -= share
+    gz = o @ np.ascontiguousarray(w["mix"].T)
+    dot = np.einsum("ij,ij->i", gz, z).reshape(b, n, 1) * part
+    gz = gz.reshape(b, n, d) * part
+    gs = gz @ turned(v)
+    gs -= dot
+    gs *= e
+    gq = gs @ k
+    gq *= np.float32(d**-0.5)
+    gqkv = np.concatenate([gq, turned(gs) @ q, turned(e) @ gz], axis=2).reshape(-1, 3 * d)
+    gx = gqkv @ np.ascontiguousarray(w["qkv"].T)
+    place = np.zeros_like(w["place"])
+    place[:n] = gx.reshape(b, n, d).sum(axis=0)
+    order = np.argsort(ids.astype(np.uint16) if len(emit) <= 1 << 16 else ids, kind="stable")  # a radix sort
+    ids = ids[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return {"mix": z.T @ o, "qkv": x.T @ gqkv, "place": place}, ids[first], np.add.reduceat(gx[order], first, axis=0)
+
+
+class Refiner:
+    """Training of a model's embeddings and PROJECTIONS on the ids that are added, each of which is one window's goal once."""
+
+    def __init__(self, model: Model):
+        self.model, self.weights = model, model.weights | {k: model.weights[k].copy() for k in ("embed", *PROJECTIONS)}
+        self.met = np.zeros(len(model.emit), np.int64)
+        self.first, self.second = ({k: np.zeros_like(model.weights[k]) for k in PROJECTIONS} for _ in range(2))
+        self.squares = np.full(len(model.emit), 1e-12, np.float32)
+        self.steps, self.rng = 0, np.random.default_rng(7)
+        self.feed, self.goal = np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def add(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
+        model, n = self.model, self.model.window
+        self.feed = np.concatenate([self.feed, model.code[_before(tokens, lengths, len(model.code) - 1)]])
+        self.goal = np.concatenate([self.goal, model.code[tokens]])
+        whole = len(self.feed) // n * n
+        feed, goal = self.feed[:whole].reshape(-1, n), self.goal[:whole].reshape(-1, n)
+        self.feed, self.goal = self.feed[whole:], self.goal[whole:]
+        self.met += np.bincount(feed.ravel(), minlength=len(self.met))
+        order = self.rng.permutation(len(feed))
+        for at in range(0, len(feed), REFINE_BATCH):
+            self._step(feed[order[at : at + REFINE_BATCH]], goal[order[at : at + REFINE_BATCH]])
+
+    def end(self) -> None:
+        """What is left is a shorter window."""
+        if len(self.feed):
+            self.met += np.bincount(self.feed, minlength=len(self.met))
+            self._step(self.feed[None], self.goal[None])
+        self.feed, self.goal = self.feed[:0], self.goal[:0]
+
+    def _step(self, ids: np.ndarray, want: np.ndarray) -> None:
+        self.steps += 1
+        t, w = self.steps, self.weights
+        grads, rows, by_row = _gradients(w, self.model.emit, ids, want, self.model.causal)
+        part = np.sqrt(want.size / (REFINE_BATCH * self.model.window)) * min(1, t / 20) / np.sqrt(max(1, t / STEADY))  # small batches are noisy
+        rate = np.float32(REFINE_RATE * part * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
+        for name, g in grads.items():
+            m1, m2 = self.first[name], self.second[name]
+            m1 += np.float32(0.1) * (g - m1)
+            m2 += np.float32(0.01) * (g * g - m2)
+            w[name] -= rate * m1 / (np.sqrt(m2) + np.float32(1e-8))
+        self.squares[rows] += np.einsum("ij,ij->i", by_row, by_row) / np.float32(by_row.shape[1])
+        w["embed"][rows] -= np.float32(EMBED_RATE * part) * by_row / np.sqrt(self.squares[rows])[:, None]
+
+    def changes(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(chunk, codes, times, change times these) by CHUNK of the codes that were met; chunk -1 has all projections as one row."""
+        old, new = self.model.weights, self.weights
+        n = int(self.met.sum())
+        flat = np.concatenate([(new[k] - old[k]).ravel() for k in PROJECTIONS])
+        yield -1, np.zeros(1, np.int32), np.array([n]), (flat * np.float32(n))[None]
+        met = np.flatnonzero(self.met)
+        for rows in np.split(met, np.flatnonzero(np.diff(met // CHUNK)) + 1) if len(met) else []:
+            yield int(rows[0]) // CHUNK, rows.astype(np.int32), self.met[rows], (new["embed"][rows] - old["embed"][rows]) * self.met[rows, None].astype(np.float32)
+
+
+def refined(model: Model, changes: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """The model after the mean of changes: of projections by ids, of an embedding by how often its code was met."""
+    w = model.weights | {k: model.weights[k].copy() for k in ("embed", *PROJECTIONS)}
+    for chunk, rows, times, sums in changes:
+        mean = (sums / np.maximum(times, 1)[:, None]).astype(np.float32)
+        if chunk >= 0:
+            w["embed"][rows] += mean
+            continue
+        at = 0
+        for k in PROJECTIONS:
+            w[k] += mean[0, at : at + w[k].size].reshape(w[k].shape)
+            at += w[k].size
+    return Model(w, model.emit, model.after, model.code, model.window, model.context)
+
+
+def merged_changes(parts: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, times and sums of one chunk's parts, in order of the codes."""
+    _, rows, times, sums = zip(*parts, strict=True)
+    codes, where = np.unique(np.concatenate(rows), return_inverse=True)
+    n, total = np.zeros(len(codes), np.int64), np.zeros((len(codes), sums[0].shape[1]))
+    np.add.at(n, where, np.concatenate(times))
+    at = 0
+    for t, x in zip(times, sums, strict=True):  # codes are distinct within a part
+        total[where[at : at + len(t)]] += x
+        at += len(t)
+    return codes.astype(np.int32), n, total
+
+
+def _refine(blocks: DataFrame, model: Model, kind: type) -> Model:
+    """Trained over all of the documents' `ids`. Tasks send a row for each CHUNK of codes that they met; the driver gets one of each."""
+    sent = blocks.sparkSession.sparkContext.broadcast(model)
+    schema = "chunk int, part int, ids binary, count binary, sums binary"
+
+    def train_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        own = Refiner(sent.value)
+        for batch in batches:
+            sizes = np.asarray(pc.binary_length(batch.column("ids")), np.int64) // np.dtype(kind).itemsize
+            for a, b in cuts(np.cumsum(sizes), REFINED):
+                own.add(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids").slice(a, b - a)]).astype(np.int32), sizes[a:b])
+        own.end()
+        part = TaskContext.get().partitionId()
+        if own.steps:
+            for chunk, rows, times, sums in own.changes():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "part": pa.array([part], pa.int32()), "ids": [rows.tobytes()], "count": [times.astype(np.int64).tobytes()], "sums": [sums.astype(np.float32).tobytes()]})
+        del own
+        give_back()
+
+    def unpacked(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for chunk, i, n, x in zip(rows["chunk"], rows["ids"], rows["count"], rows["sums"], strict=True):
+            times = np.frombuffer(n, np.int64)
+            yield int(chunk), np.frombuffer(i, np.int32), times, np.frombuffer(x, np.float32).reshape(len(times), -1)
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        rows, times, sums = merged_changes(unpacked(parts.sort_values("part", kind="stable")))  # the same sum on every run
+        return pd.DataFrame({"chunk": parts["chunk"].iloc[:1], "ids": [rows.tobytes()], "count": [times.tobytes()], "sums": [sums.astype(np.float32).tobytes()]})
+
+    found = materialize(blocks.mapInArrow(train_part, schema).groupBy("chunk").applyInPandas(merged, "chunk int, ids binary, count binary, sums binary"), "lm-changes")
+    model = refined(model, unpacked(found.toPandas()))  # a row for each CHUNK of the vocabulary, 16 numbers an id
+    sent.unpersist()
+    return model
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_training: int = MAX_TRAINING, seed: int = 5) -> DataFrame:
     """One row for each document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -551,6 +726,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         pairs = merged_pairs(packed.where(F.col("kind") == PAIRS).select(F.col("range").alias("chunk"), F.col("hashes").alias("pairs"), "times"))
         for _ in range(STEPS):
             model = _step(pairs, model)
+        model = _refine(packed.where((F.col("kind") == DOCUMENT) & ~F.col("held_out")).select("ids"), model, kind)
 
     def sums(rows: pd.DataFrame) -> pd.DataFrame:
         """Of one hash range: partial sums of each block's documents, the counts of hot words, the number of known words."""
