@@ -60,8 +60,10 @@ SMOOTH = 0.1
 FOLLOW_SMOOTH = 0.5
 #: EM steps over all training documents.
 STEPS = 2
-#: Training over all documents: windows a step, rates of the projections and of embeddings, steps after which both fall with the root of the step.
-REFINE_BATCH = 64
+#: Training over all documents: windows a step, and at a time (and a step for the first STEADY steps); rates of the projections
+#: and of embeddings, which fall with the root of the step after STEADY steps.
+REFINE_BATCH = 256
+REFINE_BLOCK = 32
 REFINE_RATE = 0.01
 EMBED_RATE = 0.05
 STEADY = 200
@@ -487,46 +489,61 @@ def _step(pairs: DataFrame, model: Model) -> Model:
 def _gradients(w: dict[str, np.ndarray], emit: np.ndarray, ids: np.ndarray, want: np.ndarray, causal: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Of the mean loss of codes `want` behind codes `ids`, both (windows, length): by PROJECTIONS, and by the embeddings of some codes.
 
-    As _backward, but with attention divided by its sum after the products, and without what follows the codes.
+    As _backward, but with attention divided by its sum after the products, without what follows the codes, and REFINE_BLOCK
+    windows at a time, which stay in a core's cache.
     """
-    b, n = ids.shape
-    d, ids = w["embed"].shape[1], ids.ravel()
-    x = (np.take(w["embed"], ids, axis=0).reshape(b, n, d) + w["place"][:n]).reshape(-1, d)
-    q, k, v = ((x @ w["qkv"][:, i * d : (i + 1) * d]).reshape(b, n, d) for i in range(3))
-    q *= np.float32(d**-0.5)
-    turned = lambda m: np.ascontiguousarray(m.transpose(0, 2, 1))
-    e = q @ turned(k)
-    e += causal[:n, :n]
-    np.minimum(e, 60, out=e)
-    np.exp(e, out=e)
-    part = 1 / np.maximum(e @ np.ones((n, 1), np.float32), np.float32(1e-30))
-    z = ((e @ v) * part).reshape(-1, d)
-    o = z @ w["mix"]
-    o += np.take(w["follow"], ids, axis=0)
-    np.minimum(o, 60, out=o)
-    np.exp(o, out=o)
-    share = np.take(emit, want.ravel(), axis=0)
-    share *= o
-    ones, each = np.ones(o.shape[1], np.float32), np.float32(1 / len(ids))
-    share *= (each / np.maximum(share @ ones, np.float32(1e-30)))[:, None]
-    o *= (each / np.maximum(o @ ones, np.float32(1e-30)))[:, None]
-    o -= share
-    gz = o @ np.ascontiguousarray(w["mix"].T)
-    dot = np.einsum("ij,ij->i", gz, z).reshape(b, n, 1) * part
-    gz = gz.reshape(b, n, d) * part
-    gs = gz @ turned(v)
-    gs -= dot
-    gs *= e
-    gq = gs @ k
-    gq *= np.float32(d**-0.5)
-    gqkv = np.concatenate([gq, turned(gs) @ q, turned(e) @ gz], axis=2).reshape(-1, 3 * d)
-    gx = gqkv @ np.ascontiguousarray(w["qkv"].T)
-    place = np.zeros_like(w["place"])
-    place[:n] = gx.reshape(b, n, d).sum(axis=0)
+    n, d = ids.shape[1], w["embed"].shape[1]
+    scale, ones, each = np.float32(d**-0.5), np.ones(emit.shape[1], np.float32), np.float32(1 / want.size)
+    qkv = w["qkv"].copy()
+    qkv[:, :d] *= scale
+    reach, steep = float(np.abs(w["follow"]).max(initial=0)), float(np.abs(w["mix"]).sum(axis=0).max(initial=0))
+    largest = lambda m: max(float(m.max()), -float(m.min()))
+    mix_back, back = np.ascontiguousarray(w["mix"].T), np.ascontiguousarray(qkv.T)
+    grads = {k: np.zeros_like(w[k]) for k in PROJECTIONS}
+    by_place = np.empty((*ids.shape, d), np.float32)
+    turned = lambda m: m.transpose(0, 2, 1)
+    for at in range(0, len(ids), REFINE_BLOCK):
+        part = ids[at : at + REFINE_BLOCK]
+        b, part = len(part), part.ravel()
+        x = (np.take(w["embed"], part, axis=0).reshape(b, n, d) + w["place"][:n]).reshape(-1, d)
+        got = (x @ qkv).reshape(b, n, 3 * d)
+        q, k, v = (got[..., i * d : (i + 1) * d] for i in range(3))
+        e = q @ turned(k)
+        e += causal[:n, :n]
+        if largest(q) * largest(k) * d > 60:  # else no score leaves the range of exp
+            np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        share = 1 / np.maximum(e @ np.ones((n, 1), np.float32), np.float32(1e-30))
+        z = ((e @ v) * share).reshape(-1, d)
+        o = z @ w["mix"]
+        o += np.take(w["follow"], part, axis=0)
+        if largest(v) * steep + reach > 60:
+            np.minimum(o, 60, out=o)
+        np.exp(o, out=o)
+        go = np.take(emit, want[at : at + REFINE_BLOCK].ravel(), axis=0)
+        go *= (-each / np.maximum(np.vecdot(go, o), np.float32(1e-30)))[:, None]
+        go += (each / np.maximum(o @ ones, np.float32(1e-30)))[:, None]
+        go *= o
+        gz = go @ mix_back
+        dot = np.vecdot(gz, z).reshape(b, n, 1) * share
+        gz = gz.reshape(b, n, d) * share
+        gs = gz @ turned(v)
+        gs -= dot
+        gs *= e
+        g = np.empty((b, n, 3 * d), np.float32)  # by the scaled queries first
+        for i, (by, m) in enumerate(((gs, k), (turned(gs), q), (turned(e), gz))):
+            np.matmul(by, m, out=g[..., i * d : (i + 1) * d])
+        g = g.reshape(-1, 3 * d)
+        np.matmul(g, back, out=by_place[at : at + b].reshape(-1, d))
+        grads["mix"] += z.T @ go
+        grads["qkv"] += x.T @ g
+    grads["qkv"][:, :d] *= scale
+    grads["place"][:n] = by_place.sum(axis=0)
+    ids = ids.ravel()
     order = np.argsort(ids.astype(np.uint16) if len(emit) <= 1 << 16 else ids, kind="stable")  # a radix sort
     ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return {"mix": z.T @ o, "qkv": x.T @ gqkv, "place": place}, ids[first], np.add.reduceat(gx[order], first, axis=0)
+    return grads, ids[first], np.add.reduceat(by_place.reshape(-1, d)[order], first, axis=0)
 
 
 class Refiner:
@@ -549,8 +566,11 @@ class Refiner:
         self.feed, self.goal = self.feed[whole:], self.goal[whole:]
         self.met += np.bincount(feed.ravel(), minlength=len(self.met))
         order = self.rng.permutation(len(feed))
-        for at in range(0, len(feed), REFINE_BATCH):
-            self._step(feed[order[at : at + REFINE_BATCH]], goal[order[at : at + REFINE_BATCH]])
+        at = 0
+        while at < len(feed):
+            pick = order[at : at + (REFINE_BATCH if self.steps >= STEADY else REFINE_BLOCK)]
+            self._step(feed[pick], goal[pick])
+            at += len(pick)
 
     def end(self) -> None:
         """What is left is a shorter window."""
@@ -563,7 +583,7 @@ class Refiner:
         self.steps += 1
         t, w = self.steps, self.weights
         grads, rows, by_row = _gradients(w, self.model.emit, ids, want, self.model.causal)
-        part = np.sqrt(want.size / (REFINE_BATCH * self.model.window)) * min(1, t / 20) / np.sqrt(max(1, t / STEADY))  # small batches are noisy
+        part = np.sqrt(min(1, want.size / (REFINE_BLOCK * self.model.window))) * min(1, t / 20) / np.sqrt(max(1, t / STEADY))  # small batches are noisy
         rate = np.float32(REFINE_RATE * part * np.sqrt(1 - 0.99**t) / (1 - 0.9**t))
         for name, g in grads.items():
             m1, m2 = self.first[name], self.second[name]
