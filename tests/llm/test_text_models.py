@@ -433,3 +433,35 @@ def test_lean_gradients_are_those_of_the_network():
     some, rows, by_row = L._gradients(m.weights, m.emit, ids, want, m.causal)
     for a, b in [(some[k], full[k]) for k in L.PROJECTIONS] + [(by_row, full["embed"][rows])]:
         assert np.abs(a - b).max() < 1e-5 * max(1e-3, np.abs(b).max()) + 1e-8
+
+
+def test_words_of_a_task_are_encoded_once(monkeypatch):
+    ids = L.WordIds(L.VOCABULARY)
+    blocks = [[f"the cat {w} sat".encode(), f"on {i} mats".encode(), "ünï　cödé".encode()] for i, w in enumerate(["big", "small", "big", "old"])]
+    want = [L.sequences(b, ids) for b in blocks]
+    asked, encode = [], ids.encode
+    monkeypatch.setattr(ids, "encode", lambda words: asked.extend(words) or encode(words))
+    known = L.KnownWords(ids)
+    for most in (1 << 19, 3):  # at last all is forgotten before each block
+        monkeypatch.setattr(L, "KNOWN", most)
+        for block, (tokens, lengths) in zip(blocks, want, strict=True):
+            *words, code, n = L._words(block)
+            got = L._expand(*known.get(*words), code, n, ids.end)
+            assert np.array_equal(got[0], tokens) and np.array_equal(got[1], lengths)
+        if most > 3:
+            assert len(asked) == len(set(asked)) and set(asked) == {w for b in blocks for t in b for w in t.split()}
+
+
+def test_exponents_are_cut_only_where_one_is_too_large(monkeypatch):
+    rng = np.random.default_rng(4)
+    seqs = [np.append(rng.integers(0, 40, k), 40) for k in (30, 60)]
+    m = L.train(seqs * 4, 40, epochs=1)
+    m.weights["follow"][-1] = 70  # of ids that are never met here
+    tokens, lengths = np.concatenate(seqs), np.asarray([len(s) for s in seqs])
+    ids, want = (m.code[rng.choice(tokens, (4, 24))] for _ in range(2))
+    cut, minimum = [], np.minimum
+    monkeypatch.setattr(L.np, "minimum", lambda a, b, **how: (cut.append(b) if np.isscalar(b) and b == 60 else None, minimum(a, b, **how))[1])
+    plain, grads = m.score(tokens, lengths), L._gradients(m.weights, m.emit, ids, want, m.causal)[0]
+    assert not cut and np.isfinite(plain).all() and all(np.isfinite(g).all() for g in grads.values())
+    m.weights["follow"] = m.weights["follow"] + np.float32(100)  # every weight by the same factor, which the cut bounds
+    assert np.isfinite(m.score(tokens, lengths)).all() and cut

@@ -22,6 +22,7 @@ cross the network once a block instead of once a document.
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -48,6 +49,10 @@ DIM = 16
 COMPONENTS = 64
 EPOCHS = 3
 BATCH = 256
+#: Windows of a batch that are scored at a time, so that a core's cache holds them.
+SCORED_BLOCK = 128
+#: Windows whose gradients are made at a time, for the same reason.
+TILE = 48
 BLOCK_BYTES = 3 << 20
 #: So many hash ranges for each of the Jaccard join's.
 RANGE_FACTOR = 2
@@ -81,10 +86,16 @@ CHUNK = 64
 MAX_PAIRS = 1 << 20
 #: Words encoded at a time.
 ENCODED = 50_000
+#: Different words whose ids a task keeps.
+KNOWN = 1 << 19
 #: Of a posting that stands for a whole block.
 WHOLE = (1 << 31) - 1
 
 
+#: White space but for a blank.
+ODD_SPACE = re.compile(r"[^\S ]")
+
+
 @cache
 def _encoder(path: str):
     import tiktoken
@@ -114,13 +125,13 @@ class WordIds:
         """Flat ids of the words, and where each word's ids begin (with the end at last)."""
         flat, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         for at in range(0, len(words), ENCODED):
-            part = [w.decode("utf-8", "replace") for w in words[at : at + ENCODED]]
-            odd = [i for i, w in enumerate(part) if len(w.split()) != 1]  # white space beyond ASCII splits a word
-            plain = [w for w in part if len(w.split()) == 1] if odd else part
-            ids = np.asarray(self.encoder.encode_ordinary(" " + " ".join(plain)) if plain else [], np.int32)
+            some = words[at : at + ENCODED]
+            text = b" ".join(some).decode("utf-8", "replace")
+            odd = ODD_SPACE.search(text)  # white space beyond ASCII splits a word
+            ids = np.asarray([] if odd else self.encoder.encode_ordinary(" " + text), np.int32)
             first = np.flatnonzero(self.begins[ids])
-            if odd or len(first) != len(plain):
-                ids, size = self._each(part)
+            if len(first) != len(some):
+                ids, size = self._each([w.decode("utf-8", "replace") for w in some])
             else:
                 size = np.diff(np.append(first, len(ids)))
             flat.append(ids)
@@ -148,21 +159,12 @@ class Model:
     context: int = CONTEXT
 
     @cached_property
-    def ready(self) -> list[np.ndarray]:
-        """Queries (scaled), keys and values of every code, then of every place; values end in a one, which adds up the weights."""
+    def ready(self) -> tuple[np.ndarray, np.ndarray]:
+        """Queries (scaled), keys and values of every code, and of every place, side by side."""
         w, d = self.weights, self.weights["embed"].shape[1]
-        q, k, v, pq, pk, pv = (w[side] @ w["qkv"][:, i * d : (i + 1) * d] for side in ("embed", "place") for i in range(3))
-        scale = np.float32(d**-0.5)
-        one = lambda m, x: np.concatenate([m, np.full((len(m), 1), x, m.dtype)], axis=1)
-        return [q * scale, k, one(v, 1), pq * scale, pk, one(pv, 0)]
-
-    @cached_property
-    def limits(self) -> tuple[bool, bool]:
-        """Whether no attention score, and no component's weight, can leave the range of exp."""
-        q, k, v, pq, pk, pv = self.ready
-        size = lambda m: float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max(initial=0)))
-        reach = (size(v[:, :-1]) + size(pv[:, :-1])) * size(self.weights["mix"].T) + float(np.abs(self.weights["follow"]).max(initial=0))
-        return (size(q) + size(pq)) * (size(k) + size(pk)) < 60, reach < 60
+        qkv = w["qkv"].copy()
+        qkv[:, :d] *= np.float32(d**-0.5)
+        return w["embed"] @ qkv, w["place"] @ qkv
 
     @cached_property
     def causal(self) -> np.ndarray:
@@ -171,20 +173,17 @@ class Model:
     def mixture(self, ids: np.ndarray, skip: int = 0) -> np.ndarray:
         """(windows, length) codes to weights, up to a factor, of the components for the id after each but the first `skip`."""
         w, n = self.weights, ids.shape[1]
-        q = np.take(self.ready[0], ids[:, skip:], axis=0) + self.ready[3][skip:n]
-        k, v = (np.take(self.ready[i], ids, axis=0) + self.ready[i + 3][:n] for i in (1, 2))
-        s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+        d = w["embed"].shape[1]
+        got = np.take(self.ready[0], ids, axis=0)
+        got += self.ready[1][:n]
+        s = got[:, skip:, :d] @ got[..., d : 2 * d].transpose(0, 2, 1)
         s += self.causal[skip:n, :n]
-        if not self.limits[0]:
-            np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        z = (s @ v).reshape(-1, v.shape[2])
-        z = z[:, :-1] / np.maximum(z[:, -1:], np.float32(1e-30))
+        _exp(s)
+        z = (s @ got[..., 2 * d :]).reshape(-1, d)
+        z /= np.maximum(s.reshape(-1, n) @ np.ones(n, s.dtype), np.float32(1e-30))[:, None]
         o = z @ w["mix"]
         o += np.take(w["follow"], ids[:, skip:].ravel(), axis=0)
-        if not self.limits[1]:
-            np.minimum(o, 60, out=o)
-        np.exp(o, out=o)
+        _exp(o)
         return o.reshape(len(ids), n - skip, -1)
 
     def windows(self, tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -211,11 +210,14 @@ class Model:
         goal = self.code[tokens]
         total, ones = np.zeros(len(lengths)), np.ones(self.emit.shape[1], np.float32)
         for own, place, live, before, skip in self.windows(tokens, lengths):
-            mix = self.mixture(before, skip)
-            p = np.einsum("bnc,bnc->bn", mix, np.take(self.emit, goal[place], axis=0)) / (mix @ ones)
-            logs = np.where(live, np.log10(np.maximum(p, 1e-30)), 0).sum(axis=1, dtype=np.float64)
+            p = np.empty(place.shape, np.float32)
+            for at in range(0, len(own), SCORED_BLOCK):
+                part = slice(at, at + SCORED_BLOCK)
+                mix = self.mixture(before[part], skip)
+                p[part] = np.einsum("bnc,bnc->bn", mix, np.take(self.emit, goal[place[part]], axis=0)) / (mix @ ones)
+            logs = np.where(live, np.log(np.maximum(p, 1e-30)), 0).sum(axis=1, dtype=np.float64)
             total += np.bincount(own, weights=logs, minlength=len(lengths))
-        return total
+        return total / np.log(10)
 
     def expect(self, prior: np.ndarray, ids: np.ndarray, times: np.ndarray, sums: np.ndarray) -> None:
         """Add the components' shares of pairs (prior, ids), met `times`, to sums[ids] and, behind them, to sums[prior]."""
@@ -270,6 +272,13 @@ def _add_rows(sums: np.ndarray, ids: np.ndarray, values: np.ndarray) -> None:
         sums[ids[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
+def _exp(x: np.ndarray) -> None:
+    """In place; what is beyond 60 counts as 60."""
+    if x.max(initial=0) > 60:
+        np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+
+
 def _forward(w: dict[str, np.ndarray], ids: np.ndarray) -> tuple:
     b, n = ids.shape
     d = w["embed"].shape[1]
@@ -369,29 +378,58 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, their 64-bit hashes, the number of each word in order, and each text's word count."""
+def _words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts as one, where each distinct word begins, their 64-bit hashes (ascending), the number of each word in order, and each text's word count."""
     data = b" ".join(t.translate(LOWER_SPACE_TABLE) for t in texts) + b" "
     hashes, at = word_hashes(data)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     h, first, code = np.unique(hashes, return_index=True, return_inverse=True)
-    words = [data[i : data.index(b" ", i)] for i in at[first].tolist()]
-    return words, mix64(h), code.astype(np.int64), np.diff(np.searchsorted(at, ends), prepend=0)
+    return data, at[first], h, code.astype(np.int64), np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def _places(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value in an ascending table, -1 where it isn't there."""
+    if not len(table):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
+
+
+class KnownWords:
+    """Ids of the words met so far, so that each is encoded once; all are forgotten beyond KNOWN words."""
+
+    def __init__(self, ids: WordIds):
+        self.ids = ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.flat = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def get(self, data: bytes, starts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, and where in them the ids of each word (see _words) begin and how many they are."""
+        if len(self.hashes) > KNOWN:
+            self._forget()
+        new = np.flatnonzero(_places(self.hashes, hashes) < 0)
+        flat, cuts = self.ids.encode([data[i : data.index(b" ", i)] for i in starts[new].tolist()])
+        at = np.searchsorted(self.hashes, hashes[new])
+        self.begin, self.size = np.insert(self.begin, at, cuts[:-1] + len(self.flat)), np.insert(self.size, at, np.diff(cuts))
+        self.hashes, self.flat = np.insert(self.hashes, at, hashes[new]), np.concatenate([self.flat, flat])
+        at = np.searchsorted(self.hashes, hashes)
+        return self.flat, self.begin[at], self.size[at]
 
 
 def sequences(texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of the texts one after another, each with an end id, and their lengths."""
-    words, _, code, n = _words(texts)
-    return _expand(words, code, n, ids)
+    *words, code, n = _words(texts)
+    return _expand(*KnownWords(ids).get(*words), code, n, ids.end)
 
 
-def _expand(words: list[bytes], code: np.ndarray, n: np.ndarray, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
-    flat, cuts = ids.encode(words)
-    flat = np.append(flat, np.int32(ids.end))
-    size = np.append(np.diff(cuts), 1)
-    begin = np.append(cuts[:-1], len(flat) - 1)
+def _expand(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, code: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.append(flat, np.int32(end))
+    size, begin = np.append(size, 1), np.append(begin, len(flat) - 1)
     ends = np.cumsum(n)
-    unit = np.insert(code, ends, len(words))  # an end behind each text
+    unit = np.insert(code, ends, len(size) - 1)  # an end behind each text
     length = size[unit]
     at = np.repeat(begin[unit] - (np.cumsum(length) - length), length) + np.arange(length.sum())
     per_text = np.add.reduceat(length, np.concatenate([[0], (ends + np.arange(1, len(n) + 1))[:-1]])) if len(n) else n
@@ -411,8 +449,9 @@ class PairCounts:
         self.ids, self.keys, self.times = ids, [], []
 
     def add(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
-        key, n = np.unique(_before(tokens, lengths, self.ids - 1).astype(np.int64) * self.ids + tokens, return_counts=True)
-        self.keys.append(key)
+        kind = np.uint32 if self.ids**2 <= 1 << 32 else np.int64  # which sorts faster
+        key, n = np.unique(_before(tokens, lengths, self.ids - 1).astype(kind) * kind(self.ids) + tokens.astype(kind), return_counts=True)
+        self.keys.append(key.astype(np.int64))
         self.times.append(n)
         if len(self.keys) == 8:
             key, n = _summed(self.keys, self.times)
@@ -493,51 +532,54 @@ def _gradients(w: dict[str, np.ndarray], emit: np.ndarray, ids: np.ndarray, want
     windows at a time, which stay in a core's cache.
     """
     n, d = ids.shape[1], w["embed"].shape[1]
-    scale, ones, each = np.float32(d**-0.5), np.ones(emit.shape[1], np.float32), np.float32(1 / want.size)
+    scale, ones, each = np.float32(d**-0.5), np.ones(max(n, d, emit.shape[1]), np.float32), np.float32(1 / want.size)
     qkv = w["qkv"].copy()
     qkv[:, :d] *= scale
-    reach, steep = float(np.abs(w["follow"]).max(initial=0)), float(np.abs(w["mix"]).sum(axis=0).max(initial=0))
-    largest = lambda m: max(float(m.max()), -float(m.min()))
     mix_back, back = np.ascontiguousarray(w["mix"].T), np.ascontiguousarray(qkv.T)
-    grads = {k: np.zeros_like(w[k]) for k in PROJECTIONS}
+    mix, sides = np.zeros_like(mix_back), np.zeros_like(back)
     by_place = np.empty((*ids.shape, d), np.float32)
+    wide = np.empty((2, min(len(ids), TILE) * n, emit.shape[1]), np.float32)  # of every block in turn
     turned = lambda m: m.transpose(0, 2, 1)
-    for at in range(0, len(ids), REFINE_BLOCK):
-        part = ids[at : at + REFINE_BLOCK]
+    for at in range(0, len(ids), TILE):
+        part = ids[at : at + TILE]
         b, part = len(part), part.ravel()
-        x = (np.take(w["embed"], part, axis=0).reshape(b, n, d) + w["place"][:n]).reshape(-1, d)
+        x = np.take(w["embed"], part, axis=0).reshape(b, n, d)
+        x += w["place"][:n]
+        x = x.reshape(-1, d)
         got = (x @ qkv).reshape(b, n, 3 * d)
         q, k, v = (got[..., i * d : (i + 1) * d] for i in range(3))
         e = q @ turned(k)
         e += causal[:n, :n]
-        if largest(q) * largest(k) * d > 60:  # else no score leaves the range of exp
-            np.minimum(e, 60, out=e)
-        np.exp(e, out=e)
-        share = 1 / np.maximum(e @ np.ones((n, 1), np.float32), np.float32(1e-30))
-        z = ((e @ v) * share).reshape(-1, d)
-        o = z @ w["mix"]
-        o += np.take(w["follow"], part, axis=0)
-        if largest(v) * steep + reach > 60:
-            np.minimum(o, 60, out=o)
-        np.exp(o, out=o)
-        go = np.take(emit, want[at : at + REFINE_BLOCK].ravel(), axis=0)
-        go *= (-each / np.maximum(np.vecdot(go, o), np.float32(1e-30)))[:, None]
-        go += (each / np.maximum(o @ ones, np.float32(1e-30)))[:, None]
-        go *= o
-        gz = go @ mix_back
-        dot = np.vecdot(gz, z).reshape(b, n, 1) * share
-        gz = gz.reshape(b, n, d) * share
+        _exp(e)
+        share = (1 / np.maximum(e.reshape(-1, n) @ ones[:n], np.float32(1e-30))).reshape(b, n, 1)
+        z = e @ v
+        z *= share
+        z = z.reshape(-1, d)
+        go, met = wide[:, : b * n]
+        np.matmul(z, w["mix"], out=go)
+        go += np.take(w["follow"], part, axis=0, out=met, mode="clip")  # which writes to `met` itself
+        _exp(go)
+        np.take(emit, want[at : at + TILE].ravel(), axis=0, out=met, mode="clip")
+        met *= go
+        total = np.maximum(go @ ones[: emit.shape[1]], np.float32(1e-30))
+        met *= (total / np.maximum(met @ ones[: emit.shape[1]], np.float32(1e-30)))[:, None]
+        go -= met  # the gradient, but for this factor
+        total = (each / total)[:, None]
+        mix += go.T @ (z * total)
+        gz = (go @ mix_back).reshape(b, n, d)
+        gz *= total.reshape(b, n, 1) * share
         gs = gz @ turned(v)
-        gs -= dot
+        z *= gz.reshape(-1, d)
+        gs -= (z @ ones[:d]).reshape(b, n, 1)
         gs *= e
         g = np.empty((b, n, 3 * d), np.float32)  # by the scaled queries first
         for i, (by, m) in enumerate(((gs, k), (turned(gs), q), (turned(e), gz))):
             np.matmul(by, m, out=g[..., i * d : (i + 1) * d])
         g = g.reshape(-1, 3 * d)
         np.matmul(g, back, out=by_place[at : at + b].reshape(-1, d))
-        grads["mix"] += z.T @ go
-        grads["qkv"] += x.T @ g
-    grads["qkv"][:, :d] *= scale
+        sides += g.T @ x
+    sides[:d] *= scale
+    grads = {"qkv": sides.T, "mix": mix.T, "place": np.zeros_like(w["place"])}
     grads["place"][:n] = by_place.sum(axis=0)
     ids = ids.ravel()
     order = np.argsort(ids.astype(np.uint16) if len(emit) <= 1 << 16 else ids, kind="stable")  # a radix sort
@@ -687,9 +729,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     tokens, lengths = sequences(sample, ids)
     model = train(np.split(tokens, np.cumsum(lengths)[:-1]) if len(lengths) else [], ids.end, seed=seed)
     often = Counter(w for t in sample for w in set(t.translate(LOWER_SPACE_TABLE).split()))
-    frequent = sorted(w for w, c in often.items() if c >= FREQUENT)
+    frequent = np.sort(word_hashes(b" ".join(w for w, c in often.items() if c >= FREQUENT))[0])
     del sample, tokens, lengths, often
-    hot_words = spark.sparkContext.broadcast({w: i for i, w in enumerate(frequent)})
+    hot_words = spark.sparkContext.broadcast(frequent)
     ranges = RANGE_FACTOR * _ranges(docs, "text")
     kind = np.uint16 if ids.end < 1 << 16 else np.int32
     names = ["kind", "block", "place", "doc_id", "held_out", "n_tokens", "ids", "words", "times", "range", "hashes"]
@@ -700,7 +742,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         from pyspark import TaskContext
 
         frequent, ids = hot_words.value, _word_ids(vocabulary)
-        pairs = PairCounts(ids.end + 1)
+        pairs, known = PairCounts(ids.end + 1), KnownWords(ids)
 
         def rows(what: int, n: int, **given) -> pa.RecordBatch:
             given = {"kind": np.full(n, what, np.int32)} | given
@@ -713,23 +755,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
         block = (TaskContext.get().partitionId() << 24) - 1
         for table, texts in text_blocks(batches, "text", BLOCK_BYTES):
             block += 1
-            words, hashes, code, n = _words(texts)
-            tokens, lengths = _expand(words, code, n, ids)
+            data, starts, met, code, n = _words(texts)
+            tokens, lengths = _expand(*known.get(data, starts, met), code, n, ids.end)
+            hashes, words = mix64(met), max(1, len(met))
             held, many = np.asarray(table.column("held_out"), bool), len(texts)
             learn = ~held
             pairs.add(tokens[np.repeat(learn, lengths)], lengths[learn])
             if pairs.full():
                 yield counted()
-            number = np.fromiter((frequent.get(w, -1) for w in words), np.int64, len(words))
-            pair, times = np.unique(np.repeat(np.arange(many), n) * max(1, len(words)) + code, return_counts=True)
-            doc, word = pair // max(1, len(words)), pair % max(1, len(words))
+            number = _places(frequent, met)
+            pair, times = np.unique(np.repeat(np.arange(many), n) * words + code, return_counts=True)
+            doc, word = pair // words, pair % words
             hot = number[word] >= 0
             hot_word, hot_times = number[word[hot]].astype(np.int32), times[hot].astype(np.int32)
             split = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             at, ends = np.searchsorted(doc[hot], np.arange(many + 1)), np.concatenate([[0], np.cumsum(lengths)])
             yield rows(DOCUMENT, many, block=np.full(many, block), place=np.arange(many), doc_id=table.column("doc_id").to_pylist(), held_out=held, n_tokens=n + 1, ids=split(tokens.astype(kind), ends), words=split(hot_word, at), times=split(hot_times, at))
             # cold words by document, hot ones once with the block's training count
-            whole = np.bincount(word[hot], weights=times[hot] * ~held[doc[hot]], minlength=len(words))
+            whole = np.bincount(word[hot], weights=times[hot] * ~held[doc[hot]], minlength=len(met))
             hot_at = np.flatnonzero((number >= 0) & (whole > 0))
             h = np.concatenate([hashes[word[~hot]], hashes[hot_at]])
             place = np.concatenate([doc[~hot] << 1 | held[doc[~hot]], np.full(len(hot_at), WHOLE)]).astype(np.uint64)
@@ -781,7 +824,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     found = materialize(packed.where(F.col("kind") == POSTING).select("range", "block", "hashes", "words", "times").groupBy("range").applyInPandas(sums, "block long, places binary, logs binary, known binary, words long"), "lm-sums")
     distinct = found.where("block = -1").agg(F.sum("words")).first()[0] or 0
     hot_count = np.zeros(len(frequent))
-    at = {int(h): i for i, h in enumerate(mix64(word_hashes(b" ".join(frequent))[0]).tolist())}
+    at = {int(h): i for i, h in enumerate(mix64(frequent).tolist())}
     for r in found.where("block = -2").select("places", "logs").toLocalIterator():  # a row for each range, frequent words only
         for h, c in zip(np.frombuffer(r[0], np.uint64).tolist(), np.frombuffer(r[1], np.float64).tolist(), strict=True):
             hot_count[at[h]] = c
