@@ -57,3 +57,13 @@ def test_proximity(spark):
     items = spark.createDataFrame([(9, body)], "item_id long, text string")
     rows = {r.doc_id: r for r in decontaminate(docs, items).collect()}
     assert rows[1].near_items == ["9"] and not rows[1].contaminated and rows[2].near_items == []
+
+
+def test_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "x y z"), (3, None)], "item_id long, text string")
+    for item_bytes, passes in ((1 << 20, 1), (1, 2)):
+        found = decontaminate(docs, items, item_bytes=item_bytes)
+        # a second one in the stage would stay in the executor beside every later stage's workers
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1, passes
+        assert [(r.doc_id, r["items"]) for r in found.orderBy("doc_id").collect()] == [(1, ["1"]), (2, ["2"])]

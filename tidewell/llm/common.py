@@ -115,7 +115,8 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
 
 def give_back() -> None:
-    """Hand freed memory back to the system, so that idle Python workers beside other stages stay small."""
+    """Hand freed memory, Arrow's too, back to the system, so that idle Python workers beside other stages stay small."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -124,6 +125,7 @@ def give_back() -> None:
 
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.Table, list[bytes]]]:
     """Rows regrouped so that a block's texts have about `limit` bytes (a longer text stands alone); nulls become empty."""
+    give_back()  # what the task before held in this worker, its broadcast values among it
     try:
         yield from _text_blocks(batches, column, limit)
     finally:

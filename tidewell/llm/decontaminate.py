@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MARK, cuts, materialize, text_blocks
+from .common import MARK, cuts, discard, give_back, materialize, text_blocks
 
 #: Word bytes are digits, letters after lower-casing A-Z, and every byte of a non-ASCII character.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -218,43 +218,51 @@ def search(index: DataFrame, part: list[tuple[str, list[bytes]]], window: int =
     sent = index.sparkSession.sparkContext.broadcast(make_part(part, window, near_terms, near_span, often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        wanted = set(asked.terms)
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                lists = {w: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for w, p in zip(r["terms"], r["postings"], strict=True) if w in wanted}
-                out.append(r | {"found": [*(r.get("found") or ()), *_search_block(asked, lists, np.asarray(r["starts"], np.int64))]})
-            hit = pa.struct([("row", pa.int32()), ("item", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())])
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("postings", pa.list_(pa.binary())), ("found", pa.list_(hit))]))
+        hit = pa.struct([("row", pa.int32()), ("item", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("exact", pa.bool_())])
+        schema = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("terms", pa.list_(pa.binary())), ("postings", pa.list_(pa.binary())), ("found", pa.list_(hit))])
+        for r in _found(batches, sent.value):
+            yield pa.RecordBatch.from_pylist([r], schema=schema)
 
     return index.mapInArrow(run, HITS_SCHEMA)
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch], asked: Part) -> Iterator[dict]:
+    """Index rows, one at a time, with what was found before and of this part."""
+    wanted = set(asked.terms)
+    try:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                lists = {w: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for w, p in zip(r["terms"], r["postings"], strict=True) if w in wanted}
+                yield r | {"found": [*(r.get("found") or ()), *_search_block(asked, lists, np.asarray(r["starts"], np.int64))]}
+    finally:
+        give_back()
+
+
+def _summary(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of the index rows, which hold all that was found."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), ("block", pa.int64()), ("row", pa.int32())])
     empty = hashlib.sha256(b"").hexdigest()
-    for batch in batches:
+    for r in rows:
         out = []
-        for r in batch.to_pylist():
-            by: dict[int, list[dict]] = {}
-            for f in r["found"]:
-                by.setdefault(f["row"], []).append(f)
-            words = np.diff(np.asarray(r["starts"])) - 1
-            for i, doc in enumerate(r["doc_ids"]):
-                found = by.get(i, ())
-                spans = sorted({(f["start"], f["length"]) for f in found if f["exact"]})
-                hit, reach = 0, 0
-                for start, n in spans:
-                    hit += max(0, start + n - max(start, reach))
-                    reach = max(reach, start + n)
-                items = sorted({f["item"] for f in found if f["exact"] and f["item"] is not None})
-                out.append(
-                    {
-                        "doc_id": doc, "n_words": int(words[i]), "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest() if items else empty, "contaminated": hit > 0,
-                        "items": items, "near_items": sorted({f["item"] for f in found if not f["exact"] and f["item"] is not None} - set(items)), "spans": [{"start": a, "length": n} for a, n in spans], "block": r["block"], "row": i,
-                    }
-                )
+        by: dict[int, list[dict]] = {}
+        for f in r["found"]:
+            by.setdefault(f["row"], []).append(f)
+        words = np.diff(np.asarray(r["starts"])) - 1
+        for i, doc in enumerate(r["doc_ids"]):
+            found = by.get(i, ())
+            spans = sorted({(f["start"], f["length"]) for f in found if f["exact"]})
+            hit, reach = 0, 0
+            for start, n in spans:
+                hit += max(0, start + n - max(start, reach))
+                reach = max(reach, start + n)
+            items = sorted({f["item"] for f in found if f["exact"] and f["item"] is not None})
+            out.append(
+                {
+                    "doc_id": doc, "n_words": int(words[i]), "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest() if items else empty, "contaminated": hit > 0,
+                    "items": items, "near_items": sorted({f["item"] for f in found if not f["exact"] and f["item"] is not None} - set(items)), "spans": [{"start": a, "length": n} for a, n in spans], "block": r["block"], "row": i,
+                }
+            )
         yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -268,16 +276,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col))
     often: Counter[bytes] | None = Counter()
-    parts = 0
     for part in _load_items(items, item_bytes):
-        parts += 1
         if often is not None:
             for _, w in part:
                 often.update(w)
             often = None if sum(map(len, often)) > vocabulary_bytes else often
     hits = materialize(build_index(docs, id_col, text_col, None if often is None else frozenset(often)), "positional-index")
-    if not parts:
-        hits = search(hits, [], window, near_terms, near_span)
+    last: list[tuple[str, list[bytes]]] = []
     for part in _load_items(items, item_bytes):
-        hits = search(hits, part, window, near_terms, near_span, often)
-    return hits.mapInArrow(_summary, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, near_items array<string>, spans array<struct<start:int,length:int>>, block long, row int")
+        if last:
+            before, hits = hits, materialize(search(hits, last, window, near_terms, near_span, often), "positional-index")
+            discard(before)
+        last = part
+    # searched and summed up in one Python worker a task: an executor keeps as many workers as it ever needed at once, and each of them holds what later stages broadcast
+    sent = docs.sparkSession.sparkContext.broadcast(make_part(last, window, near_terms, near_span, often))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _summary(_found(batches, sent.value))
+
+    return hits.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, near_items array<string>, spans array<struct<start:int,length:int>>, block long, row int")

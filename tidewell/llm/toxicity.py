@@ -123,8 +123,12 @@ def close_index(texts: Iterable[list[bytes]]) -> CloseIndex:
     size, rows = len(rows) - 1, np.asarray(rows)
     idf = np.log((1 + size) / (1 + df)) + 1
     owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(rows))
-    weight = (1 + np.log(np.maximum(weight, 1))) * idf[which]
-    weight = (weight / np.sqrt(np.bincount(owner, weights=weight * weight, minlength=size))[owner]).astype(np.float32) if len(owner) else weight
+    scaled = idf[which]
+    scaled *= 1 + np.log(np.maximum(weight, 1))
+    if len(owner):
+        scaled /= np.sqrt(np.bincount(owner, weights=scaled * scaled, minlength=size))[owner]
+    weight = scaled.astype(np.float32)
+    del scaled
     order = np.argsort(which, kind="stable").astype(np.int32)
     return CloseIndex(words, idf, float(np.log(1.0 + size) + 1), np.concatenate([[0], np.cumsum(df)]), owner[order], rows, which, weight, order)
 
@@ -255,6 +259,7 @@ def build(ids: list[int], texts: list[bytes], labels: np.ndarray, k: int = NEIGH
 
     terms = {t: i for i, t in enumerate(t for t in candidates if telling(t))}
     idf = np.log((1 + n) / (1 + np.asarray([df[t] for t in terms], float))) + 1
+    del around, often, df, df_pos, candidates  # before the index of all words is made
     prior = (pos + 1) / (n + 2)
     empty = np.empty(0)
     index = ToxicityIndex(terms, idf, np.empty(0, np.int64), np.empty(0, int), np.zeros((len(terms), 1), np.int64), empty.astype(np.int64), empty, np.zeros((len(terms), 0)), prior, prior, k=k)
